@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from regionmatch.plans import contract_checks, scoring
+from regionmatch.plans import contract_checks, raster, scoring
 
-_PARTS = (scoring, contract_checks)
+_PARTS = (scoring, contract_checks, raster)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
