@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from regionmatch.plans import contract_checks, raster, scoring
+from regionmatch.plans import contract_checks, raster, regions, scoring
 
-_PARTS = (scoring, contract_checks, raster)
+_PARTS = (scoring, contract_checks, raster, regions)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
