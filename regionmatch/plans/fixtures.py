@@ -98,16 +98,16 @@ px AS (
 
 
 def grid_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Feature grid: one cell per vector, eight cells to a grid row, stride 8."""
-    rows = _rows_of_images(spark, sf)
-    return rows.select(
+    """Feature grid: one cell per vector, eight cells to a grid row, stride 8; a rest row is dropped."""
+    rows = _rows_of_images(spark, sf).select(
         "image",
-        F.ceil(F.col("h") / 8).cast("int").alias("gh"),
+        F.floor(F.col("h") / 8).cast("int").alias("gh"),
         F.lit(8).alias("gw"),
         F.floor(F.col("y") / 8).cast("int").alias("gy"),
         (F.col("y") % 8).cast("int").alias("gx"),
         F.col("embedding").alias("vec"),
     )
+    return rows.filter(F.col("gy") < F.col("gh"))
 
 
 GRID = """rowsofimages AS (
@@ -115,9 +115,9 @@ GRID = """rowsofimages AS (
          CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS y, embedding
   FROM embeddings),
 grid AS (
-  SELECT image, CAST(ceil(h / 8.0) AS INT) AS gh, 8 AS gw, y // 8 AS gy, y % 8 AS gx,
+  SELECT image, h // 8 AS gh, 8 AS gw, y // 8 AS gy, y % 8 AS gx,
          list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS vec
-  FROM rowsofimages)"""
+  FROM rowsofimages WHERE y // 8 < h // 8)"""
 
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from regionmatch.plans import contract_checks, raster, regions, scoring
+from regionmatch.plans import contract_checks, learning, matching, raster, regions, scoring, training
 
-_PARTS = (scoring, contract_checks, raster, regions)
+_PARTS = (scoring, contract_checks, raster, regions, matching, training, learning)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
