@@ -99,3 +99,24 @@ def on_tiles(
     """Run a numeric kernel on each tile; it sees the tile with its halo as one pandas frame."""
     tiled = halo_tiles(cells, halo, border, tile, keys)
     return tiled.groupBy(*keys, "ty", "tx").applyInPandas(fn, schema)
+
+
+def pair_blocks(tiled: DataFrame, rows: DataFrame, identity: Sequence[str], block: int, fn: Callable, schema: str) -> DataFrame:
+    """Apply ``fn(tile frame, block frame)`` to every tile of a drawing and every block of its rows.
+
+    ``tiled`` (image, ty, tx, ...) and ``rows`` (image, ...) meet through their image. Rows are
+    numbered within the image and cut into blocks of at most ``block``, so one call sees one
+    tile and one block however many tiles or rows the image has.
+    """
+    from regionmatch.operators.ordering import position
+
+    c = F.col
+    keyed = rows.withColumn("_id", F.xxhash64(*identity))
+    placed = position(keyed, ["image"], [c("_id"), *[c(n) for n in identity]], F.shiftright(c("_id"), 52), "_at")
+    placed = placed.withColumn("block", F.floor((c("_at") - 1) / block).cast("int")).drop("_id", "_at")
+    left = tiled.join(placed.select("image", "block").distinct(), "image")
+    where = tiled.select("image", "ty", "tx").distinct()
+    right = placed.join(where, "image").select(
+        *[c(n).alias(f"b_{n}") for n in ("image", "ty", "tx", "block")], *[n for n in rows.columns if n != "image"])
+    by = ["image", "ty", "tx", "block"]
+    return left.groupBy(*by).cogroup(right.groupBy(*[f"b_{n}" for n in by])).applyInPandas(fn, schema)

@@ -159,7 +159,7 @@ def verifier_weights(spark, sf):
     g = verify.with_gain(c, base)
     out = None
     for target in ("gain", "gaincap", "purity"):
-        w = verify.verifier_rows(g, docs, target).select(F.lit(target).alias("target"), "query", "comp", "label", F.round("weight", 6).alias("weight"))
+        w = verify.verifier_rows(g, docs, target).select(F.lit(target).alias("target"), "query", "comp", "label", F.round("weight", 9).alias("weight"))
         out = w if out is None else out.unionByName(w)
     return out
 
@@ -220,9 +220,9 @@ ORACLE = {
       {_dev('base', 'base')} UNION ALL {_dev('af', 'oracle')}""",
     "component_relative": f"""{_BASE} SELECT query, comp, round(score - max(score) OVER w, 6) AS rmax_score, round(score - max(score) FILTER (comp = 0) OVER w, 6) AS rq_score,
       round(peak - max(peak) OVER w, 6) AS rmax_peak, round(peak - max(peak) FILTER (comp = 0) OVER w, 6) AS rq_peak FROM cm WINDOW w AS (PARTITION BY query)""",
-    "verifier_weights": f"""{_BASE} SELECT 'gain' AS target, query, comp, CAST(gain <= 0 AS DOUBLE) AS label, round(abs(gain) * w + 1e-6, 6) AS weight FROM gw
-      UNION ALL SELECT 'gaincap', query, comp, CAST(gain <= 0 AS DOUBLE), round(least(abs(gain), 0.1) * w + 1e-6, 6) FROM gw
-      UNION ALL SELECT 'purity', query, comp, CAST(purity >= 0.5 AS DOUBLE), round(w * least(tot / mt, 10), 6) FROM gw""",
+    "verifier_weights": f"""{_BASE} SELECT 'gain' AS target, query, comp, CAST(gain <= 0 AS DOUBLE) AS label, round(abs(gain) * w + 1e-6, 9) AS weight FROM gw
+      UNION ALL SELECT 'gaincap', query, comp, CAST(gain <= 0 AS DOUBLE), round(least(abs(gain), 0.1) * w + 1e-6, 9) FROM gw
+      UNION ALL SELECT 'purity', query, comp, CAST(purity >= 0.5 AS DOUBLE), round(w * least(tot / mt, 10), 9) FROM gw""",
     "cut_rule": f"""{_BASE}, cuts AS (SELECT DISTINCT unnest(quantile_cont(score, [{", ".join(f"{v!r}::DOUBLE" for v in LEVELS)}])) AS cut FROM cm UNION ALL SELECT '-inf'::DOUBLE),
       ch AS (SELECT query, cut, sum(pos) AS p, sum(tot - pos) AS n FROM cm, cuts WHERE comp <> 0 AND score < cut GROUP BY ALL),
       dc AS (SELECT document_id, printf('%.6f', cut) AS candidate, avg((tp - coalesce(p, 0)) / CAST(tp + fn + fp - coalesce(n, 0) AS DOUBLE)) AS score

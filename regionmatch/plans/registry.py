@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from regionmatch.plans import contract_checks, learning, matching, raster, regions, scoring, training
+from regionmatch.plans import contract_checks, learning, matching, raster, regions, scoring, texture_maps, training
 
-_PARTS = (scoring, contract_checks, raster, regions, matching, training, learning)
+_PARTS = (scoring, contract_checks, raster, regions, matching, training, learning, texture_maps)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
