@@ -18,50 +18,45 @@ TILE = 128
 HEADER = ("h", "w", "y", "x")
 
 
-def _copies(c: Column, n: Column, halo: int, border: str) -> Column:
-    """All coordinates in [-halo, n + halo) that show the value of coordinate ``c``."""
-    lo, hi = F.lit(-halo), n - 1 + halo
+def _copies(c: str, n: str, halo: int, border: str) -> str:
+    """SQL array of all coordinates in [-halo, n + halo) that show the value of coordinate ``c``."""
     if border == "none" or halo == 0:
-        return F.array(c)
+        return f"array({c})"
     if border == "replicate":
         return (
-            F.when(n == 1, F.sequence(lo, hi))
-            .when(c == 0, F.sequence(lo, c))
-            .when(c == n - 1, F.sequence(c, hi))
-            .otherwise(F.array(c))
+            f"CASE WHEN {n} = 1 THEN sequence({-halo}, {halo}) WHEN {c} = 0 THEN sequence({-halo}, 0) "
+            f"WHEN {c} = {n} - 1 THEN sequence({c}, {c} + {halo}) ELSE array({c}) END"
         )
     if border != "reflect":
         raise ValueError(f"unknown border rule {border}")
-    period = F.greatest(2 * (n - 1), F.lit(1))
-    turns = F.ceil(F.lit(halo) / period).cast("int") + 1
-    shown = F.flatten(
-        F.transform(F.sequence(-turns, turns), lambda k: F.array(c + k * period, -c + k * period))
+    period = f"greatest(2 * ({n} - 1), 1)"
+    turns = f"(CAST(ceil({halo} / {period}) AS INT) + 1)"
+    shown = f"flatten(transform(sequence(-{turns}, {turns}), k -> array({c} + k * {period}, k * {period} - {c})))"
+    return (
+        f"CASE WHEN {c} > {halo} AND {c} < {n} - 1 - {halo} THEN array({c}) "
+        f"WHEN {n} = 1 THEN sequence({-halo}, {halo}) "
+        f"ELSE array_distinct(filter({shown}, p -> p >= {-halo} AND p <= {n} - 1 + {halo})) END"
     )
-    shown = F.array_distinct(F.filter(shown, lambda p: (p >= lo) & (p <= hi)))
-    inner = (c > halo) & (c < n - 1 - halo)
-    return F.when(inner, F.array(c)).when(n == 1, F.sequence(lo, hi)).otherwise(shown)
 
 
-def _places(c: Column, n: Column, halo: int, border: str, tile: int, pos: str, at: str) -> Column:
-    """Array of (coordinate, tile index) pairs for one axis."""
-    last = F.floor((n - 1) / tile).cast("int")
-    first_tile = lambda p: F.greatest(F.floor((p - halo) / tile).cast("int"), F.lit(0))
-    last_tile = lambda p: F.least(F.floor((p + halo) / tile).cast("int"), last)
-    def pairs(p):
-        return F.when(
-            first_tile(p) <= last_tile(p),
-            F.transform(F.sequence(first_tile(p), last_tile(p)), lambda t: F.struct(p.cast("int").alias(pos), t.alias(at))),
-        ).otherwise(F.array().cast(f"array<struct<{pos}:int,{at}:int>>"))
-    return F.flatten(F.transform(_copies(c, n, halo, border), pairs))
+def _places(c: str, n: str, halo: int, border: str, tile: int, at: str) -> str:
+    """SQL array of (coordinate, tile index) pairs for one axis."""
+    first = f"greatest(CAST(floor((p - {halo}) / {tile}) AS INT), 0)"
+    last = f"least(CAST(floor((p + {halo}) / {tile}) AS INT), CAST(floor(({n} - 1) / {tile}) AS INT))"
+    pair = f"t -> named_struct('{c}', CAST(p AS INT), '{at}', t)"
+    none = f"CAST(array() AS ARRAY<STRUCT<{c}: INT, {at}: INT>>)"
+    return (
+        f"flatten(transform({_copies(c, n, halo, border)}, p -> "
+        f"CASE WHEN {first} <= {last} THEN transform(sequence({first}, {last}), {pair}) ELSE {none} END))"
+    )
 
 
 def halo_tiles(
     cells: DataFrame, halo: int, border: str = "reflect", tile: int = TILE, keys: Sequence[str] = ("image",)
 ) -> DataFrame:
     """Send cells to tiles; adds ``ty, tx`` and rewrites ``y, x`` to the shown coordinates."""
-    c = F.col
-    out = cells.withColumn("_py", F.explode(_places(c("y"), c("h"), halo, border, tile, "y", "ty")))
-    out = out.withColumn("_px", F.explode(_places(c("x"), c("w"), halo, border, tile, "x", "tx")))
+    out = cells.withColumn("_py", F.expr(f"explode({_places('y', 'h', halo, border, tile, 'ty')})"))
+    out = out.withColumn("_px", F.expr(f"explode({_places('x', 'w', halo, border, tile, 'tx')})"))
     rest = [n for n in cells.columns if n not in ("y", "x")]
     out = out.select(*rest, "_py.y", "_px.x", "_py.ty", "_px.tx")
     return out.repartition(*keys, "ty", "tx")

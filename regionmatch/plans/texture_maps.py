@@ -74,10 +74,9 @@ _TPL = f"""{_PX}, {fx.BOXES}, vr AS (SELECT b.*, v, x1 - x0 AS bw, y1 - y0 AS bh
      CASE v WHEN 'rot90' THEN bw ELSE bh END AS th, CASE v WHEN 'rot90' THEN bh ELSE bw END AS tw
      FROM vr JOIN px ON px.image = vr.image AND y >= y0 AND y < y1 AND x >= x0 AND x < x1),
   ts AS (SELECT *, g - avg(g) OVER (PARTITION BY query, v) AS g0, greatest(3, least(th, tw) // 2) // 2 * 2 + 1 AS pool FROM tp),
-  po AS (SELECT ts.query, v, image, h, w, th, tw, pool, y0 AS oy, x0 AS ox, sum(g0 * (gray / 255.0::DOUBLE)) AS cross_, sum(gray / 255.0::DOUBLE) AS s,
-      sum((gray / 255.0::DOUBLE) * (gray / 255.0::DOUBLE)) AS ss, sum(g0 * g0) AS gg
-    FROM (SELECT image, h, w, y AS y0, x AS x0 FROM px) o JOIN ts USING (image) JOIN px p USING (image, h, w)
-    WHERE y0 + th <= h AND x0 + tw <= w AND p.y = y0 + i AND p.x = x0 + j GROUP BY ALL),
+  pt AS (SELECT query, v, image, h, w, th, tw, pool, p.y - i AS oy, p.x - j AS ox, g0, gray / 255.0::DOUBLE AS f FROM ts JOIN px p USING (image)),
+  po AS (SELECT query, v, image, th, tw, pool, oy, ox, sum(g0 * f) AS cross_, sum(f) AS s, sum(f * f) AS ss, sum(g0 * g0) AS gg
+    FROM pt WHERE oy >= 0 AND ox >= 0 AND oy + th <= h AND ox + tw <= w GROUP BY ALL),
   sc AS (SELECT query, v, image, oy + th // 2 AS y, ox + tw // 2 AS x, pool,
       CASE WHEN greatest(ss - s * s / (th * tw), 0) * gg > 1e-18 THEN least(greatest(cross_ / sqrt((ss - s * s / (th * tw)) * gg), -1), 1) ELSE 0 END AS r FROM po),
   fl AS (SELECT DISTINCT q.query, q.v, px.image, px.h, px.w, px.y, px.x, q.pool FROM px JOIN (SELECT DISTINCT query, v, image, pool FROM ts) q USING (image)),
