@@ -19,7 +19,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 9) + 0.0
+        return round(v, 11) + 0.0
     return v
 
 
