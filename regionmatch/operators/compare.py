@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from regionmatch.functions.scalars import draw
 from regionmatch.operators.ordering import position
+from regionmatch.session import cut_lineage, join_measured
 
 
 def document_delta(a: DataFrame, b: DataFrame, key: str = "document_id", value: str = "document_iou") -> DataFrame:
@@ -38,8 +39,8 @@ def bootstrap_means(deltas: DataFrame, key: str, bucket: Column, replicates: int
     so the resamples can be repeated in any engine; the replicates are averaged with map-side
     combining.
     """
-    at = numbered(deltas.select(key, "delta"), key, bucket, "_at")
-    size = deltas.agg(F.count("*")).scalar()
+    at = cut_lineage(numbered(deltas.select(key, "delta"), key, bucket, "_at"))
+    size = at.agg(F.count("*")).scalar()
     reps = deltas.sparkSession.range(replicates).select(F.col("id").alias("replicate"), size.alias("_size"))
     draws = reps.select(
         "replicate",
@@ -47,7 +48,7 @@ def bootstrap_means(deltas: DataFrame, key: str, bucket: Column, replicates: int
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)).alias("_i"),
     )
     draws = draws.select("replicate", draw(seed, F.col("replicate"), F.col("_i"), F.col("_size")).alias("_at"))
-    return draws.join(at, "_at").groupBy("replicate").agg(F.avg("delta").alias("mean_delta"))
+    return join_measured(draws, at.select("_at", "delta"), "_at").groupBy("replicate").agg(F.avg("delta").alias("mean_delta"))
 
 
 def bootstrap_interval(means: DataFrame) -> DataFrame:

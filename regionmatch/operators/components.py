@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from regionmatch.operators.grid import gaussian
 from regionmatch.operators.tiles import TILE
-from regionmatch.session import cut_lineage
+from regionmatch.session import by_shuffle, cut_lineage
 
 
 def _smallest_label(n: int, a, b):
@@ -247,6 +247,6 @@ def query_component(labelled: DataFrame, boxes: DataFrame, stride: int = 1) -> D
     b = boxes.select("query", *[F.floor((c(n) - e) / stride).alias(n) for n, e in (("x0", 0), ("y0", 0), ("x1", 1), ("y1", 1))])
     rows = b.select("query", F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1")
     wanted = rows.select("query", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    hits = labelled.filter("label is not null").join(wanted, ["query", "y", "x"]).groupBy("query", "label").agg(F.count("*").alias("_n"))
+    hits = labelled.filter("label is not null").join(by_shuffle(wanted), ["query", "y", "x"]).groupBy("query", "label").agg(F.count("*").alias("_n"))
     best = F.max_by(F.struct("label", "_n"), F.struct(c("_n"), -c("label"))).alias("_b")
     return hits.groupBy("query").agg(best).select("query", c("_b.label").alias("label"), c("_b._n").alias("cells"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from regionmatch.operators.tiles import TILE, along_columns, along_rows, core, halo_tiles
+from regionmatch.session import by_shuffle
 
 
 def _axis_cells(lo: Column, hi: Column, stride: float, n: Column) -> Column:
@@ -54,7 +55,7 @@ def bilinear(points: DataFrame, grid: DataFrame, values: Sequence[str], stride:
     pts = pts.withColumns({"_cy": F.floor("_fy").cast("int"), "_cx": F.floor("_fx").cast("int")})
     quad = corner_values(grid, values, keys, tile)
     quad = quad.select(*keys, c("y").alias("_cy"), c("x").alias("_cx"), *[f for v in values for f in (v, f"{v}_01", f"{v}_10", f"{v}_11")])
-    j = pts.join(quad, [*keys, "_cy", "_cx"])
+    j = by_shuffle(pts).join(quad, [*keys, "_cy", "_cx"])
     wy, wx = c("_fy") - c("_cy"), c("_fx") - c("_cx")
     out = {v: c(v) * (1 - wy) * (1 - wx) + c(f"{v}_01") * (1 - wy) * wx + c(f"{v}_10") * wy * (1 - wx) + c(f"{v}_11") * wy * wx for v in values}
     return j.withColumns(out).drop("_fy", "_fx", "_cy", "_cx", *[f"{v}_{s}" for v in values for s in ("01", "10", "11")])

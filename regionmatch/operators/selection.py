@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from regionmatch.session import by_shuffle
+
 
 def nested_choice(scores: DataFrame) -> DataFrame:
     """Per held-out fold, the candidate with the best mean on the other folds and its held-out mean.
@@ -48,7 +50,7 @@ def alias_pairs(maps: DataFrame, inside: DataFrame, t: float, value: str = "p")
     """
     c = F.col
     size = inside.groupBy("query").agg(F.count("*").alias("n")).withColumnRenamed("query", "host")
-    host = inside.select("image", "y", "x", c("query").alias("host"))
+    host = by_shuffle(inside.select("image", "y", "x", c("query").alias("host")))
     guest = maps.select("image", "y", "x", c("query").alias("guest"), c(value).alias("_v"))
     high = host.join(guest.filter(c("_v") > t), ["image", "y", "x"]).filter(c("host") != c("guest"))
     seen = high.groupBy("host", "guest").agg(F.count("*").alias("k"), F.min("_v").alias("_up")).join(size, "host")

@@ -19,6 +19,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> Spar
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )
@@ -46,3 +47,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{scratch_root(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """Mark a side whose rows were multiplied by an explode: its size estimate is that of its
+    source, so it must not be picked for a broadcast."""
+    return df.hint("merge")
+
+
+def join_measured(big: DataFrame, small: DataFrame, on: list[str] | str, max_rows: int = 1_000_000) -> DataFrame:
+    """Inner join that broadcasts ``small`` only after counting it; beyond the bound both sides shuffle."""
+    from pyspark.sql import functions as F
+
+    if small.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(small), on)
+    return by_shuffle(big).join(small, on)
