@@ -15,61 +15,61 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 KINDS = ("positive", "negative", "blank", "known", "excluded", "predicted")
 
 
+def mark_explicit(shapes: DataFrame, explicit: DataFrame) -> DataFrame:
+    """Tell boxes or runs whether their query has an explicit known region.
+
+    Done on the short tables of boxes, so that the swept runs never have to be joined for it.
+    """
+    names = explicit.select("query").distinct().withColumn("explicit", F.lit(True))
+    return shapes.join(names, "query", "left").withColumn("explicit", F.coalesce("explicit", F.lit(False)))
+
+
 def box_runs(boxes: DataFrame) -> DataFrame:
     """Rasterize boxes (query, kind, x0, y0, x1, y1) to one run per row; empty boxes vanish."""
     solid = boxes.filter((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")))
-    return solid.select("query", "kind", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"), "x0", "x1")
+    rows = F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y")
+    return solid.select(*[n for n in ("query", "explicit", "kind") if n in boxes.columns], rows, "x0", "x1")
 
 
 def flag_runs(runs: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
-    """Disjoint runs (query, y, x0, x1) with a boolean column per kind; uncovered stretches are left out."""
-    ends = runs.select(
-        "query",
-        "y",
-        "kind",
-        F.inline(
-            F.array(
-                F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d"))
-            )
-        ),
-    )
-    events = ends.groupBy("query", "y", "x").agg(
+    """Disjoint maximal runs (query, y, x0, x1) with a boolean column per kind; uncovered stretches are left out.
+
+    One exchange by (query, y) serves the sum of the events and the sweep.
+    """
+    head = [n for n in ("query", "explicit", "y") if n in runs.columns]
+    end = lambda x, d: F.struct(F.col(x).alias("x"), F.lit(d).alias("d"))
+    ends = runs.select(*head, "kind", F.inline(F.array(end("x0", 1), end("x1", -1)))).repartition("query", "y")
+    events = ends.groupBy(*head, "x").agg(
         *[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(f"_{k}") for k in kinds]
     )
     row = W.partitionBy("query", "y").orderBy("x")
     upto = row.rowsBetween(W.unboundedPreceding, 0)
-    flags = events.select("query", "y", "x", F.struct(*[(F.sum(f"_{k}").over(upto) > 0).alias(k) for k in kinds]).alias("_f"))
+    flags = events.select(*head, "x", F.struct(*[(F.sum(f"_{k}").over(upto) > 0).alias(k) for k in kinds]).alias("_f"))
     turns = flags.withColumn("_before", F.lag("_f").over(row)).filter(~F.col("_f").eqNullSafe(F.col("_before")))
-    swept = turns.select("query", "y", F.col("x").alias("x0"), F.lead("x").over(row).alias("x1"), "_f.*")
+    swept = turns.select(*head, F.col("x").alias("x0"), F.lead("x").over(row).alias("x1"), "_f.*")
     any_kind = F.lit(False)
     for k in kinds:
         any_kind = any_kind | F.col(k)
     return swept.filter(F.col("x1").isNotNull() & any_kind)
 
 
-def with_known(flags: DataFrame, explicit: DataFrame) -> DataFrame:
+def with_known(flags: DataFrame) -> DataFrame:
     """Add ``reviewed``: the explicit known region where a query has one, else every labelled pixel.
 
-    ``explicit``: the queries with an explicit known region.  ``scored`` then leaves out the
-    query and context boxes.
+    ``scored`` then leaves out the query and context boxes.
     """
-    marked = flags.join(explicit.select("query").distinct().withColumn("_explicit", F.lit(True)), "query", "left")
     labelled = F.col("positive") | F.col("negative") | F.col("blank")
-    reviewed = F.when(F.col("_explicit"), F.col("known")).otherwise(labelled)
+    reviewed = F.when(F.col("explicit"), F.col("known")).otherwise(labelled)
     return (
-        marked.withColumn("reviewed", reviewed)
+        flags.withColumn("reviewed", reviewed)
         .withColumn("scored", F.col("reviewed") & ~F.col("excluded"))
         .withColumn("outside_known", labelled & ~F.col("reviewed"))
-        .drop("_explicit")
+        .drop("explicit")
     )
 
 
-def _length():
-    return F.col("x1") - F.col("x0")
-
-
 def _pixels(cond):
-    return F.sum(F.when(cond, _length()).otherwise(0)).cast("long")
+    return F.sum(F.when(cond, F.col("x1") - F.col("x0")).otherwise(0)).cast("long")
 
 
 def domain_metadata(flags: DataFrame, requests: DataFrame) -> DataFrame:

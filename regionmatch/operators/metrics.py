@@ -136,23 +136,24 @@ def dev_score(counts: DataFrame) -> DataFrame:
 
 
 def threshold_counts(domain: DataFrame, prob: str, thresholds: Sequence[float], keys: Sequence[str]) -> DataFrame:
-    """True and false positives of ``prob > t`` for every threshold, in one pass and one shuffle.
+    """True and false positives of ``prob > t`` for every threshold.
 
-    Result: ``keys``, ``positives``, and the fixed-length arrays ``tp`` and ``fp``.
+    A row only adds to the bin that says how many thresholds it passes; bins are combined on the
+    map side, and the counts of all thresholds follow from sums over a query's few bins.
+    Thresholds must ascend. Result: ``keys``, ``positives``, and the arrays ``tp`` and ``fp``.
     """
-    p, pos = F.col(prob), F.col("pos")
-    hits, misses = [], []
-    for k, t in enumerate(thresholds):
-        hits.append(F.count_if((p > t) & pos).alias(f"_tp{k}"))
-        misses.append(F.count_if((p > t) & ~pos).alias(f"_fp{k}"))
-    wide = domain.groupBy(*keys).agg(F.count_if(pos).alias("positives"), *hits, *misses)
-    n = range(len(thresholds))
-    return wide.select(
-        *keys,
-        "positives",
-        F.array(*[F.col(f"_tp{k}") for k in n]).alias("tp"),
-        F.array(*[F.col(f"_fp{k}") for k in n]).alias("fp"),
+    p, pos, n = F.col(prob), F.col("pos"), len(thresholds)
+    passed = sum((F.when(p > t, 1).otherwise(0) for t in thresholds), F.lit(0))
+    bins = domain.groupBy(*keys, passed.alias("_bin")).agg(
+        F.count_if(pos).alias("_p"), F.count_if(~pos).alias("_n")
+    )
+    few = bins.groupBy(*keys).agg(
+        F.sum("_p").alias("positives"), F.collect_list(F.struct("_bin", "_p", "_n")).alias("_bins")  # at most n + 1 entries
+    )
+    above = lambda name: F.expr(
+        f"transform(sequence(0, {n - 1}), k -> aggregate(_bins, 0L, (acc, b) -> acc + IF(b._bin > k, b.{name}, 0L)))"
     )
+    return few.select(*keys, "positives", above("_p").alias("tp"), above("_n").alias("fp"))
 
 
 def threshold_ious(counts: DataFrame) -> DataFrame:
@@ -221,31 +222,29 @@ def accepted_stats(cells: DataFrame, prob: str, levels: Sequence[float], keys: S
 # ---- separability -----------------------------------------------------------------------
 
 
-def feature_auc(rows: DataFrame, feature: str, bucket: Column) -> DataFrame:
-    """Folded AUC of one feature per query; undefined values take the query's minimum.
+def feature_auc(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Folded AUC of features per query; undefined values take the query's minimum.
 
-    Equal values are merged first, then ranked through distributed running counts, so no query
-    has to fit in one task.
+    All features go through one pass in long form. Equal values are merged first, then ranked
+    through distributed running counts, so no query has to fit in one task.
     """
-    from regionmatch.operators.ordering import running_sums
+    from regionmatch.operators.ordering import running_sums, value_bucket
 
-    v = F.col(feature).cast("double")
-    # A null sorts before every value of its query, where the minimum ties with it.
-    lows = rows.groupBy("query").agg(F.min(v).alias("_low"), F.count_if("pos").alias("_p"), F.count_if(~F.col("pos")).alias("_n"))
+    doubled = rows.select("query", "pos", *[F.col(f).cast("double").alias(f) for f in features])
+    long = doubled.unpivot(["query", "pos"], list(features), "feature", "_v")
+    by = ["query", "feature"]
+    merged = long.groupBy(*by, "_v").agg(F.count_if("pos").alias("_hp"), F.count_if(~F.col("pos")).alias("_hn"))
+    lows = merged.groupBy(*by).agg(F.min("_v").alias("_low"), F.sum("_hp").alias("_p"), F.sum("_hn").alias("_n"))
     lows = lows.filter((F.col("_p") > 0) & (F.col("_n") > 0) & F.col("_low").isNotNull())
-    merged = (
-        rows.groupBy("query", v.alias("_v"))
-        .agg(F.count_if("pos").alias("_hp"), F.count_if(~F.col("pos")).alias("_hn"))
-        .join(lows.select("query", "_low"), "query")
-        .groupBy("query", F.coalesce("_v", "_low").alias(feature))
-        .agg(F.sum("_hp").alias("_hp"), F.sum("_hn").alias("_hn"))
-    )
-    ranked = running_sums(merged, ["query"], [F.col(feature)], bucket, {"_below": F.col("_hn")})
+    # A null ties with the minimum of its query.
+    filled = merged.join(lows.select(*by, "_low"), by).groupBy(*by, F.coalesce("_v", "_low").alias("_v")).agg(
+        F.sum("_hp").alias("_hp"), F.sum("_hn").alias("_hn"))
+    ranked = running_sums(filled, by, [F.col("_v")], value_bucket(F.col("_v"), 16), {"_below": F.col("_hn")})
     # Each positive beats the negatives strictly below it and half of those it ties with.
-    wins = ranked.groupBy("query").agg(
+    wins = ranked.groupBy(*by).agg(
         F.sum(F.col("_hp") * (F.col("_below") - F.col("_hn") / 2.0)).alias("_w"),
         F.sum("_hp").alias("_p"),
         F.sum("_hn").alias("_n"),
     )
     auc = ratio(F.col("_w"), F.col("_p") * F.col("_n"))
-    return wins.select("query", F.greatest(auc, 1.0 - auc).alias("auc"))
+    return wins.select(*by, F.greatest(auc, 1.0 - auc).alias("auc"))

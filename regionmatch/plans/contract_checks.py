@@ -173,8 +173,9 @@ def label_boxes(spark, sf):
 
 def _flags(spark, sf):
     b = label_boxes(spark, sf)
-    flags = domains.flag_runs(domains.box_runs(b))
-    return domains.with_known(flags, b.filter("kind = 'known'"))
+    # Whether a request has an explicit known region follows from its own boxes.
+    b = domains.mark_explicit(b, b.filter("kind = 'known'"))
+    return domains.with_known(domains.flag_runs(domains.box_runs(b)))
 
 
 def box_pixels(spark, sf):

@@ -29,10 +29,11 @@ def score_files(spark: SparkSession, manifest_path: str, mask_runs: DataFrame, p
     m = manifests.load_manifest(spark, manifest_path)
     absent = m.select(F.col("id").alias("query")).join(predictions.select("query"), "query", "left_anti")
     contracts.require_clean(absent.withColumn("rule", F.lit("missing_prediction")))
-    boxes = domains.box_runs(manifests.label_region_boxes(m))
-    runs = boxes.unionByName(mask_runs).unionByName(
-        predictions.filter("y >= 0").select("query", F.lit("predicted").alias("kind"), "y", "x0", "x1"))
-    flags = domains.with_known(domains.flag_runs(runs), manifests.explicit_known(m))
+    explicit = manifests.explicit_known(m)
+    drawn = predictions.filter("y >= 0").select("query", F.lit("predicted").alias("kind"), "y", "x0", "x1")
+    boxes = domains.box_runs(domains.mark_explicit(manifests.label_region_boxes(m), explicit))
+    runs = boxes.unionByName(domains.mark_explicit(mask_runs.unionByName(drawn), explicit))
+    flags = domains.with_known(domains.flag_runs(runs))
     requests = m.select(F.col("id").alias("query"), "document_id", "kind", "width", "height")
     contracts.require_clean(domains.domain_violations(flags, requests))
     counts = domains.run_confusion(flags)

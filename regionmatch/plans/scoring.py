@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regionmatch.functions.scalars import sample_key
 from regionmatch.operators import compare, metrics, sampling
-from regionmatch.operators.ordering import exact_quantiles, first_n, id_bucket, unit_bucket
+from regionmatch.operators.ordering import exact_quantiles, id_bucket, unit_bucket
 from regionmatch.plans import fixtures as fx
 
 CUT = 0.55
@@ -225,14 +224,9 @@ def feature_auc(spark, sf):
     """Document-macro folded AUC of three features, best first."""
     rows = fx.pixels(spark, sf)
     rows = rows.withColumn("quantity", F.when(F.col("p_b") > 0.9, None).otherwise(F.col("quantity")))
-    docs = _documents(spark, sf)
-    out = None
-    for name, bucket in (("p_a", unit_bucket(F.col("p_a"))), ("p_b", unit_bucket(F.col("p_b"))),
-                         ("quantity", F.floor("quantity").cast("long"))):
-        auc = metrics.feature_auc(rows, name, bucket).join(docs, "query")
-        one = auc.groupBy("document_id").agg(F.avg("auc").alias("a")).agg(F.round(F.avg("a"), 6).alias("auc"))
-        one = one.select(F.lit(name).alias("feature"), "auc")
-        out = one if out is None else out.unionByName(one)
+    auc = metrics.feature_auc(rows, ["p_a", "p_b", "quantity"]).join(_documents(spark, sf), "query")
+    docs = auc.groupBy("feature", "document_id").agg(F.avg("auc").alias("a"))
+    out = docs.groupBy("feature").agg(F.round(F.avg("a"), 6).alias("auc"))
     return out.orderBy(F.desc("auc"), "feature").limit(40)
 
 

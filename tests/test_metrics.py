@@ -48,7 +48,7 @@ def test_masks_shrink_with_the_threshold(spark):
 def test_auc_merges_undefined_with_the_minimum(spark):
     rows = [(1, True, 3.0), (1, True, None), (1, False, 1.0), (1, False, 2.0), (2, True, 1.0)]
     d = spark.createDataFrame(rows, "query int, pos boolean, f double")
-    out = metrics.feature_auc(d, "f", F.floor("f").cast("long")).collect()
+    out = metrics.feature_auc(d, ["f"]).collect()
     # query 1: values 3, 1 against 1, 2 -> 2 wins, half a tie, one loss
     assert [(r["query"], r["auc"]) for r in out] == [(1, 0.625)]
 
