@@ -164,22 +164,12 @@ def threshold_ious(counts: DataFrame) -> DataFrame:
 
 def threshold_sweep(ious: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """Document-macro and mean query IoU for each threshold."""
-    n = range(len(thresholds))
-    docs = ious.groupBy("document_id").agg(
-        F.count("*").alias("_n"), *[F.sum(F.col("ious")[k]).alias(f"_s{k}") for k in n]
-    )
-    one = docs.agg(
-        *[F.avg(F.col(f"_s{k}") / F.col("_n")).alias(f"_d{k}") for k in n],
-        *[(F.sum(f"_s{k}") / F.sum("_n")).alias(f"_q{k}") for k in n],
-    )
-    rows = F.array(
-        *[
-            F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_d{k}").alias("doc_macro"),
-                     F.col(f"_q{k}").alias("query_mean"))
-            for k, t in enumerate(thresholds)
-        ]
-    )
-    return one.select(F.inline(rows))
+    long = ious.select("document_id", F.posexplode("ious").alias("_k", "_iou"))
+    docs = long.groupBy("document_id", "_k").agg(F.count("*").alias("_n"), F.sum("_iou").alias("_s"))
+    grid = F.array(*[F.lit(float(t)) for t in thresholds])
+    return docs.groupBy("_k").agg(
+        F.avg(ratio(F.col("_s"), F.col("_n"))).alias("doc_macro"), ratio(F.sum("_s"), F.sum("_n")).alias("query_mean")
+    ).select(F.get(grid, F.col("_k")).alias("threshold"), "doc_macro", "query_mean")
 
 
 def best_threshold(ious: DataFrame, thresholds: Sequence[float], default: float) -> DataFrame:
