@@ -36,5 +36,124 @@ def op8_compression_bands(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_random_indexing_quality, op4_toxicity_grammar, op8_compression_bands)}
-ORACLE: dict[str, str] = {}
+def op2_warc_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    from regionmatch.llm import warc_chunks
+
+    return warc_chunks.round_trip(_table(spark, sf, "pages"))
+
+
+def op3_suffix_tree_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from regionmatch.llm.suffix_trees import dedup_words
+
+    return dedup_words(_table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op5_bwt_merge_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from regionmatch.llm.bwt_merge import dedup_bytes
+
+    return dedup_bytes(_table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op6_preference_format(spark: SparkSession, sf: str) -> DataFrame:
+    from regionmatch.llm import preference_format as pf
+
+    return pf.preference_format(pf.pairs_of(_table(spark, sf, "conversations")))
+
+
+def op7_piece_lattice(spark: SparkSession, sf: str) -> DataFrame:
+    """Encode every whole text, decode it again, and carry the hash of what came back."""
+    from regionmatch.llm import piece_lattice as pl
+
+    vocabulary = pl.load()
+    coded = pl.summary(pl.encode(_table(spark, sf, "documents"), vocabulary))
+    back = pl.decode(coded, vocabulary)
+    return back.select("doc_id", "n_pieces", "ids", "scores", "sizes", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_fm_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    from regionmatch.llm import fm_decontamination as fm
+
+    found = fm.find_contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), fm.contaminated().alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_random_indexing_quality, op2_warc_chunks, op3_suffix_tree_dedup, op4_toxicity_grammar, op5_bwt_merge_dedup, op6_preference_format,
+    op7_piece_lattice, op8_compression_bands, op9_fm_decontamination,
+)}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_PLAIN = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+ORACLE: dict[str, str] = {
+    "op2_warc_chunks": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+k AS (SELECT h, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY h)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN k.keeper IS NULL OR k.keeper = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN k.keeper <> p.page_id THEN k.keeper END AS refers_to
+FROM p LEFT JOIN k ON p.h = k.h""",
+    "op3_suffix_tree_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d WHERE len(w) >= 20)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS i FROM rep),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+    "op6_preference_format": """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations),
+n AS (SELECT conv_id, count(*) AS n, max(i) FILTER (role = 'assistant') AS last, min(i) FILTER (role = 'assistant') AS first FROM c GROUP BY 1),
+o AS (SELECT conv_id, role AS r0, text AS t0 FROM c WHERE i = 1),
+l AS (SELECT r0, t0, min(conv_id) AS leader FROM o GROUP BY 1, 2 HAVING count(*) > 1),
+p AS (SELECT o.conv_id AS pair_id, CASE WHEN l.leader <> o.conv_id THEN l.leader ELSE o.conv_id END AS chosen_id, coalesce(l.leader <> o.conv_id, false) AS led
+  FROM o LEFT JOIN l USING (r0, t0)),
+side AS (
+  SELECT pair_id, 'c' AS s, i, role, text FROM p JOIN c ON c.conv_id = p.chosen_id
+  UNION ALL SELECT pair_id, 'r', i, role, text FROM p JOIN c ON c.conv_id = p.pair_id WHERE led
+  UNION ALL SELECT pair_id, 'r', c.i, c.role, CASE WHEN c.i = n.last THEN coalesce(f.text, '') ELSE c.text END
+  FROM p JOIN c ON c.conv_id = p.pair_id JOIN n ON n.conv_id = p.pair_id
+  LEFT JOIN c f ON f.conv_id = p.pair_id AND f.i = CASE WHEN n.first < n.last THEN n.first ELSE n.last - 1 END
+  WHERE NOT led AND c.i <= coalesce(n.last, n.n - 1)),
+m AS (SELECT p.pair_id, coalesce(min(CASE WHEN b.i IS NULL OR a.role <> b.role OR a.text <> b.text THEN a.i END) - 1, max(a.i)) AS k
+  FROM p JOIN side a ON a.pair_id = p.pair_id AND a.s = 'c' LEFT JOIN side b ON b.pair_id = p.pair_id AND b.s = 'r' AND b.i = a.i GROUP BY 1),
+x AS (SELECT side.pair_id, s, i, role, k, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS t, length(role) + 5 AS h,
+  sum(CASE WHEN i > k THEN length(role) + length(text) + 13 END) OVER (PARTITION BY side.pair_id, s ORDER BY i) AS e, length(role) + length(text) + 13 AS z FROM side JOIN m USING (pair_id)),
+g AS (SELECT pair_id,
+  string_agg(t, '' ORDER BY i) FILTER (s = 'c' AND i <= k) AS prompt, string_agg(t, '' ORDER BY i) FILTER (s = 'c' AND i > k) AS chosen_text,
+  string_agg(t, '' ORDER BY i) FILTER (s = 'r' AND i > k) AS rejected_text,
+  string_agg(CAST(e - z + h AS BIGINT) || '-' || CAST(e AS BIGINT), ',' ORDER BY i) FILTER (s = 'c' AND i > k AND role = 'assistant') AS chosen_mask,
+  string_agg(CAST(e - z + h AS BIGINT) || '-' || CAST(e AS BIGINT), ',' ORDER BY i) FILTER (s = 'r' AND i > k AND role = 'assistant') AS rejected_mask
+  FROM x GROUP BY 1)
+SELECT p.pair_id, p.chosen_id, CAST(m.k AS INTEGER) AS n_common, coalesce(prompt, '') AS prompt, coalesce(chosen_text, '') AS chosen_text,
+  coalesce(chosen_mask, '') AS chosen_mask, coalesce(rejected_text, '') AS rejected_text, coalesce(rejected_mask, '') AS rejected_mask
+FROM p JOIN m USING (pair_id) JOIN g USING (pair_id)""",
+    "op9_fm_decontamination": f"""
+WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+b AS (SELECT item_id, {_PLAIN} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS k
+  FROM (SELECT item_id, w, least(13, len(w)) AS m, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS k
+  FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
+h AS (SELECT doc_id, i, m, item_id FROM dw JOIN bw USING (m, k)),
+hit AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + m - 1)) AS p FROM h) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(it.l, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op5_bwt_merge_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, h[2 * i + 1:2 * i + 100] AS k FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 50)) AS i FROM d WHERE length(h) >= 100)),
+low AS (SELECT k, min(doc_id) AS low FROM win GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+rep AS (SELECT doc_id, i FROM win JOIN low USING (k) WHERE doc_id > low),
+edge AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) > 50 AS fresh FROM (SELECT DISTINCT doc_id, i FROM rep)),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS e FROM (SELECT doc_id, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge) GROUP BY doc_id, r),
+gap AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM run),
+kept AS (SELECT doc_id, string_agg(h[2 * p + 1:2 * a], '' ORDER BY a) || any_value(h)[2 * max(e) + 1:] AS t, sum(e - a) AS n, count(*) AS s FROM gap JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(t, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+}
