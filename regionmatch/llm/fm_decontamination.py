@@ -226,8 +226,11 @@ def _merge(found: DataFrame) -> DataFrame:
     return got.select("doc_id", "row_key", "n_words", F.size("w").cast("long").alias("n_hit"), spans.alias("spans"), "items")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """Per row: words, hit words, merged spans of hit words (first and last, from 0) and the item ids found (sorted strings)."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, shard: int = SHARD, block: int = BLOCK, keep: bool = False) -> DataFrame:
+    """Per row: words, hit words, merged spans of hit words (first and last, from 0) and the item ids found (sorted strings).
+
+    ``keep`` adds them to all columns of ``docs`` instead, in place of columns of the same names.
+    """
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block) or 1
@@ -236,12 +239,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
     for k in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         found.append(_search(picked, Phrases([(r[0], r[1]) for r in own.collect()], window), shard))
-    if blocks == 1:
-        return found[0]
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return _merge(every)
+    if blocks > 1:
+        merged = _merge(every).withColumnsRenamed({"doc_id": "__id", "row_key": "__key"})
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key"))
+        every = picked.select("doc_id", "row_key").join(merged, same).drop("__id", "__key")
+    if not keep:
+        return every
+    result = every.dropDuplicates(["doc_id", "row_key"]).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "n_words", "n_hit", "spans", "items")
+    own = docs.drop("n_words", "n_hit", "spans", "items")
+    return own.join(result, own[id_column].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(own[text_column]) == F.col("__key"))).drop("__id", "__key")
 
 
 def contaminated():

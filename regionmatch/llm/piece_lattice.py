@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from regionmatch.llm import text as t
 
@@ -329,9 +329,9 @@ class Encoder:
         return out
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text", best: int = BEST) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text", best: int = BEST, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids of the best segmentation, and ``segmentations``: the best N as score and edits of the ids
-    (at, drop, put), the first without edits. One narrow pass."""
+    (at, drop, put), the first without edits; the columns named in ``keep`` go along. One narrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     edit = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("put", pa.list_(pa.int32()))])
     kind = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(edit))]))
@@ -342,10 +342,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", t
             ids, per_row, found = coder.encode(data, offsets)
             cut = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
             segs = [[{"score": s, "edits": [{"at": a, "drop": d, "put": p} for a, d, p in e]} for s, e in own] for own in found]
-            yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "ids": pa.ListArray.from_arrays(pa.array(cut), pa.array(ids, pa.int32())), "segmentations": pa.array(segs, kind)})
+            lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(segs, kind), *rows.columns[2:]], names=["doc_id", "ids", "segmentations", *keep])
 
-    picked = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return picked.mapInArrow(run, "doc_id long, ids array<int>, segmentations array<struct<score:double,edits:array<struct<at:int,drop:int,put:array<int>>>>>")
+    picked = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"), *[docs[c].alias(f"kept_{i}") for i, c in enumerate(keep)])
+    along = [StructField(c, f.dataType) for c, f in zip(keep, picked.schema.fields[2:])]
+    kinds = "ids array<int>, segmentations array<struct<score:double,edits:array<struct<at:int,drop:int,put:array<int>>>>>"
+    return picked.mapInArrow(run, StructType([StructField("doc_id", LongType()), *StructType.fromDDL(kinds).fields, *along]))
 
 
 def decode_ids(flat: np.ndarray, cuts: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:

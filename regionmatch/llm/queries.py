@@ -78,9 +78,15 @@ def op9_fm_decontamination(spark: SparkSession, sf: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), fm.contaminated().alias("contaminated"))
 
 
+def op10_minhash_forest_join(spark: SparkSession, sf: str) -> DataFrame:
+    from regionmatch.llm.minhash_forest import jaccard_join
+
+    return jaccard_join(_table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_random_indexing_quality, op2_warc_chunks, op3_suffix_tree_dedup, op4_toxicity_grammar, op5_bwt_merge_dedup, op6_preference_format,
-    op7_piece_lattice, op8_compression_bands, op9_fm_decontamination,
+    op7_piece_lattice, op8_compression_bands, op9_fm_decontamination, op10_minhash_forest_join,
 )}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -17,6 +17,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from regionmatch.llm import anchored as an
 from regionmatch.llm import text as t
@@ -122,15 +124,23 @@ def cut_words(data: np.ndarray, offsets: np.ndarray, spans: list[list[bytes]], w
     return per, np.bincount(row[gone], minlength=n), out, at[left]
 
 
-def dedup_words(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, k: int = GRAM, hot: int = an.HOT) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (kept words joined by one blank), kept_sha256 of every row."""
-    keyed = an.doc_columns(docs, id_column, text_column)
+def _with_spans(docs: DataFrame, id_column: str, text_column: str, width: int, k: int, hot: int) -> DataFrame:
+    """All columns of ``docs`` and the spans of each row's repeated windows."""
 
     def find(tokens, count, p):
         return repeats(tokens, count, p, width)
 
+    keyed = an.doc_columns(docs, id_column, text_column)
     spans = an.repeated_windows(keyed, word_tokens, np.uint64, find, width, k, False, SLICE, hot)
-    both = keyed.join(spans, ["doc", "crc"], "left").select("doc_id", "text", "spans")
+    key, crc = F.coalesce(docs[id_column].cast("long"), F.lit(an.LAST)), F.crc32(F.coalesce(docs[text_column], F.lit("")))
+    spans = spans.select(F.col("doc").alias("__doc"), F.col("crc").alias("__crc"), F.col("spans").alias("__spans"))
+    return docs.withColumns({"__key": key, "__sum": crc}).join(spans, (F.col("__key") == F.col("__doc")) & (F.col("__sum") == F.col("__crc")), "left").drop("__key", "__sum", "__doc", "__crc")
+
+
+def dedup_words(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, k: int = GRAM, hot: int = an.HOT) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (kept words joined by one blank), kept_sha256 of every row."""
+    both = _with_spans(docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")), "doc_id", "text", width, k, hot)
+    both = both.select(F.col("doc_id").cast("long"), "text", F.col("__spans").alias("spans"))
 
     def run(batches):
         for rows, data, offsets in t.slices(batches, "text", SLICE):
@@ -141,3 +151,26 @@ def dedup_words(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                                               "kept_text": pa.array(texts, pa.binary()).view(pa.string()), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in texts]})
 
     return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+
+
+def cut_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size_column: str = "n_chars", width: int = WIDTH, k: int = GRAM, hot: int = an.HOT) -> DataFrame:
+    """``docs`` with repeated passages cut from the text (kept words joined by one blank); a text without any
+    stays as it is. The size column, where there is one, follows a changed text."""
+    names = docs.columns
+    both = _with_spans(docs, id_column, text_column, width, k, hot)
+    at = both.columns.index("__spans")
+
+    def run(batches):
+        for rows, data, offsets in t.slices(batches, text_column, SLICE):
+            spans = [s or [] for s in rows.column(at).to_pylist()]
+            _, gone, out, cuts = cut_words(data, offsets, spans, width)
+            raw = out.tobytes()
+            texts = [raw[a:b] if g else None for a, b, g in zip(cuts[:-1], cuts[1:], gone)]
+            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(rows.columns) if i != at], pa.array(texts, pa.binary()).view(pa.string())], names=[*[n for n in rows.schema.names if n != "__spans"], "__cut"])
+
+    schema = StructType([*[f for f in both.schema.fields if f.name != "__spans"], StructField("__cut", StringType())])
+    cut = both.mapInArrow(run, schema)
+    if size_column in names:
+        size = F.when(F.col("__cut").isNotNull(), F.length("__cut").cast(docs.schema[size_column].dataType)).otherwise(F.col(size_column))
+        cut = cut.withColumn(size_column, size)
+    return cut.withColumn(text_column, F.coalesce("__cut", text_column)).select(*names)

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from regionmatch.llm import labels as lab
 from regionmatch.llm import text as t
@@ -252,3 +253,16 @@ def score(docs: DataFrame, grammar: Grammar, id_column: str = "doc_id", text_col
 
     picked = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
     return picked.mapInArrow(run, "doc_id long, score double, clauses array<struct<first:long,last:long,score:double>>")
+
+
+def score_column(docs: DataFrame, grammar: Grammar, text_column: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with the probability in a further column; clashing names are replaced."""
+    at = docs.drop(name)
+
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in t.slices([batch], text_column):
+                x, _ = grammar.features(data, offsets)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(grammar.probability(x))], names=[*rows.schema.names, name])
+
+    return at.mapInArrow(run, StructType([*at.schema.fields, StructField(name, DoubleType())]))
