@@ -19,7 +19,7 @@ HEADLINE = (
 
 def main() -> None:
     from regionmatch.plans import registry
-    from regionmatch.session import build_session
+    from regionmatch.session import build_session, drop_written
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -34,6 +34,7 @@ def main() -> None:
         registry.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
         print(name, times[name], file=sys.stderr, flush=True)
+    drop_written(spark)
     spark.stop()
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf.rsplit("sf", 1)[-1]}))
 

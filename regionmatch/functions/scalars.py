@@ -12,10 +12,6 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-def count_where(cond: Column) -> Column:
-    return F.count_if(cond)
-
-
 def clip(v: Column, lo, hi) -> Column:
     return F.least(F.greatest(v, F.lit(lo) if not isinstance(lo, Column) else lo),
                    F.lit(hi) if not isinstance(hi, Column) else hi)
@@ -53,7 +49,9 @@ def sample_key(seed: int, *cols: Column) -> Column:
 
 
 def draw(seed: int, a: Column, b: Column, n: Column) -> Column:
-    """Index in [0, n) from two counters, by integer arithmetic alone."""
-    mixed = (a.cast("long") * 1103515245 + b.cast("long") * 12345 + seed) % 2147483648
-    mixed = (mixed * 69069 + 362437) % 4294967296
-    return F.floor(mixed / 65536).cast("long") % n
+    """Index in [0, n) from two counters: the leading 60 bits of an md5, modulo n.
+
+    Even to n / 2**60, so n has no practical limit; any engine with md5 can repeat it.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), a.cast("string"), b.cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % n

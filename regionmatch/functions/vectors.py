@@ -45,7 +45,3 @@ def bhattacharyya(a: Column, b: Column) -> Column:
     root = lambda v: F.sqrt(F.greatest(v.cast("double"), F.lit(0.0)))
     return total(F.zip_with(a, b, lambda p, q: root(p) * root(q)))
 
-
-def mean_vector(column: str, dim: int) -> Column:
-    """Aggregate expression: element-wise mean of an array column of fixed width."""
-    return F.array(*[F.avg(F.col(column)[i].cast("double")) for i in range(dim)])

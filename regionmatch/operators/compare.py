@@ -35,19 +35,15 @@ def numbered(df: DataFrame, key: str, bucket: Column, name: str) -> DataFrame:
 def bootstrap_means(deltas: DataFrame, key: str, bucket: Column, replicates: int = 5000, seed: int = 0) -> DataFrame:
     """Mean delta of every document-level resample.
 
-    Draw ``i`` of replicate ``b`` takes the document at a position found by integer arithmetic,
-    so the resamples can be repeated in any engine; the replicates are averaged with map-side
-    combining.
+    Draw ``i`` of replicate ``b`` takes the document at a hashed position, so the resamples can be
+    repeated in any engine. All draws are one distributed range; the replicates are averaged with
+    map-side combining.
     """
     at = cut_lineage(numbered(deltas.select(key, "delta"), key, bucket, "_at"))
-    size = at.agg(F.count("*")).scalar()
-    reps = deltas.sparkSession.range(replicates).select(F.col("id").alias("replicate"), size.alias("_size"))
-    draws = reps.select(
-        "replicate",
-        "_size",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)).alias("_i"),
-    )
-    draws = draws.select("replicate", draw(seed, F.col("replicate"), F.col("_i"), F.col("_size")).alias("_at"))
+    n = at.count()
+    every = deltas.sparkSession.range(replicates * n)
+    pair = every.select(F.expr(f"id div {max(n, 1)}").alias("replicate"), (F.col("id") % max(n, 1)).alias("_i"))
+    draws = pair.select("replicate", draw(seed, F.col("replicate"), F.col("_i"), F.lit(n)).alias("_at"))
     return join_measured(draws, at.select("_at", "delta"), "_at").groupBy("replicate").agg(F.avg("delta").alias("mean_delta"))
 
 

@@ -104,8 +104,8 @@ def manifest_violations(manifest: DataFrame, require_labels: bool = True) -> Dat
 
 def unexpected_fields(records: DataFrame, key: str, fields: str, allowed: Sequence[str] = REQUEST_FIELDS) -> DataFrame:
     """Records carrying fields beyond the allowed ones; ``fields`` is an array of names."""
-    extra = F.array_except(fields, F.array(*[F.lit(a) for a in allowed]))
-    return records.select(key, F.concat_ws(",", F.array_sort(extra)).alias("extra")).filter(F.col("extra") != "")
+    unknown = F.array_except(fields, F.array(*[F.lit(a) for a in allowed]))
+    return records.select(key, F.concat_ws(",", F.array_sort(unknown)).alias("unknown")).filter(F.col("unknown") != "")
 
 
 def partition_leaks(df: DataFrame, group: str, partition: str) -> DataFrame:

@@ -73,7 +73,10 @@ def per_document(metrics: DataFrame, iou: str = "iou") -> DataFrame:
 
 
 def summary(metrics: DataFrame) -> DataFrame:
-    """One row: document-macro IoU, mean query IoU, pooled and empty-target rates."""
+    """One row: document-macro IoU, mean query IoU, pooled and empty-target rates.
+
+    Queries without a reviewed pixel count as examples and are reported as ``nothing_scored``.
+    """
     empty = F.col("iou").isNull()
     by_doc = metrics.groupBy("document_id").agg(
         F.avg("iou").alias("doc_iou"),
@@ -83,12 +86,14 @@ def summary(metrics: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in COUNTS],
         F.sum(F.when(empty, F.col("fp"))).alias("empty_fp"),
         F.sum(F.when(empty, F.col("reviewed_pixels"))).alias("empty_known"),
+        F.count_if(F.col("reviewed_pixels") == 0).alias("unscored"),
     )
     s = lambda c: F.coalesce(F.sum(c), F.lit(0))
     pooled = by_doc.agg(
         s("examples").alias("examples"),
         F.count("*").alias("documents"),
         s("nonempty").alias("nonempty_target_examples"),
+        s("unscored").alias("nothing_scored"),
         F.avg("doc_iou").alias("document_macro_iou"),
         ratio(F.sum("iou_sum"), F.sum("nonempty")).alias("mean_query_iou"),
         *[s(c).alias(c) for c in COUNTS],
@@ -99,7 +104,8 @@ def summary(metrics: DataFrame) -> DataFrame:
         "examples",
         "documents",
         "nonempty_target_examples",
-        (F.col("examples") - F.col("nonempty_target_examples")).alias("empty_target_examples"),
+        (F.col("examples") - F.col("nonempty_target_examples") - F.col("nothing_scored")).alias("empty_target_examples"),
+        "nothing_scored",
         "document_macro_iou",
         "mean_query_iou",
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("global_precision"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regionmatch.functions.scalars import draw
 from regionmatch.operators.ordering import first_n, hex_bucket, position
+from regionmatch.session import cut_lineage
 
 
 def capped_sample(rows: DataFrame, group: Sequence[str], key: Column, n: int) -> DataFrame:
@@ -143,7 +144,11 @@ def two_stage_draws(cells: DataFrame, draws: int, real_share: float, seed: int =
 
     u = lambda stage, n: draw(seed + stage, F.col("draw"), F.lit(stage), n)
     d = spark.range(draws).withColumnRenamed("id", "draw")
-    d = d.withColumn("kind", F.when(u(1, F.lit(10000)) < int(real_share * 10000), "real").otherwise("generated_cad"))
+    # A kind without documents leaves its draws to the other; there are at most two kinds to fetch.
+    kinds = cut_lineage(kinds)
+    there = {r.kind for r in kinds.select("kind").filter(F.col("kind").isin("real", "generated_cad")).collect()}
+    chosen = F.when(u(1, F.lit(10000)) < int(real_share * 10000), "real").otherwise("generated_cad")
+    d = d.withColumn("kind", chosen if len(there) != 1 else F.lit(there.pop()))
     d = d.join(kinds, "kind").withColumn("doc_at", u(2, F.col("n_docs")) + 1)
     d = d.join(docs, ["kind", "doc_at"]).withColumn("query_at", u(3, F.col("n_queries")) + 1)
     d = d.join(queries.select("kind", "document_id", "query", "query_at", "n_pos", "n_neg"),

@@ -98,11 +98,8 @@ def cut_scores(components: DataFrame, base: DataFrame, documents: DataFrame, fea
         F.avg("iou").alias("score"))
 
 
-def pooled_columns(labelled: DataFrame, names: Sequence[str], key: Column, cap: int, box_means: DataFrame) -> DataFrame:
-    """Component means of map columns over at most ``cap`` cells each, also minus the query box mean."""
-    from regionmatch.operators.ordering import first_n
-
-    some = first_n(labelled.filter("label is not null").withColumn("_k", key), ["query", "label"], [F.col("_k")], cap)
-    m = some.groupBy("query", "label").agg(F.count("*").alias("sampled"), *[F.avg(F.coalesce(F.col(n), F.lit(0.0))).alias(f"m_{n}") for n in names])
+def pooled_columns(labelled: DataFrame, names: Sequence[str], box_means: DataFrame) -> DataFrame:
+    """Component means of map columns over all cells, also minus the query box mean."""
+    m = labelled.filter("label is not null").groupBy("query", "label").agg(F.count("*").alias("cells"), *[F.avg(F.coalesce(F.col(n), F.lit(0.0))).alias(f"m_{n}") for n in names])
     j = m.join(box_means, "query")
     return j.withColumns({f"dm_{n}": F.col(f"m_{n}") - F.col(f"q_{n}") for n in names}).drop(*[f"q_{n}" for n in names])

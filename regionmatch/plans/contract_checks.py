@@ -105,7 +105,7 @@ def result_records(spark, sf):
     names = F.array(*[F.lit(n) for n in contracts.RECORD_FIELDS])
     return c.select(
         k.alias("id"),
-        F.when(k % 31 == 0, F.array_append(names, F.lit("extra"))).when(k % 37 == 0, F.slice(names, 1, 12)).otherwise(names).alias("fields"),
+        F.when(k % 31 == 0, F.array_append(names, F.lit("surplus"))).when(k % 37 == 0, F.slice(names, 1, 12)).otherwise(names).alias("fields"),
         F.when(k % 29 == 0, "1").otherwise("1.0").alias("schema_version"),
         F.when(k % 23 == 0, "http://example.org/r").when(k % 19 == 0, "https://user@example.org/r")
         .when(k % 17 == 0, "https://host.invalid/r").when(k % 13 == 0, "REPLACE_ME").otherwise("https://example.org/r").alias("repository"),
@@ -331,7 +331,7 @@ ORACLE = {
       CASE ctx WHEN 1 THEN '[[' || concat_ws(',', cx0, cy0, cx0 + 3, cy0 + 2) || ']]' ELSE '[]' END AS context_boxes
       FROM manifest WHERE id NOT IN (SELECT id FROM free)""",
     "unexpected_fields": """SELECT o_orderkey AS id, concat_ws(',', CASE WHEN o_orderkey % 11 = 0 THEN 'document_id' END,
-      CASE WHEN o_orderkey % 7 = 0 THEN 'labels' END) AS extra FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0""",
+      CASE WHEN o_orderkey % 7 = 0 THEN 'labels' END) AS unknown FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0""",
     "partition_leak": """SELECT o_custkey AS document_id, count(DISTINCT o_orderkey % 10 = 0) AS partitions FROM orders
       GROUP BY 1 HAVING count(DISTINCT o_orderkey % 10 = 0) > 1""",
     "split_kind_rollup": f"""WITH {fx.REQUESTS} SELECT split, kind, count(*) AS queries, count(DISTINCT document_id) AS documents

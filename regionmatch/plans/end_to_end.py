@@ -6,7 +6,6 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from regionmatch.functions.scalars import sample_key
 from regionmatch.operators import components, contracts, domains, grid, metrics, models, points, sampling, selection, texture, verify
 from regionmatch.operators import similarity as sim
 from regionmatch.operators.ordering import exact_quantiles, unit_bucket
@@ -307,16 +306,15 @@ def region_similarity(spark, sf):
 
 
 def region_columns(spark, sf):
-    """Component means of map columns over at most twenty cells each, minus the query box mean."""
+    """Component means of map columns over all cells, minus the query box mean."""
     lab = cut_lineage(_query_labels(spark, sf).withColumn("p2", F.col("p") * F.col("p")))
     size = lab.select("query", F.col("h").alias("gh"), F.col("w").alias("gw")).distinct()
     b = fx.boxes(spark, sf)
     inside = points.box_cells(b.drop("image").withColumn("image", F.col("query")), size.withColumnRenamed("query", "image"), 2.0, ("query",))
     q = inside.withColumnsRenamed({"gy": "y", "gx": "x"}).join(lab, ["query", "y", "x"]).groupBy("query").agg(
         F.avg("p").alias("q_p"), F.avg("p2").alias("q_p2"))
-    key = sample_key(0, F.col("query"), F.col("y"), F.col("x"))
-    m = verify.pooled_columns(lab, ["p", "p2"], key, 20, q)
-    return m.select("query", "label", F.col("sampled"), *[F.round(n, 11).alias(n) for n in ("m_p", "dm_p")],
+    m = verify.pooled_columns(lab, ["p", "p2"], q)
+    return m.select("query", "label", F.col("cells"), *[F.round(n, 11).alias(n) for n in ("m_p", "dm_p")],
                     *[F.round(n, 5).alias(n) for n in ("m_p2", "dm_p2")])
 
 
@@ -351,7 +349,7 @@ ORACLE = {
     "region_columns": f"""{_QLAB}, sz AS (SELECT DISTINCT query AS image, h AS gh, w AS gw FROM qp), bx AS (SELECT query AS image, query, x0, y0, x1, y1 FROM boxes),
       {box_cells_sql(2.0, 'sz', 'bc').replace('FROM boxes', 'FROM bx')},
       qm AS (SELECT bc.query, avg(p) AS q_p, avg(p * p) AS q_p2 FROM bc JOIN qp ON qp.query = bc.query AND qp.y = gy AND qp.x = gx GROUP BY bc.query),
-      sm AS (SELECT query, label, p FROM qp JOIN lab USING (query, y, x) QUALIFY row_number() OVER (PARTITION BY query, label ORDER BY md5('0:' || query || ':' || y || ':' || x)) <= 20)
-      SELECT query, label, count(*) AS sampled, round(avg(p), 11) AS m_p, round(avg(p * p), 5) AS m_p2, round(avg(p) - any_value(q_p), 11) AS dm_p, round(avg(p * p) - any_value(q_p2), 5) AS dm_p2
+      sm AS (SELECT query, label, p FROM qp JOIN lab USING (query, y, x))
+      SELECT query, label, count(*) AS cells, round(avg(p), 11) AS m_p, round(avg(p * p), 5) AS m_p2, round(avg(p) - any_value(q_p), 11) AS dm_p, round(avg(p * p) - any_value(q_p2), 5) AS dm_p2
       FROM sm JOIN qm USING (query) GROUP BY query, label""",
 }

@@ -72,6 +72,13 @@ def exemplar_lda(spark, sf):
     return sim.whitened_map(g, d).withColumn("lda", F.round("lda", 4))
 
 
+def image_moments(spark, sf):
+    """Mean and covariance entries of every drawing, over all its grid cells."""
+    m = sim.image_moments(fx.grid_vectors(spark, sf)).select("image", "n", "mu", F.posexplode("cov").alias("at", "cov"), F.size("mu").alias("d"))
+    i, j = F.floor(F.col("at") / F.col("d")).cast("int"), (F.col("at") % F.col("d")).cast("int")
+    return m.select("image", "n", i.alias("i"), j.alias("j"), F.round(F.get("mu", i), 9).alias("mean_i"), F.round("cov", 9).alias("cov"))
+
+
 def similarity_rank(spark, sf):
     g, p = _protos(spark, sf)
     m = sim.cosine_map(g, p, "proto").withColumn("sim", F.round("sim", 6))
@@ -247,7 +254,7 @@ QUERIES = {f.__name__: f for f in (
     box_cells, prototype, robust_prototype, self_similarity, cosine_map, robust_cosine, exemplar_cosines, exemplar_lda,
     similarity_rank, relative_similarity, spectrum_compare, histogram_compare, bhattacharyya, blob_compare,
     texture_evidence, box_medians, quantile_table, bilinear, nearest_cell, regrid_labels, upsample2, zero_shot,
-    alias_pairs, compete)}
+    alias_pairs, compete, image_moments)}
 
 
 # ---- SQL twins --------------------------------------------------------------------------
@@ -353,6 +360,11 @@ ORACLE = {
       SELECT query, gy, gx, round(CASE WHEN n <= 0 THEN 0.0 WHEN n > 100 THEN 1.0 ELSE (n - 1 + (sim - k[n]) / (k[n + 1] - k[n])) / 100 END, 4) AS sim_rank FROM b""",
     "relative_similarity": f"""{_BASE} SELECT query, gy, gx, round(list_inner_product(vec, proto) - self_mean, 6) AS rm,
       round(list_inner_product(vec, proto) - self_min, 6) AS rmin FROM u JOIN mp USING (image) JOIN st USING (query)""",
+    "image_moments": f"""WITH {fx.GRID}, e AS (SELECT image, gy, gx, i, vec[i + 1] AS v FROM grid, range(0, 64) t(i)),
+      m AS (SELECT image, i, avg(v) AS mean_i, count(*) AS n FROM e GROUP BY ALL),
+      c AS (SELECT a.image, a.i, b.i AS j, sum((a.v - ma.mean_i) * (b.v - mb.mean_i)) AS s FROM e a JOIN e b USING (image, gy, gx)
+        JOIN m ma ON ma.image = a.image AND ma.i = a.i JOIN m mb ON mb.image = b.image AND mb.i = b.i GROUP BY ALL)
+      SELECT image, n, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(mean_i, 9) AS mean_i, round(s / greatest(n - 1, 1), 9) AS cov FROM c JOIN m USING (image, i)""",
     "spectrum_compare": f"""{_SPEC}, rot AS (SELECT x.query, x.gy, x.gx, k, sum(sqrt(x.p) * sqrt(y.q)) AS v FROM el x, range(0, 8) t(k)
         JOIN el y ON y.query = x.query AND y.gy = x.gy AND y.gx = x.gx AND y.r = x.r AND y.a = (x.a - k + 8) % 8 GROUP BY ALL),
       rb AS (SELECT query, gy, gx, max(v) FILTER (k = 0) AS bc, max(v) AS bcrot, arg_max(k, (round(v, 12), -k)) AS sh FROM rot GROUP BY ALL),

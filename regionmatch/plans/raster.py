@@ -145,7 +145,7 @@ def mirror(i, n):
     return f"(CASE WHEN {m} < {n} THEN {m} ELSE {p} - {m} END)"
 
 
-def box_sql(src, cols, r, out, extra=""):
+def box_sql(src, cols, r, out):
     """Two-pass mirrored box means of ``cols`` of a CTE, as CTEs ``{out}_h`` and ``{out}``."""
     h = ", ".join(f"sum(n.{c}) AS {c}" for c in cols)
     v = ", ".join(f"sum(n.{c}) / {float((2 * r + 1) ** 2)} AS {c}" for c in cols)

@@ -19,9 +19,9 @@ def _documents(spark, sf):
 
 
 def _counts(spark, sf, prob="p_a", cut=CUT):
-    """Counts per query first, documents attached to the small result."""
+    """Counts per query first, attached to every request; a request without reviewed pixels has zeros."""
     c = metrics.confusion(fx.pixels(spark, sf), F.col(prob) > cut)
-    return c.join(_documents(spark, sf), "query")
+    return _documents(spark, sf).join(c, "query", "left").fillna(0, list(metrics.COUNTS))
 
 
 def _r(*names):
@@ -315,15 +315,16 @@ def _met(name, src):
          CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fp + fn AS DOUBLE) END AS iou,
          tp / CAST(nullif(tp + fp, 0) AS DOUBLE) AS precision,
          tp / CAST(nullif(tp + fn, 0) AS DOUBLE) AS recall,
-         CASE WHEN tp + fn = 0 THEN fp / CAST(tp + fp + fn + tn AS DOUBLE) END AS empty_target_false_positive_rate,
+         CASE WHEN tp + fn = 0 THEN fp / CAST(nullif(tp + fp + fn + tn, 0) AS DOUBLE) END AS empty_target_false_positive_rate,
          blank_fp / CAST(nullif(blank_pixels, 0) AS DOUBLE) AS blank_false_positive_rate
-  FROM {src} c JOIN requests USING (query))"""
+  FROM (SELECT query, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(tn, 0) AS tn,
+    coalesce(blank_fp, 0) AS blank_fp, coalesce(blank_pixels, 0) AS blank_pixels FROM requests LEFT JOIN {src} USING (query)) c JOIN requests USING (query))"""
 
 
 _MET = f"{_BASE}, {_conf('c')}, {_met('m', 'c')}"
 _REPORT = f"""{_MET}, d AS (SELECT document_id, avg(iou) AS iou FROM m GROUP BY 1),
 s AS (SELECT count(*) AS examples, count(DISTINCT document_id) AS documents, count(iou) AS nonempty_target_examples,
-  count(*) - count(iou) AS empty_target_examples, round((SELECT avg(iou) FROM d), 6) AS document_macro_iou,
+  count(*) - count(iou) - count(*) FILTER (reviewed_pixels = 0) AS empty_target_examples, count(*) FILTER (reviewed_pixels = 0) AS nothing_scored, round((SELECT avg(iou) FROM d), 6) AS document_macro_iou,
   round(avg(iou), 6) AS mean_query_iou,
   round(sum(tp) / CAST(nullif(sum(tp + fp), 0) AS DOUBLE), 6) AS global_precision,
   round(sum(tp) / CAST(nullif(sum(tp + fn), 0) AS DOUBLE), 6) AS global_recall,
@@ -426,7 +427,7 @@ ORACLE = {
     "(SELECT query, cell, max(p_a) AS p_a, max(p_b) AS p_b FROM pixels GROUP BY 1, 2) GROUP BY query",
     "paired_bootstrap": f"""{_DELTA}, n AS (SELECT count(*) AS n FROM delta),
       placed AS (SELECT row_number() OVER (ORDER BY document_id) - 1 AS i, delta FROM delta),
-      mix AS (SELECT b, ((((b * 1103515245 + i * 12345) % 2147483648) * 69069 + 362437) % 4294967296) // 65536 % n AS i
+      mix AS (SELECT b, CAST('0x' || left(md5('0:' || b || ':' || i), 15) AS BIGINT) % n AS i
               FROM range(0, 5000) r(b), n, range(0, (SELECT n FROM n)) d(i)),
       means AS (SELECT b, avg(delta) AS m FROM mix JOIN placed USING (i) GROUP BY b)
       SELECT count(*) AS replicates, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM means""",

@@ -175,7 +175,7 @@ _TOT1 = "tot AS (SELECT query, CASE kind WHEN 'real' THEN 1.0 ELSE 0.3 END AS to
 
 
 def draw_sql(seed, a, b, n):
-    return f"((((({a}) * 1103515245 + ({b}) * 12345 + {seed}) % 2147483648) * 69069 + 362437) % 4294967296 // 65536 % ({n}))"
+    return f"(CAST('0x' || left(md5(concat_ws(':', '{seed}', CAST({a} AS VARCHAR), CAST({b} AS VARCHAR))), 15) AS BIGINT) % ({n}))"
 
 
 _SPREAD = """sz AS (SELECT query, count(*) FILTER (pos) AS np, count(*) FILTER (NOT pos) AS nn FROM pixels GROUP BY query)"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,16 +27,40 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> Spar
     )
 
 
+_OWN: list[str] = []
+_WRITTEN: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    """The shared folder named by ``spark.checkpoint.dir``; in local mode, where that is unset, a temporary
+    folder that goes when the process ends."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="spark-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, which ``drop_written`` deletes."""
+    path = f"{scratch_root(spark)}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables that were written to the shared folder so far; call it when results have been taken."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -44,7 +70,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executors, and gives the optimizer true sizes for the joins that follow.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

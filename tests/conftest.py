@@ -14,6 +14,9 @@ def spark():
     s = build_session("local[8]", 8)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from regionmatch.session import drop_written
+
+    drop_written(s)
     s.stop()
 
 
