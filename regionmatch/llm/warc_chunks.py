@@ -21,13 +21,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionmatch.session import scratch_root
+from regionmatch.llm.staging import written
+from regionmatch.session import scratch_path
 
 CHUNK, LEAST = 1 << 20, 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -40,10 +40,15 @@ _TABLE = ("page_id long, record_type string, refers_to long, chunk_no int, data
 
 
 def with_types(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Pages with payload size, digest, and the page that an equal payload is stored under."""
+    """Pages with payload size, digest, and the page that an equal payload is stored under.
+
+    The shared payloads are written out before the join, so that both of its sides are plain exchanges and
+    a payload that very many pages have is split over tasks.
+    """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     p = p.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", F.sha1("html"))
     shared = p.filter(F.col("n") >= least).groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.count("*").alias("many")).filter("many > 1").drop("many")
+    shared = written(shared).hint("merge")
     kept = F.col("keeper").isNull() | F.col("page_id").eqNullSafe(F.col("keeper"))
     return p.join(shared, ["digest", "n"], "left").withColumn("refers_to", F.when(~kept, F.col("keeper")))
 
@@ -227,6 +232,6 @@ def records(chunks: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages to the shared folder and return the records read back."""
     spark = pages.sparkSession
-    path = f"{scratch_root(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "warc")
     write_archive(pages, path)
     return records(read_chunks(spark, path))
