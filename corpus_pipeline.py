@@ -6,20 +6,16 @@ follows the text where a stage changes it. Rows with a null text pass the filter
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionmatch.llm import fm_decontamination as fm
 from regionmatch.llm import minhash_forest, piece_lattice, suffix_trees
 from regionmatch.llm import toxicity_grammar as tg
-from regionmatch.session import scratch_root
+from regionmatch.session import scratch_path
 
 #: Documents with at least this probability of toxicity are rejected.
 TOXIC = 0.7
-#: The tables' path is a parameter of every stage; these are read from it.
-_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +29,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate class, the one with the smallest id."""
-    found = minhash_forest.jaccard_join(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(keep.filter("doc_id is not null"), "doc_id", "left_semi")
-    # rows that share the kept id and are exact repeats of each other: one of them stays
-    return kept.unionByName(docs.filter("doc_id is null")).dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Keep one document of each near-duplicate class, the one with the smallest id. Rows that repeat an id are
+    one document, of which one row stays; rows without an id stay."""
+    keep = minhash_forest.jaccard_join(docs).filter("doc_id = class_id").select("doc_id")
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage is written to the shared folder and read by the next."""
     docs = _read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        path = f"{scratch_root(spark)}/stage-{uuid.uuid4().hex}"
+        path = scratch_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -298,11 +298,13 @@ class Encoder:
                 below = own[loss[lo:hi] < least]
                 own = np.sort(np.concatenate([below, own[loss[lo:hi] == least][: self.best - 1 - len(below)]]))
             own = own[loss[own] < -_NONE / 2]
-            result.append(self._alternatives(out, starts, size, own, best[which[own]].sum(), total[k], pieces[which], done - done[lo]))
+            plain = [ids[done[p]:done[p + 1]].tolist() for p in own]
+            result.append(self._alternatives(out, starts, size, own, best[which[own]].sum(), total[k], plain, done[own] - done[lo]))
         return ids, per_row, result
 
-    def _alternatives(self, out, starts, size, parts, own_best, total, pieces, done):
-        """Best segmentations of a text by A* over the joined lattices of the parts that may change."""
+    def _alternatives(self, out, starts, size, parts, own_best, total, plain, at):
+        """Best segmentations of a text by A* over the joined lattices of the parts that may change. Among equal
+        scores the Viterbi path (``plain``) comes first."""
         if not len(parts):
             return [(float(total), [])]
         into, ends = [[]], []
@@ -310,13 +312,12 @@ class Encoder:
             base = len(into) - 1
             into += [[(s + base, i, x) for s, i, x in own] for own in self._edges(out[starts[p]:starts[p] + size[p]].tobytes())[1:]]
             ends.append(len(into) - 1)
-        result, base_ids = [], None
+        result = [(float(total), [])]
         for score, ids in n_best(into, self.best):
-            split = self._split(ids, ends)
-            base_ids = base_ids or split
-            edits = [(int(done[p]), int(pieces[p]), new) for p, new, old in zip(parts, split, base_ids) if new != old]
-            result.append((float(total + score - own_best), edits))
-        return result
+            edits = [(int(a), len(old), new) for a, new, old in zip(at, self._split(ids, ends), plain) if new != old]
+            if edits:
+                result.append((float(total + score - own_best), edits))
+        return result[: self.best]
 
     def _split(self, ids: list[int], ends: list[int]) -> list[list[int]]:
         out, own, at, k = [], [], 0, 0

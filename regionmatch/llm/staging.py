@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
-from regionmatch.session import scratch_root
+from regionmatch.session import scratch_path
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -18,7 +16,7 @@ def written(df: DataFrame) -> DataFrame:
     steps holds the files of one step only.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/step-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "step")
     before = spark.conf.get(_CLEANUP, None)
     try:
         spark.conf.set(_CLEANUP, "true")
