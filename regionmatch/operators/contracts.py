@@ -140,10 +140,12 @@ def unfilled(c: Column) -> Column:
 
 
 def bad_https(c: Column) -> Column:
-    host = F.try_parse_url(c, F.lit("HOST"))
+    host = F.lower(F.try_parse_url(c, F.lit("HOST")))
+    port = F.regexp_extract(F.coalesce(F.try_parse_url(c, F.lit("AUTHORITY")), F.lit("")), r":([^:\]]*)$", 1)
     return (
         unfilled(c)
-        | F.coalesce(F.try_parse_url(c, F.lit("PROTOCOL")), F.lit("")).isin("https").__invert__()
+        | (F.coalesce(F.lower(F.try_parse_url(c, F.lit("PROTOCOL"))), F.lit("")) != "https")
+        | ((port != "") & ~(port.rlike(r"^\d{1,5}$") & (F.coalesce(port.try_cast("int"), F.lit(-1)) <= 65535)))
         | F.coalesce(host, F.lit("")).isin("")
         | F.try_parse_url(c, F.lit("USERINFO")).isNotNull()
         | c.rlike(r"\s")
@@ -172,7 +174,7 @@ def bad_command(c: Column, flags: Sequence[str] = COMMAND_FLAGS) -> Column:
         )
         at = F.get(hits, F.lit(0))
         token = F.get(tokens, at)
-        value = F.when(token == flag, F.get(tokens, at + 1)).otherwise(F.substring(token, len(flag) + 2, 1 << 20))
+        value = F.when(token == flag, F.get(tokens, at + 1)).otherwise(F.substr(token, F.lit(len(flag) + 2)))
         bad = bad | (F.size(hits) != 1) | F.coalesce((value == "") | value.startswith("--"), F.lit(True))
     return bad
 
@@ -206,6 +208,7 @@ def record_rules() -> dict[str, Column]:
     }
 
 
+# Fixed value: where a gallery image may lie and its file types.
 GALLERY_IMAGE = r"^(?i)assets/[A-Za-z0-9._/-]+\.(png|jpe?g|webp)$"
 
 

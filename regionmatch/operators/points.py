@@ -27,6 +27,23 @@ def box_cells(boxes: DataFrame, sizes: DataFrame, stride: float, keep: Sequence[
     return b.select(*keep, "gy", "gx")
 
 
+def slice_cells(boxes: DataFrame, sizes: DataFrame, stride: int, keep: Sequence[str] = ("query", "image"), closed: bool = False) -> DataFrame:
+    """Grid cells of each box by whole division of its corners: one row per (query, gy, gx).
+
+    An axis runs from lo // stride to hi // stride, the last cell only when ``closed`` or when it is the
+    first as well; cells past the grid are left out. ``sizes``: image, gh, gw.
+    """
+    c = F.col
+
+    def axis(lo, hi, n):
+        first, last = F.floor(c(lo) / stride).cast("int"), F.floor(c(hi) / stride).cast("int")
+        last = F.least(last if closed else F.greatest(last - 1, first), c(n) - 1)
+        return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    b = boxes.join(sizes, "image").withColumn("gy", F.explode(axis("y0", "y1", "gh")))
+    return b.withColumn("gx", F.explode(axis("x0", "x1", "gw"))).select(*keep, "gy", "gx")
+
+
 def corner_values(grid: DataFrame, values: Sequence[str], keys: Sequence[str], tile: int = TILE) -> DataFrame:
     """Give every cell the values of its right, lower and diagonal neighbours (its own at the edge)."""
     t = halo_tiles(grid, 1, "replicate", tile, keys)

@@ -69,7 +69,7 @@ def feature_rows(cells: DataFrame, vector_grids: Sequence[tuple[DataFrame, float
     # Tone and histograms against the box.
     tone = cut_lineage(grid.tone_maps(cells, DOWN, RADII))
     tone_names = [f"{n}{r}" for r in RADII for n in TONE]
-    inside = points.box_cells(where, tone.select("image", c("h").alias("gh"), c("w").alias("gw")).distinct(), float(DOWN))
+    inside = points.slice_cells(where, tone.select("image", c("h").alias("gh"), c("w").alias("gw")).distinct(), DOWN)
     at_box = inside.join(tone.withColumnsRenamed({"y": "gy", "x": "gx"}), ["image", "gy", "gx"])
     long = at_box.unpivot(["query"], tone_names, "name", "v")
     med = exact_quantiles(long, ["query", "name"], "v", [0.5]).select("query", "name", c("quantiles")[0].alias("v"))
@@ -81,7 +81,7 @@ def feature_rows(cells: DataFrame, vector_grids: Sequence[tuple[DataFrame, float
     hist = cut_lineage(grid.histogram_maps(cells, DOWN, RADII))
     hist_names = [f"{n}{r}" for r in RADII for n in ("ori", "int")]
     bins = {f"_{n}_{i}": c(n)[i] for n in hist_names for i in range(grid.BINS)}
-    q_hist = sim.box_mean(flat(hist), where, hist_names, [], float(DOWN)).drop("image")
+    q_hist = sim.box_mean(flat(hist), where, hist_names, [], float(DOWN), True).drop("image")
     out = _sample(out, hist.withColumns(bins).drop(*hist_names), list(bins), float(DOWN), ["image"]).join(q_hist, "query")
     for n in hist_names:
         local = F.array(*[c(f"_{n}_{i}") for i in range(grid.BINS)])
@@ -183,10 +183,15 @@ def grid_points(cells: DataFrame, boxes: DataFrame) -> DataFrame:
     return p.withColumns({"py": F.col("y") * DOWN + DOWN // 2, "px": F.col("x") * DOWN + DOWN // 2})
 
 
-def masks(prob: DataFrame, threshold: float, sigma: float = 14 / DOWN, tile: int = 128) -> DataFrame:
-    """Native accepted cells of stored probability grids: blur, fill holes, enlarge, compare."""
+def masks(prob: DataFrame, threshold: float, sigma: float = 14 / DOWN, tile: int = 128, native: DataFrame | None = None) -> DataFrame:
+    """Native accepted cells of stored probability grids: blur, fill holes, enlarge, crop, compare.
+
+    ``native``: query, native_h, native_w; cells of the last grid row and column that lie past them go.
+    """
     done = components.post_process(prob, "p", threshold, sigma, tile)
     up = points.upsample(done, "p", DOWN, ["query"], tile)
+    if native is not None:
+        up = up.join(native, "query").filter((F.col("y") < F.col("native_h")) & (F.col("x") < F.col("native_w")))
     return up.filter(F.col("p") > threshold).select("query", "y", "x")
 
 

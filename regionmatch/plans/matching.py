@@ -157,7 +157,7 @@ def box_medians(spark, sf):
 
     s = grid.block_means(fx.px(spark, sf), {"v": F.col("gray")}, 4).select(
         "image", F.col("h").alias("gh"), F.col("w").alias("gw"), F.col("y").alias("gy"), F.col("x").alias("gx"), "v")
-    inside = points.box_cells(fx.boxes(spark, sf), s.select("image", "gh", "gw").distinct(), 4.0).join(s, ["image", "gy", "gx"])
+    inside = points.slice_cells(fx.boxes(spark, sf), s.select("image", "gh", "gw").distinct(), 4).join(s, ["image", "gy", "gx"])
     q = exact_quantiles(inside, ["query"], "v", [0.1, 0.5], F.floor("_v").cast("long"))
     mean = inside.groupBy("query").agg(F.avg("v").alias("mean"))
     return q.join(mean, "query").select("query", F.round(F.col("quantiles")[0], 6).alias("p10"),
@@ -236,7 +236,8 @@ def _rival_maps(spark, sf):
 def _rival_boxes(spark, sf):
     m = _rival_maps(spark, sf)
     size = m.select("image", F.col("h").alias("gh"), F.col("w").alias("gw")).distinct()
-    return points.box_cells(fx.boxes(spark, sf), size, 4.0).select("query", "image", F.col("gy").alias("y"), F.col("gx").alias("x"))
+    inside = points.slice_cells(fx.boxes(spark, sf), size, 4, closed=True)
+    return inside.select("query", "image", F.col("gy").alias("y"), F.col("gx").alias("x"))
 
 
 def alias_pairs(spark, sf):
@@ -271,6 +272,14 @@ def box_cells_sql(stride, sizes, out):
   {out} AS (SELECT DISTINCT query, image, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx FROM {out}_gy JOIN {out}_gx USING (query, image))"""
 
 
+def slice_cells_sql(stride, sizes, out, closed=False):
+    """Cells of each box by whole division of its corners, from a table ``sizes(image, gh, gw)``."""
+    last = (lambda lo, hi: f"{hi} // {stride}") if closed else (lambda lo, hi: f"greatest({hi} // {stride} - 1, {lo} // {stride})")
+    axis = lambda lo, hi, n: f"unnest(range({lo} // {stride}, least({last(lo, hi)}, {n} - 1) + 1))"
+    return f"""{out} AS (SELECT query, image, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx FROM (
+    SELECT *, {axis('x0', 'x1', 'gw')} AS gx FROM (SELECT *, {axis('y0', 'y1', 'gh')} AS gy FROM boxes JOIN {sizes} USING (image))))"""
+
+
 def vmean(src, vec, out, by="query, image"):
     return f"""{out} AS (SELECT {by}, list(m ORDER BY i) AS v, any_value(n) AS n FROM (
     SELECT {by}, i, avg({vec}[i]) AS m, count(*) AS n FROM {src}, range(1, 65) t(i) GROUP BY {by}, i) GROUP BY {by})"""
@@ -325,7 +334,7 @@ def bilinear_sql(pts, grid_name, stride, key, value, out):
     JOIN {grid_name} d ON d.{key} = p.{key} AND d.y = least(floor(fy) + 1, gh - 1) AND d.x = least(floor(fx) + 1, gw - 1))"""
 
 
-_RIVAL = f"""{_TONE}, {fx.BOXES}, gs AS (SELECT DISTINCT image, h AS gh, w AS gw FROM s), {box_cells_sql(4.0, 'gs', 'bc')},
+_RIVAL = f"""{_TONE}, {fx.BOXES}, gs AS (SELECT DISTINCT image, h AS gh, w AS gw FROM s), {slice_cells_sql(4, 'gs', 'bc', True)},
   rm AS (SELECT image, query, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(CASE WHEN query % 4 % 2 = 0 THEN v - 127 ELSE 127 - v END / 32.0 + 0.5 + query % 4 / 100.0, 6) AS p
     FROM s JOIN boxes USING (image)),
   md AS (SELECT bc.query AS host, rm.query AS guest, median(p) AS m FROM bc JOIN rm ON rm.image = bc.image AND rm.y = gy AND rm.x = gx GROUP BY ALL),
@@ -387,7 +396,7 @@ ORACLE = {
     "texture_evidence": f"""{_EV} SELECT query, CAST(y AS INT) AS gy, CAST(x AS INT) AS gx, round(ln((ink + 1e-3) / (qi + 1e-3)), 4) AS ev_ink,
       round(ln((tr + 1e-5) / (qtr + 1e-5)), 4) AS ev_ge, round(cos(phi - qphi), 4) AS ev_stcos, round(sin(phi - qphi), 4) AS ev_stsin,
       round(cos(phi - qphi) * sqrt(coh * qcoh), 4) AS ev_stw FROM e""",
-    "box_medians": f"""{_TONE}, {fx.BOXES}, gs AS (SELECT DISTINCT image, h AS gh, w AS gw FROM s), {box_cells_sql(4.0, 'gs', 'bc')}
+    "box_medians": f"""{_TONE}, {fx.BOXES}, gs AS (SELECT DISTINCT image, h AS gh, w AS gw FROM s), {slice_cells_sql(4, 'gs', 'bc')}
       SELECT query, round(quantile_cont(v, 0.1), 6) AS p10, round(median(v), 6) AS median, round(avg(v), 6) AS mean
       FROM bc JOIN s ON s.image = bc.image AND s.y = gy AND s.x = gx GROUP BY query""",
     "quantile_table": f"""{_TONE} SELECT image, CAST(i AS INT) AS decile, round(quantile_cont(v, [{", ".join(f"{i / 10}::DOUBLE" for i in range(11))}])[i + 1], 6) AS v
