@@ -2,7 +2,8 @@
 
 Bytes covered by a ``width``-byte string that also starts in a document with a smaller id are removed;
 strings are judged on the input and never cross documents. Documents are dealt by anchors (see
-``anchored``). In a group, shards of at most ``shard`` bytes are sorted on their own; their transforms are
+``anchored``). A group is cut between anchors into parts of about PART bytes. In a part, shards of at most
+SHARD bytes are sorted on their own; their transforms are
 merged by refining an interleave: each round deals the current order stably by the preceding symbol and
 carries the borders between blocks of equal prefixes, so after ``width`` rounds the blocks are the
 intervals of suffixes that share ``width`` bytes. No suffix is sorted again.
@@ -23,7 +24,7 @@ from regionmatch.llm import anchored as an
 from regionmatch.llm import text as t
 from regionmatch.llm.fm_decontamination import suffix_array
 
-WIDTH, GRAM, SHARD, SLICE = 50, 16, 256 << 10, 1 << 20
+WIDTH, GRAM, SHARD, PART, SLICE = 50, 24, 64 << 10, 256 << 10, 1 << 20
 _CODES = t.mix(np.arange(1, 257, dtype=np.uint64) * t.U(0x9E3779B97F4A7C15))
 
 
@@ -49,15 +50,16 @@ def transform(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of the shards' suffixes right to ``depth`` symbols (the shard of each place) and the
     borders of the blocks that share those symbols."""
-    shard = np.repeat(np.arange(len(transforms), dtype=np.int32), [len(x) for x in transforms])
+    small = np.uint8 if len(transforms) <= 256 else np.uint16 if len(transforms) <= 65536 else np.int64
+    shard = np.repeat(np.arange(len(transforms)).astype(small), [len(x) for x in transforms])
     border = np.zeros(len(shard), bool)
     border[:1] = True
-    flat, base = np.concatenate(transforms), np.concatenate([[0], np.cumsum([len(x) for x in transforms])])
+    flat = np.concatenate(transforms)
+    flat = flat.astype(np.uint8) if flat.max(initial=0) < 256 else flat
+    symbol = np.empty_like(flat)
     for _ in range(depth):
-        by_shard = np.argsort(shard, kind="stable")
-        symbol = np.empty(len(flat), np.uint16)
-        symbol[by_shard] = flat
-        block = np.cumsum(border)
+        symbol[np.argsort(shard, kind="stable")] = flat
+        block = np.cumsum(border, dtype=np.int32)
         order = np.argsort(symbol, kind="stable")
         new_shard, s, b = shard[order], symbol[order], block[order]
         new = np.ones(len(shard), bool)
@@ -68,39 +70,54 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     return shard, border
 
 
-def repeats(tokens: np.ndarray, count: np.ndarray, p: dict, width: int = WIDTH, shard_bytes: int = SHARD):
-    """(segment, window) of every window that also lies in a smaller document of the group."""
+def parts_of(anchor: np.ndarray, sizes: np.ndarray, part: int):
+    """Segments cut between anchors into parts of about ``part`` tokens."""
+    order = np.argsort(anchor, kind="stable")
+    head = an._heads(anchor[order])
+    before = np.cumsum(sizes[order]) - sizes[order]
+    which = np.maximum.accumulate(np.where(head, before, 0)) // part
+    cuts = np.append(np.flatnonzero(an._heads(which)), len(order))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield order[a:b]
+
+
+def _part_repeats(data: np.ndarray, count: np.ndarray, doc: np.ndarray, width: int, shard_bytes: int):
+    """(segment, window) of the repeated windows of one part."""
     sizes = count + width - 1
     ends = np.cumsum(sizes)
-    shards, at = [], 0
-    while at < len(sizes):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + shard_bytes, "right")))
-        shards.append((at, stop))
-        at = stop
+    which = (ends - sizes) // shard_bytes
+    cuts = np.append(np.flatnonzero(an._heads(which)), len(sizes))
     symbols, where = [], []
-    for a, b in shards:
-        low = int(ends[a - 1]) if a else 0
-        s, order = transform(tokens[low:int(ends[b - 1])], sizes[a:b])
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        s, order = transform(data[ends[a] - sizes[a]:ends[b - 1]], sizes[a:b])
+        first = np.concatenate([[0], np.cumsum(sizes[a:b] + 1)])
+        own = np.searchsorted(first, order, "right") - 1
         symbols.append(s)
-        where.append(order)
+        where.append((own + a, order - first[own]))
     shard, border = merge(symbols, width)
     segment, offset = np.empty(len(shard), np.int64), np.empty(len(shard), np.int64)
-    by_shard = np.argsort(shard, kind="stable")
-    done = 0
-    for (a, b), order in zip(shards, where):
-        first = np.concatenate([[0], np.cumsum(sizes[a:b] + 1)])
-        own = np.searchsorted(first, order, "right") - 1
-        place = by_shard[done:done + len(order)]
-        segment[place], offset[place] = own + a, order - first[own]
-        done += len(order)
+    place = np.argsort(shard, kind="stable")
+    segment[place], offset[place] = np.concatenate([w[0] for w in where]), np.concatenate([w[1] for w in where])
     good = offset < count[segment]
-    head = np.flatnonzero(border)
-    doc = p["doc"][segment]
-    low = np.minimum.reduceat(np.where(good, doc, np.iinfo(np.int64).max), head)[np.cumsum(border) - 1]
-    gone = np.flatnonzero(good & (doc > low))
+    of = doc[segment]
+    low = np.minimum.reduceat(np.where(good, of, np.iinfo(np.int64).max), np.flatnonzero(border))[np.cumsum(border) - 1]
+    gone = np.flatnonzero(good & (of > low))
     return segment[gone], offset[gone]
 
 
+def repeats(tokens: np.ndarray, count: np.ndarray, p: dict, width: int = WIDTH, part: int = PART, shard_bytes: int = SHARD):
+    """(segment, window) of every window that also lies in a smaller document of the group."""
+    sizes = count + width - 1
+    base = np.cumsum(sizes) - sizes
+    found = []
+    for own in parts_of(p["anchor"], sizes, part):
+        segment, offset = _part_repeats(tokens[t.spread(base[own], sizes[own])], count[own], p["doc"][own], width, shard_bytes)
+        found.append((own[segment], offset))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def dedup_bytes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, k: int = GRAM, hot: int = an.HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256 of every row."""
     keyed = an.doc_columns(docs, id_column, text_column)
