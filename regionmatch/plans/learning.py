@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regionmatch.functions.scalars import logit, sample_key
+from regionmatch.functions.scalars import logit
 from regionmatch.operators import metrics, models, sampling, selection, verify
 from regionmatch.operators.ordering import unit_bucket
 from regionmatch.plans import fixtures as fx
@@ -93,12 +93,9 @@ def gain_model(spark, sf):
 
 
 def whitened_vectors(spark, sf):
-    """Vectors on sixteen whitened principal axes fitted on a per-drawing sample."""
+    """Vectors on sixteen whitened principal axes, fitted on all of them."""
     g = fx.grid_vectors(spark, sf)
-    key = sample_key(0, F.col("image"), F.col("gy"), F.col("gx"))
-    sample = sampling.capped_sample(g, ["image"], key, 2000)
-    apply = models.whitening(sample, "vec", 16)
-    p = apply(g)
+    p = models.whitening(g, "vec", 16)(g)
     return p.select("image", "gy", "gx", *[F.round(F.abs(F.col("projected")[i]), 4).alias(f"a{i}") for i in range(3)])
 
 
