@@ -152,7 +152,8 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS B
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op5_bwt_merge_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-win AS (SELECT doc_id, i, h[2 * i + 1:2 * i + 100] AS k FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 50)) AS i FROM d WHERE length(h) >= 100)),
+piece AS (SELECT doc_id, c, h[1024 * c + 1:1024 * c + 1122] AS x FROM (SELECT doc_id, h, unnest(generate_series(0, (length(h) // 2 - 50) // 512)) AS c FROM d WHERE length(h) >= 100)),
+win AS (SELECT doc_id, 512 * c + j AS i, x[2 * j + 1:2 * j + 100] AS k FROM (SELECT doc_id, c, x, unnest(generate_series(0, least(511, length(x) // 2 - 50))) AS j FROM piece)),
 low AS (SELECT k, min(doc_id) AS low FROM win GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
 rep AS (SELECT doc_id, i FROM win JOIN low USING (k) WHERE doc_id > low),
 edge AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) > 50 AS fresh FROM (SELECT DISTINCT doc_id, i FROM rep)),
