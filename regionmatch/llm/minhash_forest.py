@@ -12,8 +12,10 @@ Two texts are linked when the Jaccard similarity of their sets of five-word shin
 4. All other pairs are verified on whole shingle sets. Sets are dealt by groups of nodes that pairs connect,
    large groups block by block, so no set is sent once a pair. Verified links are joined to classes.
 
-What a hot trie node leaves out are pairs inside groups that share a long signature prefix; their members are
-linked through the pivots. The links found are kept; a class is the set of texts that links connect.
+5. Members of large trie nodes that ended in different classes are compared with each other after all, block by
+   block on their signatures, and what these do not rule out is verified (``_strays``).
+
+So only pairs inside one class may stay uncompared; a class is the set of texts that links connect.
 
 Result, one row per row of the input: doc_id, class_id (smallest doc_id of the class), n_links (other rows
 with an equal shingle set, plus the rows of every text with a verified link to this one), n_class_texts
@@ -107,10 +109,11 @@ def _forest(nodes: DataFrame, low: int) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "node long, " + ", ".join(f"{n} long" for n in names)).withColumn("rank", F.xxhash64("node"))
 
 
-def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
-    """Distinct pairs (a < b) of nodes that meet in a trie."""
+def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of nodes that meet in a trie, and the members (trie, node) of the large trie nodes
+    at the least depth, whose pairs are not all among them."""
     low = least_depth(threshold, recall=recall)
-    live, pairs = _forest(nodes, low), None
+    live, pairs, large = _forest(nodes, low), None, None
     for d in range(low, DEPTH + 1):
         key = f"k{d}"
         last = F.struct("rank", "node")
@@ -123,36 +126,80 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = R
         own = few.unionByName(star).filter("a < b").distinct()
         pairs = own if pairs is None else pairs.unionByName(own)
         live = met.filter(F.col("n") > leaf).drop("n", "p", "q")
+        large = live.select(F.col(key).alias("trie"), "node") if large is None else large
         if d < DEPTH and not live.take(1):
             break
-    return written(pairs.distinct())
+    return written(pairs.distinct()), large
+
+
+def _least_like(threshold: float) -> float:
+    """Signature similarity that a pair at the threshold falls below with a chance of a few in a million."""
+    return threshold - 4.5 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
+
 
+def _like(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity that two rows of one byte a hash suggest."""
+    return ((x == y).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs with the similarity that their signatures suggest, without those far below the threshold."""
-    n = TREES * DEPTH
-    least = threshold - 4.5 * (threshold * (1 - threshold) / n) ** 0.5
+
+def _short(nodes: DataFrame) -> DataFrame:
+    """(node, b8): signatures of one byte a hash."""
 
     def bytes_of(batches):
         for batch in batches:
             own = [np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"node": batch.column(0), "b8": pa.array(own, pa.binary())})
 
-    small = written(nodes.select("node", "sig").mapInArrow(bytes_of, "node long, b8 binary"))
+    return written(nodes.select("node", "sig").mapInArrow(bytes_of, "node long, b8 binary"))
+
+
+def _estimated(pairs: DataFrame, small: DataFrame, threshold: float) -> DataFrame:
+    """Pairs without those that their signatures rule out."""
+    n, least = TREES * DEPTH, _least_like(threshold)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(t.buffer(batch.column(i))[0], np.uint8).reshape(-1, n) for i in (2, 3))
-            same = (x == y).mean(1)
-            like = (same - 1 / 256) / (1 - 1 / 256)
-            keep = like >= least
-            yield pa.RecordBatch.from_pydict({"a": batch.column(0).to_numpy()[keep], "b": batch.column(1).to_numpy()[keep], "like": like[keep]})
+            keep = _like(x, y) >= least
+            yield pa.RecordBatch.from_pydict({"a": batch.column(0).to_numpy()[keep], "b": batch.column(1).to_numpy()[keep]})
 
     one = small.select(F.col("node").alias("a"), F.col("b8").alias("x")).hint("merge")
     two = small.select(F.col("node").alias("b"), F.col("b8").alias("y")).hint("merge")
-    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, like double"))
+    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def _strays(large: DataFrame, named: DataFrame, small: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """Pairs of large trie nodes that lie in different classes and that the signatures do not rule out.
+
+    In each large trie node the members outside its most frequent class are compared with all members, block
+    by block, on one byte a hash. This is what the pivots leave: after it, no two members of a trie node are in
+    different classes without having been compared.
+    """
+    least, n_bytes = _least_like(threshold), TREES * DEPTH
+    placed = written(large.join(named.hint("merge"), "node", "left").withColumn("class", F.coalesce("class", "node")))
+    per = placed.groupBy("trie", "class").agg(F.count("*").alias("n"))
+    top = per.groupBy("trie").agg(F.max(F.struct("n", "class")).alias("m"), F.count("*").alias("classes"), F.sum("n").alias("all")).filter("classes > 1")
+    top = written(top.select("trie", F.col("m.class").alias("major"), F.ceil(F.col("all") / block).alias("rights"), F.ceil((F.col("all") - F.col("m.n")) / block).alias("lefts")))
+    held = written(placed.join(top.hint("merge"), "trie").join(small.hint("merge"), "node"))
+    own = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks).cast("long") - 1))
+    left = held.filter(F.col("class") != F.col("major")).select("trie", own("lefts").cast("long").alias("i"), every("rights").alias("j"), "node", "class", "b8")
+    right = held.select(F.col("trie").alias("tree"), every("lefts").alias("u"), own("rights").cast("long").alias("v"), F.col("node").alias("other"), F.col("class").alias("kind"), F.col("b8").alias("b"))
+
+    def run(few: pa.Table, many: pa.Table) -> pa.Table:
+        x, y = (np.frombuffer(b"".join(t_.column(n).to_pylist()), np.uint8).reshape(-1, n_bytes) for t_, n in ((few, "b8"), (many, "b")))
+        node, kind, others, kinds = (c.to_numpy() for c in (few.column("node"), few.column("class"), many.column("other"), many.column("kind")))
+        found = []
+        for k in range(len(x)):
+            hit = others[(kinds != kind[k]) & (_like(y, x[k]) >= least)]
+            found.append(np.stack([np.minimum(hit, node[k]), np.maximum(hit, node[k])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    met = left.groupBy("trie", "i", "j").cogroup(right.groupBy("tree", "u", "v")).applyInArrow(run, "a long, b long")
+    return written(met.distinct())
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -177,7 +224,7 @@ def _dealt(near: DataFrame, block: int, buckets: int) -> DataFrame:
     one = placed.select(F.col("node").alias("a"), "class", F.col("block").alias("ba")).hint("merge")
     two = placed.select(F.col("node").alias("b"), F.col("block").alias("bb")).hint("merge")
     key = F.pmod(F.xxhash64("class", F.least("ba", "bb"), F.greatest("ba", "bb")), F.lit(buckets)).cast("int")
-    return written(near.join(one, "a").join(two, "b").select("a", "b", key.alias("bucket")))
+    return written(near.select("a", "b").join(one, "a").join(two, "b").select("a", "b", key.alias("bucket")))
 
 
 def _verified(near: DataFrame, docs: DataFrame, threshold: float, block: int = 256) -> DataFrame:
@@ -233,9 +280,15 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     keyed = docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[id_column].cast("long"), F.lit(LAST)).alias("doc"), docs[text_column].alias("text"))
     signed = written(_signed(keyed))
     nodes = written(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
-    near = _estimated(candidates(nodes, threshold, recall, leaf), nodes, threshold)
-    links = _verified(near, keyed, threshold)
+    pairs, large = candidates(nodes, threshold, recall, leaf)
+    small = _short(nodes)
+    links = _verified(_estimated(pairs, small, threshold), keyed, threshold)
     named = classes(links)
+    if large.take(1):
+        rest = _strays(large, named, small, threshold)
+        if rest.take(1):
+            links = written(links.unionByName(_verified(rest, keyed, threshold)).distinct())
+            named = classes(links)
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     many = nodes.select(F.col("node").alias("b"), "copies").hint("merge")
     degree = ends.join(many, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("n"))
