@@ -345,8 +345,7 @@ def _sweep_ctes(prob, thresholds, base=_BASE, src="pixels"):
 it AS (SELECT query, document_id, k, threshold,
          count(*) FILTER ({prob} > threshold AND pos) / CAST(count(*) FILTER (pos OR {prob} > threshold) AS DOUBLE) AS iou
        FROM {src} JOIN requests USING (query), ts GROUP BY ALL HAVING count(*) FILTER (pos) > 0),
-g AS (SELECT a.*, a.iou - b.iou AS gain, b.iou AS default_iou FROM it a JOIN it b USING (query)
-      WHERE b.threshold = {MIDDLE}),
+g AS (SELECT *, iou - default_iou AS gain FROM (SELECT *, max(iou) FILTER (threshold = {MIDDLE}) OVER (PARTITION BY query) AS default_iou FROM it)),
 best AS (SELECT query, document_id, iou AS best_iou, threshold AS best_threshold, gain, default_iou FROM g
          QUALIFY row_number() OVER (PARTITION BY query ORDER BY iou DESC, k) = 1)"""
 
