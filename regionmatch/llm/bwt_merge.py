@@ -4,8 +4,8 @@ Bytes covered by a ``width``-byte string that also starts in a document with a s
 strings are judged on the input and never cross documents. Documents are dealt by anchors (see
 ``anchored``). A group is cut between anchors into parts of about PART bytes. In a part, shards of at most
 SHARD bytes are sorted on their own; their transforms are
-merged by refining an interleave: each round deals the current order stably by the preceding symbol and
-carries the borders between blocks of equal prefixes, so after ``width`` rounds the blocks are the
+merged by refining an interleave: each round deals the current order stably by the preceding symbols and
+carries the borders between blocks of equal prefixes, so after the last round the blocks are the
 intervals of suffixes that share ``width`` bytes. No suffix is sorted again.
 
 Cases: a null text is empty; texts shorter than ``width`` keep all; rows with the same id never remove
@@ -32,42 +32,52 @@ def byte_tokens(data: np.ndarray, offsets: np.ndarray):
     return _CODES[data], np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), offsets[:-1]
 
 
-def transform(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Burrows-Wheeler transform of strings laid end to end: symbols (0 ends a string, else byte + 1) in
-    suffix order, and the place of each suffix counted with one end mark a string."""
-    n = len(sizes)
-    text = np.empty(len(data) + n, np.int64)
-    stops = np.cumsum(sizes + 1) - 1
-    inside = np.ones(len(text), bool)
-    inside[stops] = False
-    text[inside] = data.astype(np.int64) + n
-    text[stops] = np.arange(n)
-    order = suffix_array(text)
-    before = text[order - 1]
-    return np.where(before < n, 0, before - n + 1).astype(np.uint16), order
-
-
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes right to ``depth`` symbols (the shard of each place) and the
-    borders of the blocks that share those symbols."""
-    small = np.uint8 if len(transforms) <= 256 else np.uint16 if len(transforms) <= 65536 else np.int64
-    shard = np.repeat(np.arange(len(transforms)).astype(small), [len(x) for x in transforms])
-    border = np.zeros(len(shard), bool)
+class Transform:
+    """Burrows-Wheeler transform of strings laid end to end, with one end mark a string.
+
+    ``symbol``: what stands before each suffix, in suffix order (0 ends a string, else byte + 1);
+    ``back``: the row of the suffix that is longer by it; ``place``: where each suffix starts.
+    """
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray):
+        n = len(sizes)
+        text = np.empty(len(data) + n, np.int64)
+        stops = np.cumsum(sizes + 1) - 1
+        inside = np.ones(len(text), bool)
+        inside[stops] = False
+        text[inside] = data.astype(np.int64) + n
+        text[stops] = np.arange(n)
+        self.place = suffix_array(text)
+        row = np.empty(len(text), np.int32)
+        row[self.place] = np.arange(len(text), dtype=np.int32)
+        before = text[self.place - 1]
+        self.symbol = np.where(before < n, 0, before - n + 1).astype(np.uint16)
+        self.back = row[self.place - 1]
+
+
+def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards' rows, right to ``depth`` symbols, and the borders of the blocks that share them.
+
+    An entry of the interleave is a row of a shard (numbered through all shards). A round deals the entries
+    stably by the symbols before them and steps each to the longer suffix: two symbols a round, read from
+    the transforms, so a round takes the order from p to p + 2 symbols.
+    """
+    base = np.cumsum([0] + [len(x.symbol) for x in shards[:-1]])
+    symbol = np.concatenate([x.symbol for x in shards])
+    back = np.concatenate([x.back + b for x, b in zip(shards, base)]).astype(np.int32)
+    wide = np.uint16 if symbol.max(initial=0) < 256 else np.uint32
+    pair, back2 = (symbol[back].astype(wide) << wide(8 if wide is np.uint16 else 16)) | symbol.astype(wide), back[back]
+    row = np.arange(len(symbol), dtype=np.int32)
+    border = np.zeros(len(symbol), bool)
     border[:1] = True
-    flat = np.concatenate(transforms)
-    flat = flat.astype(np.uint8) if flat.max(initial=0) < 256 else flat
-    symbol = np.empty_like(flat)
-    for _ in range(depth):
-        symbol[np.argsort(shard, kind="stable")] = flat
-        block = np.cumsum(border, dtype=np.int32)
-        order = np.argsort(symbol, kind="stable")
-        new_shard, s, b = shard[order], symbol[order], block[order]
-        new = np.ones(len(shard), bool)
-        new[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
-        if np.array_equal(new, border) and np.array_equal(new_shard, shard):
-            break
-        shard, border = new_shard, new
-    return shard, border
+    for key, step in [(symbol, back)] * (depth % 2) + [(pair, back2)] * (depth // 2):
+        own = key[row]
+        order = np.argsort(own, kind="stable")
+        s, b = own[order], np.cumsum(border, dtype=np.int32)[order]
+        border = np.ones(len(row), bool)
+        border[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
+        row = step[row[order]]
+    return row, border
 
 
 def parts_of(anchor: np.ndarray, sizes: np.ndarray, part: int):
@@ -87,17 +97,12 @@ def _part_repeats(data: np.ndarray, count: np.ndarray, doc: np.ndarray, width: i
     ends = np.cumsum(sizes)
     which = (ends - sizes) // shard_bytes
     cuts = np.append(np.flatnonzero(an._heads(which)), len(sizes))
-    symbols, where = [], []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        s, order = transform(data[ends[a] - sizes[a]:ends[b - 1]], sizes[a:b])
-        first = np.concatenate([[0], np.cumsum(sizes[a:b] + 1)])
-        own = np.searchsorted(first, order, "right") - 1
-        symbols.append(s)
-        where.append((own + a, order - first[own]))
-    shard, border = merge(symbols, width)
-    segment, offset = np.empty(len(shard), np.int64), np.empty(len(shard), np.int64)
-    place = np.argsort(shard, kind="stable")
-    segment[place], offset[place] = np.concatenate([w[0] for w in where]), np.concatenate([w[1] for w in where])
+    shards = [Transform(data[ends[a] - sizes[a]:ends[b - 1]], sizes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    row, border = merge(shards, width)
+    first = np.cumsum(sizes + 1) - sizes - 1
+    place = np.concatenate([x.place + first[a] for x, a in zip(shards, cuts)])[row]
+    segment = np.searchsorted(first, place, "right") - 1
+    offset = place - first[segment]
     good = offset < count[segment]
     of = doc[segment]
     low = np.minimum.reduceat(np.where(good, of, np.iinfo(np.int64).max), np.flatnonzero(border))[np.cumsum(border) - 1]

@@ -118,23 +118,21 @@ def test_prefix_parts_stay_small_and_whole():
     assert all(len({where[s] for s in g}) == 1 for g in groups.values() if len(g) > 1)
 
 
-def test_merged_transforms_order_suffixes():
+@pytest.mark.parametrize("depth", [5, 6])
+def test_merged_transforms_order_suffixes(depth):
     rng = np.random.default_rng(2)
     strings = [rng.integers(97, 99, rng.integers(1, 30)).astype(np.uint8) for _ in range(40)]
     cut = [strings[:9], strings[9:30], strings[30:]]
-    parts = [bwt_merge.transform(np.concatenate(c), np.array([len(s) for s in c])) for c in cut]
-    shard, border = bwt_merge.merge([p[0] for p in parts], 5)
-    at = [0] * 3
-    seen = []
-    for s in shard:
-        first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in cut[s]])])
-        place = parts[s][1][at[s]]
-        own = int(np.searchsorted(first, place, "right")) - 1
-        text = cut[s][own][place - first[own]:].tobytes()
-        seen.append((text + b"\0")[:5])
-        at[s] += 1
-    assert [x for x in seen] == sorted(seen)
-    full = [k for k in range(1, len(seen)) if len(seen[k]) == 5 and b"\0" not in seen[k]]
+    shards = [bwt_merge.Transform(np.concatenate(c), np.array([len(s) for s in c])) for c in cut]
+    row, border = bwt_merge.merge(shards, depth)
+    suffixes = []
+    for c, x in zip(cut, shards):
+        first = np.concatenate([[0], np.cumsum([len(s) + 1 for s in c])])
+        own = np.searchsorted(first, x.place, "right") - 1
+        suffixes += [c[k][p - first[k]:].tobytes() for k, p in zip(own, x.place)]
+    seen = [(suffixes[r] + b"\0")[:depth] for r in row]
+    assert sorted(row) == list(range(len(suffixes))) and seen == sorted(seen)
+    full = [k for k in range(1, len(seen)) if len(seen[k]) == depth and b"\0" not in seen[k]]
     assert all(border[k] == (seen[k] != seen[k - 1]) for k in full)
 
 
