@@ -213,10 +213,13 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(found.groupBy("node").agg(F.max("shingles").alias("shingles")))
 
 
-def _dealt(near: DataFrame, block: int, buckets: int) -> DataFrame:
+def _dealt(near: DataFrame, block: int, buckets: int, nodes: int | None = None) -> DataFrame:
     """Pairs with the bucket they are verified in. Nodes that pairs connect form a group; a group is cut into
     blocks of about ``block`` nodes, and a bucket holds whole pairs of blocks, so each set travels once for
-    each pair of blocks it is needed in."""
+    each pair of blocks it is needed in. With ``nodes``, their number, all of them are one group."""
+    if nodes is not None:
+        ba, bb = (F.pmod(F.xxhash64(c), F.lit(-(-nodes // block) or 1)) for c in ("a", "b"))
+        return written(near.select("a", "b", F.pmod(F.xxhash64(F.least(ba, bb), F.greatest(ba, bb)), F.lit(buckets)).cast("int").alias("bucket")))
     named = classes(near)
     every = named.unionByName(named.select(F.col("class").alias("node"), "class").distinct())
     size = written(every.groupBy("class").agg(F.count("*").alias("n")))
@@ -227,10 +230,11 @@ def _dealt(near: DataFrame, block: int, buckets: int) -> DataFrame:
     return written(near.select("a", "b").join(one, "a").join(two, "b").select("a", "b", key.alias("bucket")))
 
 
-def _verified(near: DataFrame, docs: DataFrame, threshold: float, block: int = 256) -> DataFrame:
-    """The pairs whose whole shingle sets reach the threshold."""
+def _verified(near: DataFrame, docs: DataFrame, threshold: float, block: int = 256, grouped: bool = True) -> DataFrame:
+    """The pairs whose whole shingle sets reach the threshold; ``grouped`` deals them by groups of connected nodes."""
     wanted = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    pairs = _dealt(near, block, max(64, wanted.count() // 1000))
+    n = wanted.count()
+    pairs = _dealt(near, block, max(64, n // 1000), None if grouped else n)
     need = pairs.select(F.col("bucket").alias("deal"), F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = need.join(_sets_of(docs, wanted).hint("merge"), "node").select("deal", "node", "shingles")
 
@@ -260,7 +264,7 @@ def classes(links: DataFrame) -> DataFrame:
     def least(pairs):
         return written(pairs.groupBy("u").agg(F.min("v").alias("m"))).hint("merge")
 
-    edges, mark = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = least(both)
@@ -269,10 +273,10 @@ def classes(links: DataFrame) -> DataFrame:
         low = least(large)
         hang = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(hang.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        # done when every node hangs on one node and none that others hang on hangs itself
+        again = edges.select("u", F.lit(1).alias("n")).unionByName(edges.select(F.col("v").alias("u")).distinct().withColumn("n", F.lit(1)))
+        if not again.groupBy("u").agg(F.sum("n").alias("n")).filter("n > 1").take(1):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
-        mark = now
 
 
 def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
@@ -287,7 +291,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     if large.take(1):
         rest = _strays(large, named, small, threshold)
         if rest.take(1):
-            links = written(links.unionByName(_verified(rest, keyed, threshold)).distinct())
+            links = written(links.unionByName(_verified(rest, keyed, threshold, grouped=False)).distinct())
             named = classes(links)
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     many = nodes.select(F.col("node").alias("b"), "copies").hint("merge")
