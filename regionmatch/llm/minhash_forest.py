@@ -3,19 +3,18 @@
 Two texts are linked when the Jaccard similarity of their sets of five-word shingles is at least 0.8.
 
 1. Texts with equal shingle sets are one node (their smallest id); all further work is on nodes.
-2. Each node has TREES x DEPTH minimum hashes. A tree is the sorted trie of its DEPTH hashes. ``least_depth``
-   is the longest prefix at which TREES trees still find a pair at the threshold with the target recall.
-   From that prefix on, a trie node with at most LEAF members gives all its pairs; a larger one gives every
-   member's pairs with two pivots and is split by the next hash, down to full depth. So each member meets at
-   most LEAF + 2 x DEPTH others a tree, and no group is expanded into all pairs.
-3. Pairs whose signatures (one byte a hash) rule out the threshold by more than four standard errors go.
-4. All other pairs are verified on whole shingle sets. Sets are dealt by groups of nodes that pairs connect,
-   large groups block by block, so no set is sent once a pair. Verified links are joined to classes.
-
-5. Members of large trie nodes that ended in different classes are compared with each other after all, block by
-   block on their signatures, and what these do not rule out is verified (``_strays``).
-
-So only pairs inside one class may stay uncompared; a class is the set of texts that links connect.
+2. Each node has TREES x DEPTH minimum hashes. A tree is the trie of its DEPTH hashes. ``least_depth`` is the
+   longest prefix at which TREES trees still find a pair at the threshold with the target recall. A trie node at
+   that prefix with at most LEAF members gives all its pairs.
+3. The members of larger trie nodes are compared block by block on one byte a hash, and those that the signatures
+   do not rule out (more than four standard errors below the threshold) are joined to groups (``_groups``). All
+   pairs of a group are then verified block by block on whole shingle sets (``_counted``). A task gives each
+   member's number of links and one link for each class it joins, so no group is expanded into rows for pairs.
+4. Pairs of small trie nodes that lie in no common group, and that signatures do not rule out, are verified on
+   whole shingle sets. Sets are dealt by groups of nodes that pairs connect, large groups block by block, so no
+   set is sent once a pair. Verified links are joined to classes.
+
+So every pair that meets in a trie node is compared, whatever the node's size, and counted once.
 
 Result, one row per row of the input: doc_id, class_id (smallest doc_id of the class), n_links (other rows
 with an equal shingle set, plus the rows of every text with a verified link to this one), n_class_texts
@@ -39,6 +38,8 @@ from regionmatch.llm.staging import written
 
 NGRAM, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL, LEAF = 16, 8, 0.9995, 16
+#: Members of a block of signatures; members and shingles of a block of whole sets.
+SIGNED, WHOLE, SHINGLES = 8192, 1024, 1 << 21
 LAST = (1 << 63) - 1
 _RNG = np.random.default_rng(17)
 _MUL = _RNG.integers(0, 1 << 63, TREES * DEPTH).astype(np.uint64) * t.U(2) + t.U(1)
@@ -85,51 +86,36 @@ def _signed(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(data, offsets)
             yield pa.RecordBatch.from_pydict({
                 "doc": rows.column(0), "set_key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                "sig": pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())})
+                "size": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())})
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, set_key binary, sig binary")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, set_key binary, size long, sig binary")
 
 
 def _forest(nodes: DataFrame, low: int) -> DataFrame:
-    """(node, rank, k_low .. k_DEPTH): a row for each node and tree, with the keys of its prefixes."""
-    names = [f"k{d}" for d in range(low, DEPTH + 1)]
+    """(node, trie): a row for each node and tree, with the key of its prefix of ``low`` hashes."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, TREES, DEPTH).astype(np.uint64)
-                key, cols = np.broadcast_to(t.mix(np.arange(1, TREES + 1, dtype=np.uint64)), sig.shape[:2]).copy(), {}
-                for d in range(DEPTH):
+                key = np.broadcast_to(t.mix(np.arange(1, TREES + 1, dtype=np.uint64)), sig.shape[:2]).copy()
+                for d in range(low):
                     key = t.mix(key * t.U(0x9E3779B97F4A7C15) + sig[:, :, d] + t.U(1))
-                    if d + 1 >= low:
-                        cols[f"k{d + 1}"] = key.ravel().view(np.int64).copy()
-                yield pa.RecordBatch.from_pydict({"node": np.repeat(part.column(0).to_numpy(), TREES), **cols})
+                yield pa.RecordBatch.from_pydict({"node": np.repeat(part.column(0).to_numpy(), TREES), "trie": key.ravel().view(np.int64)})
 
-    return nodes.select("node", "sig").mapInArrow(run, "node long, " + ", ".join(f"{n} long" for n in names)).withColumn("rank", F.xxhash64("node"))
+    return nodes.select("node", "sig").mapInArrow(run, "node long, trie long")
 
 
 def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a < b) of nodes that meet in a trie, and the members (trie, node) of the large trie nodes
-    at the least depth, whose pairs are not all among them."""
-    low = least_depth(threshold, recall=recall)
-    live, pairs, large = _forest(nodes, low), None, None
-    for d in range(low, DEPTH + 1):
-        key = f"k{d}"
-        last = F.struct("rank", "node")
-        sizes = written(live.groupBy(key).agg(F.count("*").alias("n"), F.min(last).alias("p"), F.max(last).alias("q")).filter("n > 1")
-                        .select(key, "n", F.col("p.node").alias("p"), F.col("q.node").alias("q")))
-        met = written(live.join(sizes.hint("merge"), key))
-        few = met.filter(F.col("n") <= leaf).groupBy(key).agg(F.sort_array(F.collect_set("node")).alias("m"))
-        few = few.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, leaf)).alias("b"))
-        star = met.filter(F.col("n") > leaf).select(F.explode(F.array(*[F.struct(F.least("node", p).alias("a"), F.greatest("node", p).alias("b")) for p in ("p", "q")])).alias("e")).select("e.a", "e.b")
-        own = few.unionByName(star).filter("a < b").distinct()
-        pairs = own if pairs is None else pairs.unionByName(own)
-        live = met.filter(F.col("n") > leaf).drop("n", "p", "q")
-        large = live.select(F.col(key).alias("trie"), "node") if large is None else large
-        if d < DEPTH and not live.take(1):
-            break
-    return written(pairs.distinct()), large
+    """Distinct pairs (a < b) of nodes that meet in a small trie node, and the members (trie, n, node) of the
+    large ones."""
+    live = _forest(nodes, least_depth(threshold, recall=recall))
+    sizes = written(live.groupBy("trie").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = written(live.join(sizes.hint("merge"), "trie"))
+    few = met.filter(F.col("n") <= leaf).groupBy("trie").agg(F.sort_array(F.collect_set("node")).alias("m"))
+    few = few.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, leaf)).alias("b"))
+    return written(few.filter("a < b").distinct()), met.filter(F.col("n") > leaf)
 
 
 def _least_like(threshold: float) -> float:
@@ -170,36 +156,92 @@ def _estimated(pairs: DataFrame, small: DataFrame, threshold: float) -> DataFram
     return written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def _strays(large: DataFrame, named: DataFrame, small: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """Pairs of large trie nodes that lie in different classes and that the signatures do not rule out.
+def _joined(label: np.ndarray, k: int, hits: np.ndarray) -> np.ndarray:
+    """Puts row k and the hits under one label; returns a hit of each label that k did not have."""
+    kinds, at = np.unique(label[hits], return_index=True)
+    fresh = hits[at[kinds != label[k]]]
+    if len(fresh):
+        label[np.isin(label, kinds)] = label[k]
+    return fresh
+
+
+def _block_pairs(members: DataFrame, key: str, blocks) -> DataFrame:
+    """The members with the pairs of blocks (i <= j) of their key that they are needed in, and their own block."""
+    dealt = members.withColumn("blocks", blocks.cast("long")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other").groupBy(key, "i", "j")
+
 
-    In each large trie node the members outside its most frequent class are compared with all members, block
-    by block, on one byte a hash. This is what the pivots leave: after it, no two members of a trie node are in
-    different classes without having been compared.
-    """
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the smaller and of the larger block of a pair."""
+    own = table.column("own").to_numpy()
+    return np.flatnonzero(own == table.column("i")[0].as_py()), np.flatnonzero(own == table.column("j")[0].as_py())
+
+
+def _groups(large: DataFrame, small: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(node, class) of members of large trie nodes: two members of a trie node that the signatures do not rule
+    out are in one class. Rows already joined are not compared, so a node of near copies costs little."""
     least, n_bytes = _least_like(threshold), TREES * DEPTH
-    placed = written(large.join(named.hint("merge"), "node", "left").withColumn("class", F.coalesce("class", "node")))
-    per = placed.groupBy("trie", "class").agg(F.count("*").alias("n"))
-    top = per.groupBy("trie").agg(F.max(F.struct("n", "class")).alias("m"), F.count("*").alias("classes"), F.sum("n").alias("all")).filter("classes > 1")
-    top = written(top.select("trie", F.col("m.class").alias("major"), F.ceil(F.col("all") / block).alias("rights"), F.ceil((F.col("all") - F.col("m.n")) / block).alias("lefts")))
-    held = written(placed.join(top.hint("merge"), "trie").join(small.hint("merge"), "node"))
-    own = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks))
-    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks).cast("long") - 1))
-    left = held.filter(F.col("class") != F.col("major")).select("trie", own("lefts").cast("long").alias("i"), every("rights").alias("j"), "node", "class", "b8")
-    right = held.select(F.col("trie").alias("tree"), every("lefts").alias("u"), own("rights").cast("long").alias("v"), F.col("node").alias("other"), F.col("class").alias("kind"), F.col("b8").alias("b"))
-
-    def run(few: pa.Table, many: pa.Table) -> pa.Table:
-        x, y = (np.frombuffer(b"".join(t_.column(n).to_pylist()), np.uint8).reshape(-1, n_bytes) for t_, n in ((few, "b8"), (many, "b")))
-        node, kind, others, kinds = (c.to_numpy() for c in (few.column("node"), few.column("class"), many.column("other"), many.column("kind")))
-        found = []
-        for k in range(len(x)):
-            hit = others[(kinds != kind[k]) & (_like(y, x[k]) >= least)]
-            found.append(np.stack([np.minimum(hit, node[k]), np.maximum(hit, node[k])], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    met = left.groupBy("trie", "i", "j").cogroup(right.groupBy("tree", "u", "v")).applyInArrow(run, "a long, b long")
-    return written(met.distinct())
+
+    def run(table: pa.Table) -> pa.Table:
+        node, (left, right) = table.column("node").to_numpy(), _sides(table)
+        sig = np.frombuffer(b"".join(table.column("b8").to_pylist()), np.uint8).reshape(-1, n_bytes)
+        label, found = np.arange(len(node)), [np.empty((0, 2), np.int64)]
+        for k in left:
+            rest = right[label[right] != label[k]]
+            fresh = _joined(label, k, rest[_like(sig[rest], sig[k]) >= least])
+            found.append(np.stack([np.full(len(fresh), node[k]), node[fresh]], 1))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs.min(1), "b": pairs.max(1)})
+
+    held = large.join(small.hint("merge"), "node")
+    edges = _block_pairs(held, "trie", F.ceil(F.col("n") / block)).applyInArrow(run, "a long, b long")
+    named = classes(written(edges.distinct()))
+    return written(named.unionByName(named.select(F.col("class").alias("node"), "class").distinct()))
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs that do not lie in one group."""
+    one, two = (groups.select(F.col("node").alias(n), F.col("class").alias(f"in_{n}")).hint("merge") for n in ("a", "b"))
+    return written(pairs.join(one, "a", "left").join(two, "b", "left").filter(~F.coalesce(F.col("in_a") == F.col("in_b"), F.lit(False))).select("a", "b"))
+
+
+def _counted(groups: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b, n) from all pairs of each group, verified on whole shingle sets: without b, a has n linked rows in
+    a pair of blocks; with b, the two are linked. The links given are those that join the linked nodes."""
+    held = written(groups.join(nodes.select("node", "copies", "size").hint("merge"), "node"))
+    per = written(held.groupBy("class").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / SHINGLES)).alias("parts")))
+    held = held.join(per.hint("merge"), "class").join(_sets_of(docs, groups.select("node")).hint("merge"), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, copies, (left, right) = table.column("node").to_numpy(), table.column("copies").to_numpy(), _sides(table)
+        sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        base = np.concatenate([[0], np.cumsum(size)])
+        flat = ids[t.spread(base[right], size[right])]
+        order = np.argsort(flat, kind="stable")
+        having = np.repeat(np.arange(len(right)), size[right])[order]
+        many = np.bincount(flat, minlength=ids.max() + 1)
+        start = np.cumsum(many) - many
+        same = len(left) and len(right) and left[0] == right[0]
+        label, n, found = np.arange(len(node)), np.zeros(len(node), np.int64), [np.empty((0, 2), np.int64)]
+        for k in left:
+            own = ids[base[k]:base[k + 1]]
+            shared = np.bincount(having[t.spread(start[own], many[own])], minlength=len(right))
+            hits = right[shared >= threshold * (size[k] + size[right] - shared) - 1e-9]
+            hits = hits[hits != k]
+            n[k] += copies[hits].sum()
+            if not same:
+                n[hits] += copies[k]
+            fresh = _joined(label, k, hits)
+            found.append(np.stack([np.full(len(fresh), node[k]), node[fresh]], 1))
+        pairs, some = np.concatenate(found), n > 0
+        return pa.table({"a": pa.array(np.concatenate([node[some], pairs.min(1)])), "b": pa.array([None] * int(some.sum()) + pairs.max(1).tolist(), pa.int64()),
+                         "n": pa.array(np.concatenate([n[some], np.zeros(len(pairs), np.int64)]))})
+
+    held = held.select("node", "class", "copies", "shingles", "parts")
+    return written(_block_pairs(held, "class", F.col("parts")).applyInArrow(run, "a long, b long, n long"))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -213,13 +255,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(found.groupBy("node").agg(F.max("shingles").alias("shingles")))
 
 
-def _dealt(near: DataFrame, block: int, buckets: int, nodes: int | None = None) -> DataFrame:
+def _dealt(near: DataFrame, block: int, buckets: int) -> DataFrame:
     """Pairs with the bucket they are verified in. Nodes that pairs connect form a group; a group is cut into
     blocks of about ``block`` nodes, and a bucket holds whole pairs of blocks, so each set travels once for
-    each pair of blocks it is needed in. With ``nodes``, their number, all of them are one group."""
-    if nodes is not None:
-        ba, bb = (F.pmod(F.xxhash64(c), F.lit(-(-nodes // block) or 1)) for c in ("a", "b"))
-        return written(near.select("a", "b", F.pmod(F.xxhash64(F.least(ba, bb), F.greatest(ba, bb)), F.lit(buckets)).cast("int").alias("bucket")))
+    each pair of blocks it is needed in."""
     named = classes(near)
     every = named.unionByName(named.select(F.col("class").alias("node"), "class").distinct())
     size = written(every.groupBy("class").agg(F.count("*").alias("n")))
@@ -230,11 +269,11 @@ def _dealt(near: DataFrame, block: int, buckets: int, nodes: int | None = None)
     return written(near.select("a", "b").join(one, "a").join(two, "b").select("a", "b", key.alias("bucket")))
 
 
-def _verified(near: DataFrame, docs: DataFrame, threshold: float, block: int = 256, grouped: bool = True) -> DataFrame:
-    """The pairs whose whole shingle sets reach the threshold; ``grouped`` deals them by groups of connected nodes."""
+def _verified(near: DataFrame, docs: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+    """The pairs whose whole shingle sets reach the threshold."""
     wanted = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     n = wanted.count()
-    pairs = _dealt(near, block, max(64, n // 1000), None if grouped else n)
+    pairs = _dealt(near, block, max(64, n // 1000))
     need = pairs.select(F.col("bucket").alias("deal"), F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = need.join(_sets_of(docs, wanted).hint("merge"), "node").select("deal", "node", "shingles")
 
@@ -279,23 +318,26 @@ def classes(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
 
 
-def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, leaf: int = LEAF,
+                 signed_block: int = SIGNED, whole_block: int = WHOLE) -> DataFrame:
     """doc_id, class_id, n_links, n_class_texts of every row."""
     keyed = docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[id_column].cast("long"), F.lit(LAST)).alias("doc"), docs[text_column].alias("text"))
     signed = written(_signed(keyed))
-    nodes = written(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
+    nodes = written(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("node"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")))
     pairs, large = candidates(nodes, threshold, recall, leaf)
     small = _short(nodes)
-    links = _verified(_estimated(pairs, small, threshold), keyed, threshold)
-    named = classes(links)
+    counted = None
     if large.take(1):
-        rest = _strays(large, named, small, threshold)
-        if rest.take(1):
-            links = written(links.unionByName(_verified(rest, keyed, threshold, grouped=False)).distinct())
-            named = classes(links)
+        groups = _groups(large, small, threshold, signed_block)
+        pairs, counted = _apart(pairs, groups), _counted(groups, nodes, keyed, threshold, whole_block)
+    links = _verified(_estimated(pairs, small, threshold), keyed, threshold)
+    named = classes(links if counted is None else written(links.unionByName(counted.filter("b is not null").select("a", "b")).distinct()))
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     many = nodes.select(F.col("node").alias("b"), "copies").hint("merge")
-    degree = ends.join(many, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("n"))
+    degree = ends.join(many, "b").select("a", F.col("copies").alias("n"))
+    if counted is not None:
+        degree = degree.unionByName(counted.filter("b is null").select("a", "n"))
+    degree = degree.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     texts = nodes.join(named.hint("merge"), "node", "left").join(written(degree).hint("merge"), "node", "left").select(
         "set_key", F.coalesce("class", "node").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     size = written(texts.groupBy("class_id").agg(F.count("*").alias("n_class_texts")))

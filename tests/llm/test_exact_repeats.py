@@ -190,6 +190,27 @@ def test_join_equals_all_pairs(spark, leaf):
         assert got == want
 
 
+@pytest.mark.parametrize("leaf, block", [(16, 1024), (16, 7), (2, 5)])
+def test_join_counts_all_links_of_large_groups(spark, leaf, block):
+    """Sixty different texts that are all near copies of one, a chain that drifts away, and copies of some."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(120)] = f"n{i}"
+        if i % 2:
+            w[rng.randrange(120)] = f"m{i}"
+        texts.append(w)
+    for i in range(40):
+        w = list(texts[-1])
+        w[3 * i:3 * i + 1] = [f"d{i}"]
+        texts.append(w)
+    rows = [(7 * i % 101, " ".join(w)) for i, w in enumerate(texts)] + [(200 + i, " ".join(texts[5 * i])) for i in range(12)]
+    got = sorted((_key(r.doc_id), _key(r.class_id), r.n_links) for r in mf.jaccard_join(_table(spark, rows), leaf=leaf, signed_block=block, whole_block=block).collect())
+    assert got == brute_classes(rows)
+
+
 def test_least_depth_reaches_the_recall():
     k = mf.least_depth()
     assert 1 - (1 - 0.8**k) ** mf.TREES >= mf.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** mf.TREES
