@@ -116,7 +116,7 @@ def _pack(which: np.ndarray, groups: int, ids, crcs, row, first, count, anchor,
         out["first"].append(squeeze(first[o].astype(np.uint32)))
         out["count"].append(squeeze(count[o].astype(np.uint32)))
         out["anchor"].append(anchor[o].tobytes())
-        out["seg"].append(np.ascontiguousarray(seg[o].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
+        out["seg"].append(seg[o].tobytes())
     return pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), **{n: pa.array(out[n], pa.binary()) for n in list(out)[1:]}})
 
 
@@ -139,13 +139,11 @@ def deal(docs: DataFrame, tokenize: Tokenize, width: int, k: int, buckets: int,
 def unpack(table: pa.Table) -> dict[str, np.ndarray]:
     cols = {n: table.column(n).to_pylist() for n in table.column_names if n != "bucket"}
     runs = np.concatenate([expand(b, np.uint32) for b in cols["runs"]])
-    wide = np.zeros((sum(map(len, cols["seg"])) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(b"".join(cols["seg"]), np.uint8).reshape(-1, 5)
     return {
         "doc": np.repeat(np.concatenate([expand(b, np.int64) for b in cols["docs"]]), runs),
         "crc": np.repeat(np.concatenate([expand(b, np.uint32) for b in cols["crcs"]]), runs),
         "first": np.concatenate([expand(b, np.uint32) for b in cols["first"]]), "count": np.concatenate([expand(b, np.uint32) for b in cols["count"]]),
-        "anchor": np.frombuffer(b"".join(cols["anchor"]), np.uint64), "seg": wide.view(np.uint64).ravel(),
+        "anchor": np.frombuffer(b"".join(cols["anchor"]), np.uint64), "seg": np.frombuffer(b"".join(cols["seg"]), np.uint64),
     }
 
 

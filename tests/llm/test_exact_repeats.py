@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from regionmatch.llm import bwt_merge, fm_decontamination as fm, minhash_forest as mf, suffix_trees
+from regionmatch.llm import anchored, bwt_merge, fm_decontamination as fm, minhash_forest as mf, suffix_trees
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
@@ -190,6 +190,15 @@ def test_join_equals_all_pairs(spark, leaf):
         assert got == want
 
 
+def test_segments_that_differ_in_high_bits_only_stay_apart():
+    one = np.ones(2, np.int64)
+    seg = np.array([5, 5 + (1 << 40)], np.uint64)
+    packed = anchored._pack(0 * one, 1, np.array([1, 2]), one, np.arange(2), one, one, one.astype(np.uint64), seg)
+    p = anchored.unpack(anchored.pa.Table.from_batches([packed]))
+    assert p["seg"].tolist() == seg.tolist()
+    assert not anchored.settle(p, True, 100)[0].any() and not anchored.settle(p, False, 100)[0].any()
+
+
 @pytest.mark.parametrize("leaf, block", [(16, 1024), (16, 7), (2, 5)])
 def test_join_counts_all_links_of_large_groups(spark, leaf, block):
     """Sixty different texts that are all near copies of one, a chain that drifts away, and copies of some."""
