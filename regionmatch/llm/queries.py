@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionmatch.llm import labels as lab
+from regionmatch.llm import license_scans as ls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -84,11 +85,56 @@ def op10_minhash_forest_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join(_table(spark, sf, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    from regionmatch.llm.spelling_variants import spelling_variants
+
+    return spelling_variants(_table(spark, sf, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_license_set_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ls.license_scan(_table(spark, sf, "documents"))
+
+
+def op13_aho_corasick_search(spark: SparkSession, sf: str) -> DataFrame:
+    from regionmatch.llm.ranked_search import ranked_search
+
+    return ranked_search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_random_indexing_quality, op2_warc_chunks, op3_suffix_tree_dedup, op4_toxicity_grammar, op5_bwt_merge_dedup, op6_preference_format,
-    op7_piece_lattice, op8_compression_bands, op9_fm_decontamination, op10_minhash_forest_join,
+    op7_piece_lattice, op8_compression_bands, op9_fm_decontamination, op10_minhash_forest_join, op11_spelling_variants, op12_license_set_join,
+    op13_aho_corasick_search,
 )}
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_OTHER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _license_sql() -> str:
+    """Places of phrases by comparing slices, containment by intersecting every block with every template."""
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    phrases = ", ".join(f"('{label}', {quoted(ls.tokens(phrase))})" for phrase, label in ls.PHRASES)
+    sets = [(label, sorted(set(ls.tokens(text)))) for label, text in ls.TEMPLATES]
+    templates = ", ".join(f"('{label}', {len(own)}, {ls.least_overlap(len(own), ls.THRESHOLD)}, {quoted(own)})" for label, own in sets)
+    span = max(len(ls.tokens(text)) for _, text in ls.TEMPLATES)
+    return f"""
+WITH w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_OTHER}') AS w
+  FROM (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents)),
+p(label, own) AS (VALUES {phrases}),
+place AS (SELECT r, i - 1 AS pos, label FROM (SELECT r, w, label, own, unnest(generate_series(1, len(w) - len(own) + 1)) AS i FROM w, p WHERE list_has_all(w, own)) WHERE w[i:i + len(own) - 1] = own),
+base AS (SELECT r, count(*) AS n, min(pos) AS a, max(pos) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM place GROUP BY 1),
+tpl(label, n, need, own) AS (VALUES {templates}),
+line AS (SELECT r, regexp_extract_all(unnest(string_split(t, chr(10))), '{_OTHER}') AS x FROM w),
+block AS (SELECT r, x[s + 1:s + {2 * span}] AS x FROM (SELECT r, x, unnest(generate_series(0, greatest(len(x) - {span} - 1, 0), {span})) AS s FROM line WHERE len(x) > 0)),
+hit AS (SELECT r, label, len(list_intersect(own, x)) / n AS part FROM block, tpl WHERE len(list_intersect(own, x)) >= need),
+named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM (SELECT r, label FROM hit UNION ALL SELECT r, label FROM place) GROUP BY 1),
+best AS (SELECT r, max(part) AS part FROM hit GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word,
+  coalesce(base.l, '') AS base_labels, coalesce(named.l, '') AS labels, CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(part, 0.0)::DOUBLE END AS score
+FROM w LEFT JOIN base USING (r) LEFT JOIN named USING (r) LEFT JOIN best USING (r)"""
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _PLAIN = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
@@ -163,4 +209,34 @@ kept AS (SELECT doc_id, string_agg(h[2 * p + 1:2 * a], '' ORDER BY a) || any_val
 SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(t, h))) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_spelling_variants": f"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS t),
+run AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{_UPPER}', '{_LOWER}') AS w FROM documents),
+own AS (SELECT doc_id, w, count(*) AS c FROM run GROUP BY 1, 2),
+bytes AS (SELECT w, c, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+  lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + unicode(x) // 64 AS BIGINT), CAST(128 + unicode(x) % 64 AS BIGINT)] END)) AS b FROM own),
+crc AS (SELECT w, c, xor(list_reduce(b, lambda h, x: xor(t[xor(h, x) % 256 + 1], h >> 8), 4294967295), 4294967295) AS h FROM bytes, tab),
+word AS (SELECT CASE WHEN h % 97 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS w, c FROM crc),
+v AS (SELECT w, CAST(sum(c) AS BIGINT) AS n FROM word WHERE length(w) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+del AS (SELECT w, n, i, w[1:i - 1] || '*' || w[i + 1:] AS holed, w[1:i - 1] || w[i + 1:] AS short FROM (SELECT w, n, unnest(generate_series(1, length(w))) AS i FROM v)),
+pair AS (SELECT a.w, b.w AS o, b.n FROM del a JOIN del b ON a.i = b.i AND a.holed = b.holed AND a.w <> b.w
+  UNION SELECT v.w, d.w, d.n FROM v JOIN del d ON v.w = d.short UNION SELECT d.w, v.w, v.n FROM v JOIN del d ON v.w = d.short),
+near AS (SELECT w, count(*) AS m, min((-n, o)) AS best FROM pair GROUP BY 1),
+f AS (SELECT v.w, v.n, coalesce(m, 0) AS m, CASE WHEN -best[1] >= 2 * v.n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * v.n THEN -best[1] END AS form_n FROM v LEFT JOIN near USING (w)),
+up AS (SELECT w, w AS root FROM f WHERE form IS NULL UNION ALL SELECT f.w, up.root FROM f JOIN up ON f.form = up.w)
+SELECT w AS word, form, root, n, CAST(m AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN up USING (w)""",
+    "op12_license_set_join": _license_sql(),
+    "op13_aho_corasick_search": rf"""
+WITH term AS (SELECT r, doc_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), '{_UPPER}', '{_LOWER}') AS w
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+tf AS (SELECT r, doc_id, w, count(*) AS tf FROM term GROUP BY 1, 2, 3),
+len AS (SELECT r, count(*) AS n FROM term GROUP BY 1),
+tot AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM len),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
+item AS (SELECT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), '{_UPPER}', '{_LOWER}') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+need AS (SELECT item_id, w, count(*) AS times FROM item GROUP BY 1, 2),
+part AS (SELECT item_id, r, doc_id, times * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))) AS s
+  FROM need JOIN tf USING (w) JOIN df USING (w) JOIN len USING (r), tot),
+score AS (SELECT item_id, r, doc_id, CAST(sum(s) AS BIGINT) AS score FROM part GROUP BY 1, 2, 3 HAVING sum(s) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score) WHERE rank <= 10""",
 }
