@@ -123,20 +123,16 @@ def gaussian(cells: DataFrame, column: str, sigma: float, out: str, tile: int =
 def block_means(
     cells: DataFrame, values: Mapping[str, Column], c: int, pad: float | None = None, keys: Sequence[str] = ("image",)
 ) -> DataFrame:
-    """Mean over c x c blocks. Without ``pad`` an incomplete edge block is dropped; with it the
-    raster is first extended by that value."""
-    shrink = (lambda n: F.floor(n / c)) if pad is None else (lambda n: F.ceil(n / c))
-    gh, gw = shrink(F.col("h")).cast("int"), shrink(F.col("w")).cast("int")
+    """Mean over c x c blocks. An edge block that the raster does not fill is the mean of the cells it has;
+    with ``pad`` the raster is first extended by that value."""
+    gh, gw = (F.ceil(F.col(n) / c).cast("int") for n in ("h", "w"))
     block = cells.select(
         *keys, gh.alias("h"), gw.alias("w"), F.floor(F.col("y") / c).cast("int").alias("y"),
         F.floor(F.col("x") / c).cast("int").alias("x"), *[v.cast("double").alias(n) for n, v in values.items()],
     )
-    if pad is None:
-        block = block.filter((F.col("y") < F.col("h")) & (F.col("x") < F.col("w")))
-    fill = 0.0 if pad is None else float(pad)
     n = float(c * c)
-    missing = F.lit(fill) * (F.lit(n) - F.count("*"))
-    return block.groupBy(*keys, "h", "w", "y", "x").agg(*[((F.sum(v) + missing) / n).alias(v) for v in values])
+    mean = F.avg if pad is None else (lambda v: (F.sum(v) + F.lit(float(pad)) * (F.lit(n) - F.count("*"))) / n)
+    return block.groupBy(*keys, "h", "w", "y", "x").agg(*[mean(v).alias(v) for v in values])
 
 
 def gradient(cells: DataFrame, column: str, tile: int = TILE) -> DataFrame:

@@ -115,3 +115,43 @@ def pair_blocks(tiled: DataFrame, rows: DataFrame, identity: Sequence[str], bloc
         *[c(n).alias(f"b_{n}") for n in ("image", "ty", "tx", "block")], *[n for n in rows.columns if n != "image"])
     by = ["image", "ty", "tx", "block"]
     return left.groupBy(*by).cogroup(right.groupBy(*[f"b_{n}" for n in by])).applyInPandas(fn, schema)
+
+
+def packed_tiles(cells: DataFrame, value: str, halo: int, tile: int = TILE) -> DataFrame:
+    """One row per tile: image, ty, tx, h, w, the row and column of its first cell, and its cells with the halo as
+    an array row by row. Places outside the raster are left out."""
+    kind = dict(cells.dtypes)["image"]
+
+    def pack(table):
+        import numpy as np
+        import pyarrow as pa
+
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        top, left = int(y.min()), int(x.min())
+        a = np.zeros((int(y.max()) - top + 1, int(x.max()) - left + 1))
+        a[y - top, x - left] = table.column(value).to_numpy()
+        head = {n: table.column(n).slice(0, 1) for n in ("image", "ty", "tx", "h", "w")}
+        return pa.table({**head, "top": pa.array([top], pa.int32()), "left": pa.array([left], pa.int32()), "across": pa.array([a.shape[1]], pa.int32()), "data": pa.array([a.tobytes()], pa.binary())})
+
+    tiled = halo_tiles(cells.select("image", "h", "w", "y", "x", F.col(value).cast("double").alias(value)), halo, "none", tile)
+    return tiled.groupBy("image", "ty", "tx").applyInArrow(pack, f"image {kind}, ty int, tx int, h int, w int, top int, left int, across int, data binary")
+
+
+def pair_packed(tiles: DataFrame, blocks: DataFrame, fn: Callable, schema: str, salts: int = 64) -> DataFrame:
+    """Apply ``fn(tile table, rows table)`` to every packed tile of a drawing and every block of its rows.
+
+    ``blocks`` (image, block, ...) hold rows of bounded number. The numbers of tiles and blocks meet first, salted so
+    that a drawing with very many tiles is spread; then each tile and each block goes to its pairs.
+    """
+    c = F.col
+    salt = F.pmod(F.xxhash64("ty", "tx"), F.lit(salts)).cast("int")
+    named = blocks.select("image", "block").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = tiles.select("image", "ty", "tx", salt.alias("salt")).join(named, ["image", "salt"]).select("image", "ty", "tx", "block")
+    left = tiles.join(pairs.groupBy("image", "ty", "tx").agg(F.collect_set("block").alias("block")), ["image", "ty", "tx"])
+    left = left.withColumn("block", F.explode("block"))
+    spread = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    where = pairs.withColumn("salt", salt)
+    right = spread.join(where, ["image", "block", "salt"]).drop("salt")
+    right = right.withColumnsRenamed({n: f"b_{n}" for n in ("image", "ty", "tx", "block")})
+    by = ["image", "ty", "tx", "block"]
+    return left.groupBy(*by).cogroup(right.groupBy(*[f"b_{n}" for n in by])).applyInArrow(fn, schema)

@@ -236,7 +236,9 @@ def match_regions(spark, sf):
     train = sampling.inverse_size_weights(filled.filter("image % 2 = 0").withColumn("label", F.col("pos").cast("double")))
     head = models.boosted_head(names, rounds=5, depth=4, min_rows=5).fit(train)
     prob = models.score(head, filled.filter("image % 2 = 1"), ["query", "h", "w", "y", "x"])
-    hit = masks(cut_lineage(prob), 0.5, sigma=0.8).withColumn("hit", F.lit(True))
+    size = px.select("image", F.col("h").alias("native_h"), F.col("w").alias("native_w")).distinct()
+    native = b.select("query", "image").join(size, "image").drop("image")
+    hit = masks(cut_lineage(prob), 0.5, sigma=0.8, native=native).withColumn("hit", F.lit(True))
     known = px.join(b.select("image", "query", "x0", "y0", "x1", "y1"), "image").filter("image % 2 = 1")
     known = known.filter("not (x >= x0 and x < x1 and y >= y0 and y < y1)")
     d = known.select("query", F.col("image").alias("document_id"), "y", "x", (F.col("gray") > 127).alias("pos"), F.lit(False).alias("blank"))
@@ -334,7 +336,8 @@ _MASKS = labelled_sql(f"{_QPROB}, {gauss_sql('qp', 'p', 0.8, 'bl', 'query')}", "
   {bilinear_sql('pts', 'pp', 4.0, 'query', 'p', 'up')}"""
 
 _REGION = f"""{_QLAB}, rows_ AS (SELECT label AS image, count(*) OVER (PARTITION BY label) AS h, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS y, embedding FROM embeddings),
-  grid AS (SELECT image, h // 8 AS gh, 8 AS gw, y // 8 AS gy, y % 8 AS gx, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS vec FROM rows_ WHERE y // 8 < h // 8),
+  grid AS (SELECT image, gh, 8 AS gw, CAST(i // 8 AS INT) AS gy, CAST(i % 8 AS INT) AS gx, vec
+    FROM (SELECT image, (h + 7) // 8 AS gh, unnest(range(y, (h + 7) // 8 * 8, h)) AS i, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS vec FROM rows_)),
   gs AS (SELECT DISTINCT image, gh, gw FROM grid), {box_cells_sql(8.0, 'gs', 'bc')},
   u AS (SELECT image, gy, gx, {unit_sql('vec')} AS vec FROM grid), ex AS (SELECT bc.*, vec FROM bc JOIN u USING (image, gy, gx)),
   {vmean('ex', 'vec', 'mv')}, mp AS (SELECT query, image, {unit_sql('v')} AS proto FROM mv),

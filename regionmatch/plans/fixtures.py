@@ -98,16 +98,18 @@ px AS (
 
 
 def grid_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Feature grid: one cell per vector, eight cells to a grid row, stride 8; a rest row is dropped."""
-    rows = _rows_of_images(spark, sf).select(
+    """Feature grid: one cell per vector, eight cells to a grid row, stride 8. Where the vectors do not fill the
+    last row, its other cells show the first vectors again."""
+    gh = F.ceil(F.col("h") / 8).cast("int")
+    rows = _rows_of_images(spark, sf).select("image", gh.alias("gh"), F.explode(F.sequence(F.col("y"), gh * 8 - 1, F.col("h"))).alias("_at"), "embedding")
+    return rows.select(
         "image",
-        F.floor(F.col("h") / 8).cast("int").alias("gh"),
+        "gh",
         F.lit(8).alias("gw"),
-        F.floor(F.col("y") / 8).cast("int").alias("gy"),
-        (F.col("y") % 8).cast("int").alias("gx"),
+        F.floor(F.col("_at") / 8).cast("int").alias("gy"),
+        (F.col("_at") % 8).cast("int").alias("gx"),
         F.col("embedding").alias("vec"),
     )
-    return rows.filter(F.col("gy") < F.col("gh"))
 
 
 GRID = """rowsofimages AS (
@@ -115,9 +117,8 @@ GRID = """rowsofimages AS (
          CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS y, embedding
   FROM embeddings),
 grid AS (
-  SELECT image, h // 8 AS gh, 8 AS gw, y // 8 AS gy, y % 8 AS gx,
-         list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS vec
-  FROM rowsofimages WHERE y // 8 < h // 8)"""
+  SELECT image, gh, 8 AS gw, CAST(i // 8 AS INT) AS gy, CAST(i % 8 AS INT) AS gx, vec
+  FROM (SELECT image, (h + 7) // 8 AS gh, unnest(range(y, (h + 7) // 8 * 8, h)) AS i, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS vec FROM rowsofimages))"""
 
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,6 +144,27 @@ BOXES = """boxes AS (
         FROM (SELECT DISTINCT label AS image FROM embeddings), range(0, 4) t(k)))"""
 
 
+def wide_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two query rectangles per raster that are large enough for corner crops and turned templates."""
+    images = read(spark, sf, "embeddings").select(F.col("label").alias("image")).distinct()
+    b = images.select("image", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("k"))
+    x0, y0 = ((7 * F.col("image")) % 20).cast("int"), ((5 * F.col("image")) % 12).cast("int")
+    return b.select(
+        "image",
+        (F.col("image") * 10 + F.col("k")).cast("int").alias("query"),
+        x0.alias("x0"),
+        y0.alias("y0"),
+        (x0 + 26 + 14 * F.col("k")).cast("int").alias("x1"),
+        (y0 + 24 + 6 * F.col("k")).cast("int").alias("y1"),
+    )
+
+
+WIDE_BOXES = """boxes AS (
+  SELECT image, CAST(image * 10 + k AS INT) AS query, x0, y0, x0 + 26 + 14 * k AS x1, y0 + 24 + 6 * k AS y1
+  FROM (SELECT image, CAST(k AS INT) AS k, CAST((7 * image) % 20 AS INT) AS x0, CAST((5 * image) % 12 AS INT) AS y0
+        FROM (SELECT DISTINCT label AS image FROM embeddings), range(0, 2) t(k)))"""
+
+
 def text_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled classifier rows with a grouping column."""
     d = read(spark, sf, "documents").select("doc_id", "source", "text", "n_chars")

@@ -176,7 +176,7 @@ def quantile_table(spark, sf):
 def _tone_points(spark, sf):
     p = fx.px(spark, sf)
     s = grid.block_means(p, {"v": F.col("gray")}, 4)
-    pts = p.select("image", F.floor(F.col("h") / 4).cast("int").alias("gh"), F.floor(F.col("w") / 4).cast("int").alias("gw"),
+    pts = p.select("image", F.ceil(F.col("h") / 4).cast("int").alias("gh"), F.ceil(F.col("w") / 4).cast("int").alias("gw"),
                    F.col("y").alias("py"), F.col("x").alias("px"))
     return s, pts
 
@@ -401,9 +401,9 @@ ORACLE = {
       FROM bc JOIN s ON s.image = bc.image AND s.y = gy AND s.x = gx GROUP BY query""",
     "quantile_table": f"""{_TONE} SELECT image, CAST(i AS INT) AS decile, round(quantile_cont(v, [{", ".join(f"{i / 10}::DOUBLE" for i in range(11))}])[i + 1], 6) AS v
       FROM s, range(0, 11) t(i) GROUP BY image, i""",
-    "bilinear": f"""{_TONE}, pts AS (SELECT image, h // 4 AS gh, w // 4 AS gw, y AS py, x AS px FROM px), {bilinear_sql('pts', 's', 4.0, 'image', 'v', 'b')}
+    "bilinear": f"""{_TONE}, pts AS (SELECT image, (h + 3) // 4 AS gh, (w + 3) // 4 AS gw, y AS py, x AS px FROM px), {bilinear_sql('pts', 's', 4.0, 'image', 'v', 'b')}
       SELECT image, py, px, round(bil, 6) AS v FROM b""",
-    "nearest_cell": f"""{_PX} SELECT image, CAST(least(round_even((y + 0.5) / 4 - 0.5, 0), h // 4 - 1) AS INT) AS y, CAST(least(round_even((x + 0.5) / 4 - 0.5, 0), w // 4 - 1) AS INT) AS x,
+    "nearest_cell": f"""{_PX} SELECT image, CAST(least(round_even((y + 0.5) / 4 - 0.5, 0), (h + 3) // 4 - 1) AS INT) AS y, CAST(least(round_even((x + 0.5) / 4 - 0.5, 0), (w + 3) // 4 - 1) AS INT) AS x,
       count(*) AS points, CAST(sum(px.x) AS BIGINT) AS sum_px FROM px GROUP BY 1, 2, 3""",
     "regrid_labels": f"""{_TONE}, c AS (SELECT DISTINCT image, h, w FROM s)
       SELECT image, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, CAST(least(floor((gy + 0.5) * 14 / 4), h - 1) * 100 + least(floor((gx + 0.5) * 14 / 4), w - 1) AS INT) AS label

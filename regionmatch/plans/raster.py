@@ -145,20 +145,19 @@ def mirror(i, n):
     return f"(CASE WHEN {m} < {n} THEN {m} ELSE {p} - {m} END)"
 
 
-def box_sql(src, cols, r, out):
+def box_sql(src, cols, r, out, key="image"):
     """Two-pass mirrored box means of ``cols`` of a CTE, as CTEs ``{out}_h`` and ``{out}``."""
     h = ", ".join(f"sum(n.{c}) AS {c}" for c in cols)
     v = ", ".join(f"sum(n.{c}) / {float((2 * r + 1) ** 2)} AS {c}" for c in cols)
-    return f"""{out}_h AS (SELECT a.image, a.h, a.w, a.y, a.x, {h} FROM {src} a, range(-{r}, {r + 1}) d(d)
-   JOIN {src} n ON n.image = a.image AND n.y = a.y AND n.x = {mirror('a.x + d', 'a.w')} GROUP BY ALL),
- {out} AS (SELECT a.image, a.h, a.w, a.y, a.x, {v} FROM {out}_h a, range(-{r}, {r + 1}) d(d)
-   JOIN {out}_h n ON n.image = a.image AND n.x = a.x AND n.y = {mirror('a.y + d', 'a.h')} GROUP BY ALL)"""
+    return f"""{out}_h AS (SELECT a.{key}, a.h, a.w, a.y, a.x, {h} FROM {src} a, range(-{r}, {r + 1}) d(d)
+   JOIN {src} n ON n.{key} = a.{key} AND n.y = a.y AND n.x = {mirror('a.x + d', 'a.w')} GROUP BY ALL),
+ {out} AS (SELECT a.{key}, a.h, a.w, a.y, a.x, {v} FROM {out}_h a, range(-{r}, {r + 1}) d(d)
+   JOIN {out}_h n ON n.{key} = a.{key} AND n.x = a.x AND n.y = {mirror('a.y + d', 'a.h')} GROUP BY ALL)"""
 
 
 def block_sql(src, exprs, out, c=4):
-    e = ", ".join(f"sum({x}) / {float(c * c)} AS {n}" for n, x in exprs.items())
-    return f"""{out} AS (SELECT image, h // {c} AS h, w // {c} AS w, y // {c} AS y, x // {c} AS x, {e}
-  FROM {src} WHERE y // {c} < h // {c} AND x // {c} < w // {c} GROUP BY ALL)"""
+    e = ", ".join(f"avg({x}) AS {n}" for n, x in exprs.items())
+    return f"""{out} AS (SELECT image, (h + {c - 1}) // {c} AS h, (w + {c - 1}) // {c} AS w, y // {c} AS y, x // {c} AS x, {e} FROM {src} GROUP BY ALL)"""
 
 
 _PX = f"WITH {fx.PX}"

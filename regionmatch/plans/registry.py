@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from regionmatch.plans import contract_checks, end_to_end, learning, matching, raster, regions, scoring, texture_maps, training
+from regionmatch.plans import contract_checks, descriptors, end_to_end, learning, matching, raster, regions, scoring, texture_maps, training
 
-_PARTS = (scoring, contract_checks, raster, regions, matching, training, learning, texture_maps, end_to_end)
+_PARTS = (scoring, contract_checks, raster, regions, matching, training, learning, texture_maps, end_to_end, descriptors)
 
 QUERIES: dict = {}
 ORACLE: dict = {}

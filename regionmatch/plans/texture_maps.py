@@ -55,9 +55,9 @@ def correlation_bundle(spark, sf):
 
 def rotation_bundle(spark, sf):
     px = fx.px(spark, sf)
-    shapes = texture.rotated_templates(px, fx.boxes(spark, sf))
-    m = texture.rotation_bundle(texture.correlate(px, shapes, 14, tile=64))
-    return m.select("query", "y", "x", *[F.round(n, 4).alias(n) for n in ("ev_nr0", "ev_nr90", "ev_nr45", "ev_nr180", "ev_nrgap90", "ev_nrgap45", "ev_nrang")])
+    shapes = texture.usable_turns(texture.rotated_templates(px, fx.wide_boxes(spark, sf)))
+    m = texture.rotation_bundle(texture.correlate(px, shapes, 40, tile=64))
+    return m.select("query", "y", "x", *[F.round(n, 4).alias(n) for n in ("ev_nr0", "ev_nr90", "ev_nr45", "ev_nr180", "ev_nrgap90", "ev_nrgap45", "ev_nrgap180", "ev_nrang")])
 
 
 QUERIES = {f.__name__: f for f in (
@@ -108,17 +108,17 @@ ORACLE = {
         {", ".join(f"round(coalesce(sum(p) FILTER (b = {i}), 0) / (any_value(t) + 1e-6), 5) AS d{i}" for i in (0, 4, 9, 14, 17, 22, 24, 28))}
       FROM bn JOIN tt USING (image, gy, gx) GROUP BY image, gy, gx""",
     "blob_table": f"{_BLOB} SELECT image, label, area, bh, bw, CAST(size_class AS INT) AS size_class, CAST(shape_class AS INT) AS shape_class, round(cy, 6) AS cy, round(cx, 6) AS cx FROM cl",
-    "blob_maps": f"""{_BLOB}, fr AS (SELECT DISTINCT image, h // 4 AS h, w // 4 AS w, y // 4 AS y, x // 4 AS x FROM px WHERE y // 4 < h // 4),
+    "blob_maps": f"""{_BLOB}, fr AS (SELECT image, (h + 3) // 4 AS h, (w + 3) // 4 AS w, y // 4 AS y, x // 4 AS x, count(*) AS cells FROM px GROUP BY ALL),
       cn AS (SELECT image, least(floor(cy / 4), hh - 1) AS y, floor(cx / 4) AS x, {", ".join([f"count(*) FILTER (size_class = {i}) AS cnt{i}" for i in range(3)] + [f"count(*) FILTER (shape_class = {i}) AS shape{i}" for i in range(3)])}
-        FROM cl JOIN (SELECT DISTINCT image, h // 4 AS hh FROM px) USING (image) GROUP BY ALL),
-      ar AS (SELECT image, y // 4 AS y, x // 4 AS x, {", ".join(f"count(*) FILTER (size_class = {i}) / 16.0::DOUBLE AS area{i}" for i in range(3))} FROM lab JOIN cl USING (image, label) GROUP BY ALL),
-      al AS (SELECT fr.image, fr.h, fr.w, fr.y, fr.x, {", ".join(f"coalesce({n}{i}, 0) AS {n}{i}" for n, i in _CELLS9)} FROM fr LEFT JOIN cn USING (image, y, x) LEFT JOIN ar USING (image, y, x)),
+        FROM cl JOIN (SELECT DISTINCT image, (h + 3) // 4 AS hh FROM px) USING (image) GROUP BY ALL),
+      ar AS (SELECT image, y // 4 AS y, x // 4 AS x, {", ".join(f"count(*) FILTER (size_class = {i}) AS area{i}" for i in range(3))} FROM lab JOIN cl USING (image, label) GROUP BY ALL),
+      al AS (SELECT fr.image, fr.h, fr.w, fr.y, fr.x, {", ".join(f"coalesce({n}{i}, 0) / CAST({'cells' if n == 'area' else 1} AS DOUBLE) AS {n}{i}" for n, i in _CELLS9)} FROM fr LEFT JOIN cn USING (image, y, x) LEFT JOIN ar USING (image, y, x)),
       {box_sql('al', [f'{n}{i}' for n, i in _CELLS9], 3, 'bx')} SELECT image, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {", ".join(f"round({n}{i}, 6) AS {n}{i}" for n, i in _CELLS9)} FROM bx""",
     "correlation": _TPL.replace("('c'), ('rot90'), ('flip')", "('c')") + " SELECT query, y, x, round(r, 6) AS ncc FROM pl",
     "template_table": f"""{_TPL} SELECT query, v AS variant, th, tw, CAST(pool AS INT) AS pool, round(stddev_pop(g), 6) AS std,
       round(max(g) FILTER (i = 0 AND j = 1), 6) AS second, round(max(g) FILTER (i = th - 1 AND j = tw - 2), 6) AS last_but_one FROM ts GROUP BY ALL""",
     "correlation_bundle": f"""{_TPL}, ok AS (SELECT query, v FROM ts GROUP BY query, v HAVING stddev_pop(g) >= 3 / 255.0 AND any_value(least(th, tw)) >= 4),
-      lo AS (SELECT query, v, y // 2 AS y, x // 2 AS x, avg(r) AS r FROM pl SEMI JOIN ok USING (query, v) WHERE y // 2 < h // 2 AND query IN (SELECT query FROM ok WHERE v = 'c') GROUP BY ALL)
+      lo AS (SELECT query, v, y // 2 AS y, x // 2 AS x, avg(r) AS r FROM pl SEMI JOIN ok USING (query, v) WHERE query IN (SELECT query FROM ok WHERE v = 'c') GROUP BY ALL)
       SELECT query, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(max(r) FILTER (v = 'c'), 5) AS ncc_c, round(max(r) FILTER (v <> 'c'), 5) AS ncc_rot, round(max(r), 5) AS ncc_best,
         round(max(r) FILTER (v = 'c'), 5) AS ncc_max, round(max(r) FILTER (v = 'c'), 5) AS ncc_med FROM lo GROUP BY query, y, x""",
 }
