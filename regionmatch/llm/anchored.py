@@ -208,6 +208,7 @@ ASK = np.dtype([("anchor", "<u8"), ("first", "<u4"), ("count", "<u4"), ("mode",
 def compare(dealt: DataFrame, across: bool, hot: int) -> DataFrame:
     """Per document: spans of windows that are settled as repeats, and segments to be fetched."""
 
+    @t.lean
     def run(table: pa.Table) -> pa.Table:
         p = unpack(table)
         gone, mode = settle(p, across, hot)
@@ -261,6 +262,7 @@ Resolve = Callable[[np.ndarray, np.ndarray, dict], tuple[np.ndarray, np.ndarray]
 def resolve(fetched: DataFrame, width: int, token_kind, find: Resolve) -> DataFrame:
     """Per document: spans of repeated windows that ``find`` sees in a group's tokens."""
 
+    @t.lean
     def run(table: pa.Table) -> pa.Table:
         p = unpack(table.drop_columns(["tokens"]))
         tokens = np.concatenate([expand(b, token_kind) for b in table.column("tokens").to_pylist()])

@@ -6,8 +6,10 @@ separators, so no match crosses them), Burrows-Wheeler transform, wavelet matrix
 positions sampled every SAMPLE words. All benchmark windows step backwards through the index together;
 their occurrences are located by walking to a sampled position, and the hit words are merged to spans.
 
-Nothing is shuffled. Benchmark windows are shipped in blocks of at most BLOCK bytes of benchmark text
-(one block unless the benchmark grows); several blocks are searched one by one and merged by document.
+Documents are not shuffled. Items are cut to windows in tasks; the table of (window, item) is dealt by hash to blocks
+of about BLOCK rows, which differ by their standard deviation only, however long an item is and however many
+items share a window. One block is searched at a time: the driver holds and broadcasts that block alone, and
+what it found is written before the next one. Several blocks' findings are merged by document.
 
 Cases: null and empty texts have no words; an item without words has no window; items with a null id
 are left out; texts that share an item id count as one item; repeated rows are each judged; an empty
@@ -22,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionmatch.llm import text as t
+from regionmatch.llm.staging import written
 
-WINDOW, SHARD, SAMPLE, BLOCK = 13, 4 << 20, 16, 16 << 20
+WINDOW, SHARD, SAMPLE, BLOCK = 13, 4 << 20, 16, 1 << 17
 _BITS = 21
 
 
@@ -151,21 +154,31 @@ class FMIndex:
         return out
 
 
+def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Distinct (words, item_id) of every window of every item: the words' hashes as bytes."""
+
+    def run(batches):
+        for rows, data, offsets in t.slices(batches, "text"):
+            words, _, per = plain_words(data, offsets)
+            first, found, who = np.concatenate([[0], np.cumsum(per)]), [], []
+            for k in np.flatnonzero(per):
+                own, m = words[first[k]:first[k + 1]], min(window, int(per[k]))
+                found += [own[i:i + m].tobytes() for i in range(len(own) - m + 1)]
+                who += [k] * (len(own) - m + 1)
+            yield pa.RecordBatch.from_pydict({"words": pa.array(found, pa.binary()), "item_id": rows.column(0).take(pa.array(who, pa.int64()))})
+
+    return items.select("item_id", "text").mapInArrow(run, "words binary, item_id string").distinct()
+
+
 class Phrases:
-    """Distinct windows of a block of items, by length, with the items of each."""
+    """Windows of a block by length, with the items of each."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.names = sorted({i for i, _ in items})
+    def __init__(self, rows: list[tuple[bytes, str]]):
+        self.names = sorted({name for _, name in rows})
         number = {name: k for k, name in enumerate(self.names)}
-        arr = pa.array([text or "" for _, text in items], pa.string())
-        words, row, per = plain_words(*t.buffer(arr)) if items else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-        found: dict[int, dict[bytes, set[int]]] = {}
-        first = np.concatenate([[0], np.cumsum(per)])
-        for k, (name, _) in enumerate(items):
-            own = words[first[k]:first[k + 1]]
-            m = min(window, len(own))
-            for i in range(len(own) - m + 1 if m else 0):
-                found.setdefault(m, {}).setdefault(own[i:i + m].tobytes(), set()).add(number[name])
+        found: dict[int, dict[bytes, list[int]]] = {}
+        for words, name in rows:
+            found.setdefault(len(words) // 8, {}).setdefault(bytes(words), []).append(number[name])
         self.by_length = {}
         for m, own in found.items():
             lists = [sorted(v) for v in own.values()]
@@ -192,8 +205,8 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, phrases: Phrases):
 _SCHEMA = "doc_id long, row_key long, n_words long, n_hit long, spans array<struct<first:long,last:long>>, items array<string>"
 
 
-def _search(docs: DataFrame, phrases: Phrases, shard: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(phrases)
+def _search(docs: DataFrame, shared, shard: int) -> DataFrame:
+    """What the broadcast block finds in each row."""
 
     def run(batches):
         own = shared.value
@@ -216,41 +229,63 @@ def _search(docs: DataFrame, phrases: Phrases, shard: int) -> DataFrame:
 
 
 def _merge(found: DataFrame) -> DataFrame:
-    """Join what several blocks found in one document."""
-    words = F.flatten(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.sequence(s["first"], s["last"])))
-    got = found.groupBy("doc_id", "row_key").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(words)).alias("w"),
+    """Join what several blocks found in one document; equal rows are one."""
+    got = found.groupBy("doc_id", "row_key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
                                                  F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    firsts = F.filter("w", lambda x: ~F.array_contains("w", x - 1))
-    lasts = F.filter("w", lambda x: ~F.array_contains("w", x + 1))
-    spans = F.transform(F.arrays_zip(firsts.alias("first"), lasts.alias("last")), lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
-    return got.select("doc_id", "row_key", "n_words", F.size("w").cast("long").alias("n_hit"), spans.alias("spans"), "items")
-
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, shard: int = SHARD, block: int = BLOCK, keep: bool = False) -> DataFrame:
-    """Per row: words, hit words, merged spans of hit words (first and last, from 0) and the item ids found (sorted strings).
-
-    ``keep`` adds them to all columns of ``docs`` instead, in place of columns of the same names.
-    """
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                spans = row.column(3).flatten()
+                first, last = (spans.field(k).to_numpy() for k in (0, 1))
+                hit = t.covered(int(last.max()) + 1 if len(last) else 0, first, last - first + 1)
+                start, end = t.runs(hit)
+                merged = pa.ListArray.from_arrays(pa.array([0, len(start)], pa.int32()), pa.StructArray.from_arrays([pa.array(start), pa.array(end - 1)], ["first", "last"]))
+                yield pa.RecordBatch.from_pydict({"doc_id": row.column(0), "row_key": row.column(1), "n_words": row.column(2), "n_hit": [int(hit.sum())], "spans": merged, "items": row.column(4)})
+
+    return got.select("doc_id", "row_key", "n_words", "spans", "items").mapInArrow(run, _SCHEMA)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, window: int, shard: int, block: int) -> tuple[DataFrame, bool]:
+    """Findings of every row, or of every different row where there are several blocks."""
+    context = docs.sparkSession.sparkContext
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // block) or 1
+    windows = written(windows_of(items, window))
+    blocks = max(1, -(-windows.count() // block))
     picked = docs.select(docs[id_column].cast("long").alias("doc_id"), F.xxhash64(docs[text_column]).alias("row_key"), docs[text_column].alias("text"))
-    found = []
+    every = None
     for k in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        found.append(_search(picked, Phrases([(r[0], r[1]) for r in own.collect()], window), shard))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    if blocks > 1:
-        merged = _merge(every).withColumnsRenamed({"doc_id": "__id", "row_key": "__key"})
-        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key"))
-        every = picked.select("doc_id", "row_key").join(merged, same).drop("__id", "__key")
-    if not keep:
+        own = windows.filter(F.pmod(F.xxhash64("words", "item_id"), F.lit(blocks)) == k)
+        shared = context.broadcast(Phrases([(r[0], r[1]) for r in own.collect()]))
+        found = _search(picked, shared, shard)
+        if blocks == 1:
+            return found, False
+        found = written(found)
+        shared.unpersist()
+        every = found if every is None else every.unionByName(found)
+    return _merge(every), True
+
+
+def _same(id_column, text_column):
+    return id_column.cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_column) == F.col("__key"))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """Per row: words, hit words, merged spans of hit words (first and last, from 0) and the item ids found (sorted strings)."""
+    every, merged = _found(docs, benchmark, id_column, text_column, window, shard, block)
+    if not merged:
         return every
-    result = every.dropDuplicates(["doc_id", "row_key"]).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "n_words", "n_hit", "spans", "items")
-    own = docs.drop("n_words", "n_hit", "spans", "items")
-    return own.join(result, own[id_column].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(own[text_column]) == F.col("__key"))).drop("__id", "__key")
+    own = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
+    found = every.withColumnsRenamed({"doc_id": "__id", "row_key": "__key"})
+    return own.join(found, _same(F.col("doc_id"), F.col("text"))).select("doc_id", F.col("__key").alias("row_key"), "n_words", "n_hit", "spans", "items")
+
+
+def mark_contaminated(docs: DataFrame, benchmark: DataFrame, name: str, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """``docs`` with the contract's verdict in a further column ``name``, which ``docs`` must not have yet."""
+    every, _ = _found(docs, benchmark, id_column, text_column, window, shard, block)
+    verdict = every.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), contaminated().alias(name)).dropDuplicates(["__id", "__key"])
+    return docs.join(verdict, _same(docs[id_column], docs[text_column])).drop("__id", "__key")
 
 
 def contaminated():

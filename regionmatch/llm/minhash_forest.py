@@ -2,7 +2,8 @@
 
 Two texts are linked when the Jaccard similarity of their sets of five-word shingles is at least 0.8.
 
-1. Texts with equal shingle sets are one node (their smallest id); all further work is on nodes.
+1. Texts with equal shingle sets are one node, numbered by the hash of the set; all further work is on nodes.
+   Ids are labels only, so different texts may share one or have none.
 2. Each node has TREES x DEPTH minimum hashes. A tree is the trie of its DEPTH hashes. ``least_depth`` is the
    longest prefix at which TREES trees still find a pair at the threshold with the target recall. A trie node at
    that prefix with at most LEAF members gives all its pairs.
@@ -20,9 +21,12 @@ Result, one row per row of the input: doc_id, class_id (smallest doc_id of the c
 with an equal shingle set, plus the rows of every text with a verified link to this one), n_class_texts
 (different texts of the class).
 
+``keep_one`` gives the rows of the input with one row of each class.
+
 Cases: a text of one to four words has one shingle, all its words; null and empty texts have none, are
 linked to nothing and form a class of their own (class_id = doc_id, also when null); a null id counts as the
-largest; repeated rows are copies; rows that share an id count as one node. Other columns are ignored.
+largest; repeated rows are copies; rows that share an id, or have none, are linked by their own texts each.
+Other columns are ignored. Node numbers have 64 bits: n different sets share one with a chance of n * n / 2^65.
 """
 
 from __future__ import annotations
@@ -79,16 +83,17 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc, set key, number of shingles and signature of every row."""
+    """doc, body (hash of the text), node (number of the shingle set), number of shingles and signature of every row."""
 
     def run(batches):
         for rows, data, offsets in t.slices(batches, "text"):
             sets = shingle_sets(data, offsets)
+            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_pydict({
-                "doc": rows.column(0), "set_key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                "doc": rows.column(0), "body": rows.column(1), "node": pa.array(node, mask=np.array([not len(s) for s in sets], bool)),
                 "size": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())})
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, set_key binary, size long, sig binary")
+    return docs.select("doc", "body", "text").mapInArrow(run, "doc long, body long, node long, size long, sig binary")
 
 
 def _forest(nodes: DataFrame, low: int) -> DataFrame:
@@ -183,6 +188,7 @@ def _groups(large: DataFrame, small: DataFrame, threshold: float, block: int) ->
     out are in one class. Rows already joined are not compared, so a node of near copies costs little."""
     least, n_bytes = _least_like(threshold), TREES * DEPTH
 
+    @t.lean
     def run(table: pa.Table) -> pa.Table:
         node, (left, right) = table.column("node").to_numpy(), _sides(table)
         sig = np.frombuffer(b"".join(table.column("b8").to_pylist()), np.uint8).reshape(-1, n_bytes)
@@ -211,8 +217,9 @@ def _counted(groups: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: fl
     a pair of blocks; with b, the two are linked. The links given are those that join the linked nodes."""
     held = written(groups.join(nodes.select("node", "copies", "size").hint("merge"), "node"))
     per = written(held.groupBy("class").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / SHINGLES)).alias("parts")))
-    held = held.join(per.hint("merge"), "class").join(_sets_of(docs, groups.select("node")).hint("merge"), "node")
+    held = held.join(per.hint("merge"), "class").join(_sets_of(docs, nodes, groups.select("node")).hint("merge"), "node")
 
+    @t.lean
     def run(table: pa.Table) -> pa.Table:
         node, copies, (left, right) = table.column("node").to_numpy(), table.column("copies").to_numpy(), _sides(table)
         sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
@@ -244,14 +251,15 @@ def _counted(groups: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: fl
     return written(_block_pairs(held, "class", F.col("parts")).applyInArrow(run, "a long, b long, n long"))
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Shingle sets (sorted 64-bit hashes) of the wanted nodes' texts."""
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Shingle sets (sorted 64-bit hashes) of the wanted nodes, from the text of each node's first row."""
 
     def run(batches):
         for rows, data, offsets in t.slices(batches, "text"):
             yield pa.RecordBatch.from_pydict({"node": rows.column(0), "shingles": pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())})
 
-    found = docs.join(wanted, docs["doc"] == wanted["node"]).select("node", "text").mapInArrow(run, "node long, shingles binary")
+    first = nodes.select("node", "first.*").join(wanted.hint("merge"), "node").hint("merge")
+    found = docs.join(first, ["doc", "body"]).select("node", "text").mapInArrow(run, "node long, shingles binary")
     return written(found.groupBy("node").agg(F.max("shingles").alias("shingles")))
 
 
@@ -269,14 +277,15 @@ def _dealt(near: DataFrame, block: int, buckets: int) -> DataFrame:
     return written(near.select("a", "b").join(one, "a").join(two, "b").select("a", "b", key.alias("bucket")))
 
 
-def _verified(near: DataFrame, docs: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+def _verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, block: int = 256) -> DataFrame:
     """The pairs whose whole shingle sets reach the threshold."""
     wanted = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     n = wanted.count()
     pairs = _dealt(near, block, max(64, n // 1000))
     need = pairs.select(F.col("bucket").alias("deal"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = need.join(_sets_of(docs, wanted).hint("merge"), "node").select("deal", "node", "shingles")
+    sets = need.join(_sets_of(docs, nodes, wanted).hint("merge"), "node").select("deal", "node", "shingles")
 
+    @t.lean
     def run(own: pa.Table, with_sets: pa.Table) -> pa.Table:
         nodes = with_sets.column("node").to_numpy()
         order = np.argsort(nodes)
@@ -318,19 +327,24 @@ def classes(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
 
 
-def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, leaf: int = LEAF,
-                 signed_block: int = SIGNED, whole_block: int = WHOLE) -> DataFrame:
-    """doc_id, class_id, n_links, n_class_texts of every row."""
-    keyed = docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[id_column].cast("long"), F.lit(LAST)).alias("doc"), docs[text_column].alias("text"))
+def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """doc (null ids as the largest), body (hash of the text) and text."""
+    return docs.select(F.coalesce(docs[id_column].cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(docs[text_column]).alias("body"), docs[text_column].alias("text"))
+
+
+def _joined_texts(keyed: DataFrame, threshold: float, recall: float, leaf: int, signed_block: int, whole_block: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (node, class, first, n_links) of every different shingle set: its class, its first row
+    (doc, body) and the number of other rows that each of its rows is linked to."""
     signed = written(_signed(keyed))
-    nodes = written(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("node"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")))
+    nodes = written(signed.filter("node is not null").groupBy("node").agg(
+        F.min(F.struct("doc", "body")).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")))
     pairs, large = candidates(nodes, threshold, recall, leaf)
     small = _short(nodes)
     counted = None
     if large.take(1):
         groups = _groups(large, small, threshold, signed_block)
         pairs, counted = _apart(pairs, groups), _counted(groups, nodes, keyed, threshold, whole_block)
-    links = _verified(_estimated(pairs, small, threshold), keyed, threshold)
+    links = _verified(_estimated(pairs, small, threshold), nodes, keyed, threshold)
     named = classes(links if counted is None else written(links.unionByName(counted.filter("b is not null").select("a", "b")).distinct()))
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     many = nodes.select(F.col("node").alias("b"), "copies").hint("merge")
@@ -338,11 +352,30 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     if counted is not None:
         degree = degree.unionByName(counted.filter("b is null").select("a", "n"))
     degree = degree.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    texts = nodes.join(named.hint("merge"), "node", "left").join(written(degree).hint("merge"), "node", "left").select(
-        "set_key", F.coalesce("class", "node").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    size = written(texts.groupBy("class_id").agg(F.count("*").alias("n_class_texts")))
-    named_sets = written(texts.join(size.hint("merge"), "class_id"))
-    own = signed.select("doc", "set_key").join(named_sets.hint("merge"), "set_key", "left")
+    texts = nodes.join(named.hint("merge"), "node", "left").join(written(degree).hint("merge"), "node", "left")
+    return signed, texts.select("node", F.coalesce("class", "node").alias("class"), "first", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, leaf: int = LEAF,
+                 signed_block: int = SIGNED, whole_block: int = WHOLE) -> DataFrame:
+    """doc_id, class_id, n_links, n_class_texts of every row."""
+    signed, texts = _joined_texts(_keyed(docs, id_column, text_column), threshold, recall, leaf, signed_block, whole_block)
+    size = written(texts.groupBy("class").agg(F.count("*").alias("n_class_texts"), F.min("first.doc").alias("class_id")))
+    named = written(texts.select("node", "class", "n_links").join(size.hint("merge"), "class").drop("class"))
+    own = signed.select("doc", "node").join(named.hint("merge"), "node", "left")
     back = lambda c: F.when(c != LAST, c)
     return own.select(back(F.col("doc")).alias("doc_id"), back(F.coalesce("class_id", "doc")).alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_class_texts", F.lit(1)).cast("long").alias("n_class_texts"))
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one row of each class, that of the smallest id, and all rows without a word. Rows that share
+    an id, or have none, are told apart by their texts."""
+    signed, texts = _joined_texts(_keyed(docs, id_column, text_column), threshold, recall, LEAF, SIGNED, WHOLE)
+    first = texts.groupBy("class").agg(F.min("first").alias("first")).select("first.*").withColumn("once", F.lit(True))
+    wordless = signed.filter("node is null").select("doc", "body").distinct().withColumn("once", F.lit(False))
+    chosen = written(first.unionByName(wordless)).select(F.col("doc").alias("__doc"), F.col("body").alias("__body"), "once").withColumnRenamed("once", "__once")
+    names = docs.columns
+    kept = docs.join(chosen.hint("merge"), (F.coalesce(docs[id_column].cast("long"), F.lit(LAST)) == F.col("__doc")) & (F.xxhash64(docs[text_column]) == F.col("__body")))
+    some = kept.filter("__once").dropDuplicates(["__doc", "__body"])
+    return some.unionByName(kept.filter("not __once")).select(*names)

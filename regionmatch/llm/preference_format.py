@@ -7,7 +7,7 @@ the character ranges of the assistant's turns, the only text to learn from.
 Cases: turns are ordered by turn, role and text, so ties have one order; null roles and texts are empty
 strings; a conversation without turns does not exist; when one side is a prefix of the other, its
 completion is empty with an empty mask; equal sides give two empty completions. Rows with a null
-conversation id form one conversation. Extra columns are ignored.
+conversation id form one conversation. Other columns are ignored.
 """
 
 from __future__ import annotations

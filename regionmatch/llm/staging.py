@@ -27,3 +27,12 @@ def written(df: DataFrame) -> DataFrame:
         else:
             spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or the first of name_1, name_2 and so on that is not taken (in any case of letters)."""
+    used, k, found = {c.lower() for c in taken}, 0, name
+    while found.lower() in used:
+        k += 1
+        found = f"{name}_{k}"
+    return found

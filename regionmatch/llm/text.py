@@ -7,6 +7,7 @@ longest single row, never by its partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,28 @@ PLAIN = np.zeros(256, bool)
 PLAIN[0x30:0x3A] = PLAIN[0x61:0x7B] = PLAIN[0x80:] = True
 
 
+def release() -> None:
+    """Give memory that is free in this worker back to the system: workers stay between stages, and what one
+    stage's arrays took would count against the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(fn):
+    """``fn`` for one group, or for two that belong together, after which free memory is given back."""
+
+    def settle(*tables):
+        try:
+            return fn(*tables)
+        finally:
+            release()
+
+    return (lambda table: settle(table)) if fn.__code__.co_argcount == 1 else (lambda left, right: settle(left, right))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A text column without nulls (null becomes empty)."""
     arr = batch.column(batch.schema.get_field_index(name))
@@ -59,6 +82,7 @@ def slices(batches, name: str, limit: int = SLICE) -> Iterator[tuple[pa.RecordBa
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, end - at), data[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at]
             at = end
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

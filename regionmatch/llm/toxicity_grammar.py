@@ -256,8 +256,10 @@ def score(docs: DataFrame, grammar: Grammar, id_column: str = "doc_id", text_col
 
 
 def score_column(docs: DataFrame, grammar: Grammar, text_column: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the probability in a further column; clashing names are replaced."""
-    at = docs.drop(name)
+    """``docs`` with the probability in a further column ``name``, which ``docs`` must not have yet."""
+    if name in docs.columns:
+        raise ValueError(f"the table has a column {name} already")
+    at = docs
 
     def run(batches):
         for batch in batches:

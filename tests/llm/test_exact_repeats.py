@@ -37,7 +37,7 @@ def rows():
 
 
 def _table(spark, rows):
-    return spark.createDataFrame([(d, x, "extra", 1) for d, x in rows], "doc_id long, text string, doc string, spans int")
+    return spark.createDataFrame([(d, x, "other", 1) for d, x in rows], "doc_id long, text string, doc string, spans int")
 
 
 def _key(d):
@@ -185,9 +185,33 @@ def test_join_equals_all_pairs(spark, leaf):
     rows += [(300, None), (301, ""), (302, "one two"), (303, "two one"), (304, "one two"), (305, rows[0][1]), (None, rows[1][1]), (305, rows[0][1])]
     got = sorted((_key(r.doc_id), _key(r.class_id), r.n_links) for r in mf.jaccard_join(_table(spark, rows), leaf=leaf).collect())
     want = brute_classes(rows)
-    assert [g[:2] for g in got] == [w[:2] for w in want]
-    if leaf == 16:
-        assert got == want
+    assert got == want
+
+
+def _near_texts():
+    """Texts A, B with a near copy each, and a third text."""
+    rng = random.Random(21)
+    a, b, c = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(60)) for k in "abc")
+    return a, " ".join(a.split()[:-1] + ["z"]), b, " ".join(b.split()[:-1] + ["y"]), c
+
+
+@pytest.mark.parametrize("shared", [1, None])
+@pytest.mark.parametrize("leaf", [16, 1])
+def test_join_tells_texts_of_one_id_apart(spark, shared, leaf):
+    a, near_a, b, near_b, c = _near_texts()
+    rows = [(shared, a), (shared, near_b), (2, near_a), (3, b), (shared, c), (4, None), (shared, None)]
+    got = sorted((_key(r.doc_id), _key(r.class_id), r.n_links) for r in mf.jaccard_join(_table(spark, rows), leaf=leaf).collect())
+    assert got == brute_classes(rows)
+    assert sum(n for _, _, n in got) == 4
+
+
+def test_keep_one_row_of_each_class(spark):
+    a, near_a, b, near_b, c = _near_texts()
+    rows = [(1, a), (1, b), (2, near_a), (3, near_b), (None, c), (None, c), (None, near_a), (5, None), (5, ""), (6, None), (1, a), (None, None)]
+    kept = mf.keep_one(_table(spark, rows))
+    assert kept.columns == ["doc_id", "text", "doc", "spans"]
+    assert sorted((_key(r.doc_id), r.text or "") for r in kept.collect()) == sorted([(1, a), (1, b), (_key(None), c), (5, ""), (5, ""), (6, ""), (_key(None), "")])
+    assert mf.keep_one(_table(spark, [])).count() == 0
 
 
 def test_segments_that_differ_in_high_bits_only_stay_apart():
@@ -242,7 +266,7 @@ def brute_hits(docs, items):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 150])
+@pytest.mark.parametrize("block", [1 << 17, 60])
 def test_decontamination(spark, block):
     rng = random.Random(5)
     words = ["The", "cat", "sat", "ÉTÉ", "x1", "don't", "中文", "b"]
@@ -255,5 +279,17 @@ def test_decontamination(spark, block):
     want = brute_hits(docs, items)
     assert got == want
     assert all(sum(s["last"] - s["first"] + 1 for s in r["spans"]) == r.n_hit for r in found.collect())
-    kept = fm.find_contamination(_table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), keep=True)
-    assert kept.count() == len(docs)
+    kept = fm.mark_contaminated(_table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), "bad", block=block)
+    assert kept.columns == ["doc_id", "text", "doc", "spans", "bad"]
+    assert sorted((_key(r.doc_id), r.bad) for r in kept.collect()) == sorted((d, n > 0 and 20 * n >= w) for d, w, n, _ in want)
+
+
+def test_a_block_bounds_windows_of_long_items_and_of_shared_windows(spark):
+    long = " ".join(f"w{i}" for i in range(900))
+    items = [(0, long)] + [(i, "one two three four") for i in range(1, 200)]
+    windows = fm.windows_of(spark.createDataFrame([(str(i), x) for i, x in items], "item_id string, text string"))
+    assert windows.count() == 888 + 199
+    docs = _table(spark, [(1, "x one two three four y"), (2, " ".join(long.split()[100:120])), (3, "nothing")])
+    found = {r.doc_id: r for r in fm.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block=300).collect()}
+    assert (found[1].n_hit, len(found[1]["items"])) == (4, 199) and (found[2].n_hit, found[2]["items"]) == (20, ["0"]) and found[3].n_hit == 0
+    assert [(s["first"], s["last"]) for s in found[1].spans] == [(1, 4)]

@@ -301,3 +301,17 @@ def test_pipeline_stages_on_odd_rows(spark):
         for _, stage in cp.STAGES:
             assert stage(spark, own, SF).count() <= own.count()
     assert sorted(str(r.doc_id) for r in cp.jaccard_join(spark, docs, SF).collect()) == ["1", "2", "3", "None"]
+
+
+def test_pipeline_keeps_columns_of_clashing_names_and_texts_that_share_an_id(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(6)
+    text = lambda k: " ".join(f"{k}{rng.randrange(10**6)}" for _ in range(40))
+    rows = [(1, text("a"), 7.5e-9, 777, ["mine"], [1], "k"), (1, text("b"), 0.25, 3, [], [2], "l"), (None, text("c"), 0.5, 1, None, None, None), (None, text("d"), 1.0, 2, ["x"], [3], "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, n_words int, items array<string>, spans array<int>, contaminated string")
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "score", "n_words", "items", "spans", "contaminated"]
+    assert sorted(map(str, docs.collect())) == sorted(map(str, spark.createDataFrame(rows, docs.schema).collect()))
+    assert cp.STAGES[-1][1](spark, docs, SF).count() == 4
