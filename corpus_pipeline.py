@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from regionmatch.llm import fm_decontamination as fm
 from regionmatch.llm import minhash_forest, piece_lattice, suffix_trees
 from regionmatch.llm import toxicity_grammar as tg
+from regionmatch.llm.staging import fresh
 from regionmatch.session import scratch_path
 
 #: Documents with at least this probability of toxicity are rejected.
@@ -25,15 +26,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that the grammar scores as toxic. It is fitted on the labelled raw documents."""
     grammar = tg.fit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
-    return tg.score_column(docs, grammar).filter(F.col("score") < TOXIC).select(*docs.columns)
+    name = fresh("score", docs.columns)
+    return tg.score_column(docs, grammar, name=name).filter(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate class, the one with the smallest id. Rows that repeat an id are
-    one document, of which one row stays; rows without an id stay."""
-    keep = minhash_forest.jaccard_join(docs).filter("doc_id = class_id").select("doc_id")
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """Keep one document of each near-duplicate class, the one with the smallest id. Rows that share an id, or have
+    none, are told apart by their texts; of equal rows one stays; rows without a word stay."""
+    return minhash_forest.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that the benchmark contaminates."""
-    found = fm.find_contamination(docs, _read(spark, sf_dir, "benchmark"), keep=True)
-    return found.filter(~fm.contaminated()).select(*docs.columns)
+    mark = fresh("contaminated", docs.columns)
+    found = fm.mark_contaminated(docs, _read(spark, sf_dir, "benchmark"), mark)
+    return found.filter(~F.col(mark)).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
