@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from regionmatch.functions.scalars import draw
-from regionmatch.operators.ordering import position
-from regionmatch.session import cut_lineage, join_measured
+PRIME = (1 << 31) - 1
+ROUNDS = ((48271, 69621), (16807, 39373), (630360016, 742938285), (950706376, 1226874159))
+#: Below which of PRIME values a draw is 0, 1, 2 and so on.
+POISSON = tuple(int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12))
+
 
 
 def document_delta(a: DataFrame, b: DataFrame, key: str = "document_id", value: str = "document_iou") -> DataFrame:
@@ -27,24 +30,31 @@ def better_worse(deltas: DataFrame, eps: float) -> DataFrame:
     )
 
 
-def numbered(df: DataFrame, key: str, bucket: Column, name: str) -> DataFrame:
-    """Give unique keys consecutive positions from zero, in key order."""
-    return position(df, [], [F.col(key)], bucket, name).withColumn(name, F.col(name) - 1)
+def resample_count(number: Column, replicate: Column, seed: int = 0) -> Column:
+    """How often a resample takes a row: a Poisson draw of mean one from the row's number and the replicate's.
+
+    A counter-based generator: rounds of a quadratic modulo 2**31 - 1, whole numbers below 2**63 throughout, so
+    any engine can repeat it.
+    """
+    x = F.pmod(number.cast("long"), F.lit(PRIME))
+    for mul, add in ROUNDS:
+        x = (x * (x + mul) + (replicate.cast("long") + 1) * add + (seed + 1)) % PRIME
+    count = F.when(x < POISSON[0], 0)
+    for k, edge in enumerate(POISSON[1:], 1):
+        count = count.when(x < edge, k)
+    return count.otherwise(len(POISSON))
 
 
-def bootstrap_means(deltas: DataFrame, key: str, bucket: Column, replicates: int = 5000, seed: int = 0) -> DataFrame:
-    """Mean delta of every document-level resample.
+def bootstrap_means(deltas: DataFrame, key: str, replicates: int = 5000, seed: int = 0) -> DataFrame:
+    """Mean delta of every document-level resample, as sums of counts times deltas over sums of counts.
 
-    Draw ``i`` of replicate ``b`` takes the document at a hashed position, so the resamples can be
-    repeated in any engine. All draws are one distributed range; the replicates are averaged with
-    map-side combining.
+    Every document draws its own count for each replicate, so no draw is a row, nothing is joined, and
+    counts and sums of a replicate are added up on the map side. ``key`` is a whole number.
     """
-    at = cut_lineage(numbered(deltas.select(key, "delta"), key, bucket, "_at"))
-    n = at.count()
-    every = deltas.sparkSession.range(replicates * n)
-    pair = every.select(F.expr(f"id div {max(n, 1)}").alias("replicate"), (F.col("id") % max(n, 1)).alias("_i"))
-    draws = pair.select("replicate", draw(seed, F.col("replicate"), F.col("_i"), F.lit(n)).alias("_at"))
-    return join_measured(draws, at.select("_at", "delta"), "_at").groupBy("replicate").agg(F.avg("delta").alias("mean_delta"))
+    rows = deltas.select(F.col(key).alias("_key"), "delta", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    n = resample_count(F.col("_key"), F.col("replicate"), seed)
+    sums = rows.select("replicate", n.alias("_n"), "delta").groupBy("replicate").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("delta")).alias("_sum"))
+    return sums.select("replicate", F.try_divide("_sum", "_n").alias("mean_delta"))
 
 
 def bootstrap_interval(means: DataFrame) -> DataFrame:

@@ -1,16 +1,17 @@
 """Region algebra on horizontal runs.
 
-A region is a set of half-open runs ``[x0, x1)`` on raster rows. All kinds of regions of a query
-are swept together: run ends become signed events, and a running sum along each row gives
-disjoint runs with one flag per kind. Cost grows with box edges, not with their area, and a
-window never holds more than the run ends of one raster row.
+A region is a set of half-open runs ``[x0, x1)`` on slabs of raster rows. The upper and lower edges of all
+shapes of a query cut its raster to slabs, inside which every row looks the same, so a box costs its edges
+and not its height; a mask's runs are shapes of one row. All kinds of regions of a query are swept together:
+run ends become signed events, and a running sum along each slab gives disjoint runs with one flag per kind.
+A window never holds more than the run ends of one slab.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 KINDS = ("positive", "negative", "blank", "known", "excluded", "predicted")
 
@@ -18,25 +19,38 @@ KINDS = ("positive", "negative", "blank", "known", "excluded", "predicted")
 def mark_explicit(shapes: DataFrame, explicit: DataFrame) -> DataFrame:
     """Tell boxes or runs whether their query has an explicit known region.
 
-    Done on the short tables of boxes, so that the swept runs never have to be joined for it.
+    Done on the short tables of shapes, so that the swept runs never have to be joined for it.
     """
     names = explicit.select("query").distinct().withColumn("explicit", F.lit(True))
     return shapes.join(names, "query", "left").withColumn("explicit", F.coalesce("explicit", F.lit(False)))
 
 
-def box_runs(boxes: DataFrame) -> DataFrame:
-    """Rasterize boxes (query, kind, x0, y0, x1, y1) to one run per row; empty boxes vanish."""
-    solid = boxes.filter((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")))
-    rows = F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y")
-    return solid.select(*[n for n in ("query", "explicit", "kind") if n in boxes.columns], rows, "x0", "x1")
+def run_shapes(runs: DataFrame) -> DataFrame:
+    """Runs (query, kind, y, x0, x1) as shapes of one row."""
+    return runs.withColumns({"y0": F.col("y"), "y1": F.col("y") + 1}).drop("y")
+
+
+def slabs(shapes: DataFrame) -> DataFrame:
+    """Cut shapes (query, kind, x0, y0, x1, y1) at all upper and lower edges of their query: query, kind, y, rows, x0, x1.
+
+    Empty shapes vanish. A query's edges are at most its raster's height in number.
+    """
+    c = F.col
+    solid = shapes.filter((c("x0") < c("x1")) & (c("y0") < c("y1")))
+    edges = solid.select("query", F.explode(F.array("y0", "y1")).alias("_e")).groupBy("query").agg(F.sort_array(F.collect_set("_e")).alias("_edges"))
+    head = [n for n in ("query", "explicit", "kind") if n in shapes.columns]
+    first = F.array_position("_edges", c("y0")).cast("int")
+    n = F.array_position("_edges", c("y1")).cast("int") - first
+    cut = F.arrays_zip(F.slice("_edges", first, n).alias("y"), F.slice("_edges", first + 1, n).alias("_end"))
+    return solid.join(edges, "query").select(*head, "x0", "x1", F.inline(cut)).select(*head, "y", (c("_end") - c("y")).alias("rows"), "x0", "x1")
 
 
 def flag_runs(runs: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
-    """Disjoint maximal runs (query, y, x0, x1) with a boolean column per kind; uncovered stretches are left out.
+    """Disjoint maximal runs (query, y, rows, x0, x1) with a boolean column per kind; uncovered stretches are left out.
 
     One exchange by (query, y) serves the sum of the events and the sweep.
     """
-    head = [n for n in ("query", "explicit", "y") if n in runs.columns]
+    head = [n for n in ("query", "explicit", "y", "rows") if n in runs.columns]
     end = lambda x, d: F.struct(F.col(x).alias("x"), F.lit(d).alias("d"))
     ends = runs.select(*head, "kind", F.inline(F.array(end("x0", 1), end("x1", -1)))).repartition("query", "y")
     events = ends.groupBy(*head, "x").agg(
@@ -68,41 +82,50 @@ def with_known(flags: DataFrame) -> DataFrame:
     )
 
 
+def area() -> Column:
+    """Pixels of a swept run."""
+    return (F.col("x1") - F.col("x0")) * F.col("rows")
+
+
 def _pixels(cond):
-    return F.sum(F.when(cond, F.col("x1") - F.col("x0")).otherwise(0)).cast("long")
+    return F.sum(F.when(cond, area()).otherwise(0)).cast("long")
 
 
-def domain_metadata(flags: DataFrame, requests: DataFrame) -> DataFrame:
+def domain_totals(flags: DataFrame) -> DataFrame:
+    """One row per query with every pixel total that metadata, violations and confusion counts need.
+
+    The prediction is one more kind of the sweep, so counting it takes no join.
+    """
+    c = F.col
+    known, pos, hit = c("scored"), c("positive"), c("predicted") if "predicted" in flags.columns else F.lit(False)
+    return flags.groupBy("query").agg(*[_pixels(cond).alias(name) for name, cond in {
+        "reviewed": c("reviewed"), "left_out": c("reviewed") & c("excluded"), "scored": known, "scored_positive": known & pos,
+        "overlap": pos & (c("negative") | c("blank")), "outside": c("outside_known"),
+        "tp": known & pos & hit, "fp": known & ~pos & hit, "fn": known & pos & ~hit, "tn": known & ~pos & ~hit,
+        "blank_fp": known & c("blank") & hit, "blank_pixels": known & c("blank")}.items()])
+
+
+def metadata_of(totals: DataFrame, requests: DataFrame) -> DataFrame:
     """Pixel totals of each request; requests without any label get zeros."""
     c = F.col
-    pos = c("scored") & c("positive")
-    totals = flags.groupBy("query").agg(
-        _pixels(c("reviewed")).alias("original_known_pixels"),
-        _pixels(c("reviewed") & c("excluded")).alias("excluded_known_pixels"),
-        _pixels(c("scored")).alias("_scored"),
-        _pixels(pos).alias("_pos"),
-    )
-    area = (c("width") * c("height")).cast("long")
-    j = requests.join(totals, "query", "left").fillna(0, ["original_known_pixels", "excluded_known_pixels", "_scored", "_pos"])
+    used = ["reviewed", "left_out", "scored", "scored_positive"]
+    size = (c("width") * c("height")).cast("long")
+    j = requests.join(totals.select("query", *used), "query", "left").fillna(0, used)
     return j.select(
         "query",
-        "original_known_pixels",
-        "excluded_known_pixels",
-        (area - c("_scored")).alias("unscored_pixels"),
-        (area - c("original_known_pixels")).alias("unknown_pixels"),
-        ((c("_pos") > 0) & (c("_pos") == c("_scored"))).alias("positive_only"),
+        c("reviewed").alias("original_known_pixels"),
+        c("left_out").alias("excluded_known_pixels"),
+        (size - c("scored")).alias("unscored_pixels"),
+        (size - c("reviewed")).alias("unknown_pixels"),
+        ((c("scored_positive") > 0) & (c("scored_positive") == c("scored"))).alias("positive_only"),
     )
 
 
-def domain_violations(flags: DataFrame, requests: DataFrame) -> DataFrame:
+def violations_of(totals: DataFrame, requests: DataFrame) -> DataFrame:
     """Overlaps and labels outside the known region (before exclusion), and empty domains (after)."""
     c = F.col
-    totals = flags.groupBy("query").agg(
-        _pixels(c("positive") & (c("negative") | c("blank"))).alias("overlap"),
-        _pixels(c("outside_known")).alias("outside"),
-        _pixels(c("scored")).alias("scored"),
-    )
-    j = requests.select("query").join(totals, "query", "left").fillna(0, ["overlap", "outside", "scored"])
+    used = ["overlap", "outside", "scored"]
+    j = requests.select("query").join(totals.select("query", *used), "query", "left").fillna(0, used)
     rule = lambda name, n, cond: F.when(cond, F.struct(F.lit(name).alias("rule"), n.alias("pixels")))
     found = F.filter(
         F.array(
@@ -115,23 +138,27 @@ def domain_violations(flags: DataFrame, requests: DataFrame) -> DataFrame:
     return j.select("query", F.inline(found))
 
 
+def confusion_of(totals: DataFrame) -> DataFrame:
+    return totals.select("query", "tp", "fp", "fn", "tn", "blank_fp", "blank_pixels")
+
+
+def domain_metadata(flags: DataFrame, requests: DataFrame) -> DataFrame:
+    return metadata_of(domain_totals(flags), requests)
+
+
+def domain_violations(flags: DataFrame, requests: DataFrame) -> DataFrame:
+    return violations_of(domain_totals(flags), requests)
+
+
 def run_confusion(flags: DataFrame) -> DataFrame:
-    """Confusion counts straight from the swept runs: the prediction is one more kind, so no join is needed."""
-    c = F.col
-    known = c("scored")
-    return flags.groupBy("query").agg(
-        _pixels(known & c("positive") & c("predicted")).alias("tp"),
-        _pixels(known & ~c("positive") & c("predicted")).alias("fp"),
-        _pixels(known & c("positive") & ~c("predicted")).alias("fn"),
-        _pixels(known & ~c("positive") & ~c("predicted")).alias("tn"),
-        _pixels(known & c("blank") & c("predicted")).alias("blank_fp"),
-        _pixels(known & c("blank")).alias("blank_pixels"),
-    )
+    """Confusion counts straight from the swept runs."""
+    return confusion_of(domain_totals(flags))
 
 
 def pixels_of(flags: DataFrame) -> DataFrame:
     """Sparse pixel form of the scored region, with its flags."""
-    return flags.filter("scored").select(
+    rows = flags.filter("scored").withColumn("y", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("rows") - 1)))
+    return rows.select(
         "query", "y", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"),
         F.col("positive").alias("pos"), F.col("blank"),
     )
@@ -139,14 +166,16 @@ def pixels_of(flags: DataFrame) -> DataFrame:
 
 def cell_fractions(flags: DataFrame, c: int) -> DataFrame:
     """Known and positive share of every c x c cell that holds a scored pixel."""
-    runs = flags.filter("scored")
-    span = F.sequence(F.floor(F.col("x0") / c), F.floor((F.col("x1") - 1) / c))
-    parts = runs.select("query", F.floor(F.col("y") / c).alias("gy"), "x0", "x1", "positive", F.explode(span).alias("gx"))
-    n = F.least(F.col("x1"), (F.col("gx") + 1) * c) - F.greatest(F.col("x0"), F.col("gx") * c)
-    area = float(c * c)
+    end = F.col("y") + F.col("rows")
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / c), F.floor((hi - 1) / c)))
+    overlap = lambda lo, hi, g: F.least(hi, (F.col(g) + 1) * c) - F.greatest(lo, F.col(g) * c)
+    runs = flags.filter("scored").select("query", "y", end.alias("_end"), "x0", "x1", "positive", span(F.col("y"), end).alias("gy"))
+    parts = runs.select("query", "gy", "y", "_end", "x0", "x1", "positive", span(F.col("x0"), F.col("x1")).alias("gx"))
+    n = overlap(F.col("x0"), F.col("x1"), "gx") * overlap(F.col("y"), F.col("_end"), "gy")
+    cell = float(c * c)
     return parts.groupBy("query", "gy", "gx").agg(
-        (F.sum(n) / area).alias("known"),
-        (F.sum(F.when(F.col("positive"), n).otherwise(0)) / area).alias("positive"),
+        (F.sum(n) / cell).alias("known"),
+        (F.sum(F.when(F.col("positive"), n).otherwise(0)) / cell).alias("positive"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regionmatch.operators import contracts, domains, metrics
 from regionmatch.plans import fixtures as fx
+from regionmatch.session import cut_lineage
 
 # ---- manifest with some broken rows -----------------------------------------------------
 
@@ -175,20 +176,19 @@ def _flags(spark, sf):
     b = label_boxes(spark, sf)
     # Whether a request has an explicit known region follows from its own boxes.
     b = domains.mark_explicit(b, b.filter("kind = 'known'"))
-    return domains.with_known(domains.flag_runs(domains.box_runs(b)))
+    return domains.with_known(domains.flag_runs(domains.slabs(b)))
 
 
 def box_pixels(spark, sf):
     """Pixels of every box kind per query, overlaps counted once."""
-    flags = domains.flag_runs(domains.box_runs(label_boxes(spark, sf)))
-    n = F.col("x1") - F.col("x0")
-    return flags.groupBy("query").agg(*[F.sum(F.when(F.col(k), n).otherwise(0)).cast("long").alias(k) for k in domains.KINDS])
+    flags = domains.flag_runs(domains.slabs(label_boxes(spark, sf)))
+    return flags.groupBy("query").agg(*[F.sum(F.when(F.col(k), domains.area()).otherwise(0)).cast("long").alias(k) for k in domains.KINDS])
 
 
 def region_runs(spark, sf):
     """Maximal runs of the positive region of each query."""
-    f = domains.flag_runs(domains.box_runs(label_boxes(spark, sf).filter("kind = 'positive'")), ["positive"])
-    return f.groupBy("query").agg(F.count("*").alias("runs"), F.sum(F.col("x1") - F.col("x0")).cast("long").alias("pixels"))
+    f = domains.flag_runs(domains.slabs(label_boxes(spark, sf).filter("kind = 'positive'")), ["positive"])
+    return f.groupBy("query").agg(F.sum("rows").alias("runs"), F.sum(domains.area()).cast("long").alias("pixels"))
 
 
 def domain_metadata(spark, sf):
@@ -205,10 +205,10 @@ def run_confusion(spark, sf):
 
 def region_report(spark, sf):
     """From boxes to the document-macro report, leaving out requests that break the contract."""
-    flags = _flags(spark, sf)
-    bad = domains.domain_violations(flags, fx.requests(spark, sf).select("query")).select("query").distinct()
-    c = domains.run_confusion(flags).join(bad, "query", "left_anti")
-    m = metrics.query_metrics(c.join(fx.requests(spark, sf).select("query", "document_id"), "query"))
+    totals = cut_lineage(domains.domain_totals(_flags(spark, sf)))
+    r = fx.requests(spark, sf).select("query", "document_id")
+    bad = domains.violations_of(totals, r).select("query").distinct()
+    m = metrics.query_metrics(domains.confusion_of(totals).join(bad, "query", "left_anti").join(r, "query"))
     return metrics.summary(m).select("examples", "documents", "tp", "fp", "fn", "tn",
                                      *[F.round(n, 6).alias(n) for n in ("document_macro_iou", "mean_query_iou",
                                                                         "global_precision", "global_recall")])

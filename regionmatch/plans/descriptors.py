@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regionmatch.functions import vectors as V
-from regionmatch.operators import descriptors, grid, texture
+from regionmatch.operators import descriptors, evidence, grid, texture
 from regionmatch.operators import similarity as sim
 from regionmatch.plans import end_to_end as e2e
 from regionmatch.plans import fixtures as fx
-from regionmatch.plans.matching import _TONE, _spectra, bilinear_sql, box_cells_sql, slice_cells_sql, unit_sql
-from regionmatch.plans.raster import _PX, block_sql, box_sql, gauss_sql
+from regionmatch.plans.matching import _spectra, bilinear_sql, box_cells_sql, slice_cells_sql, unit_sql
+from regionmatch.plans.raster import _PX, block_sql, box_sql, gauss_sql, sobel_sql
 from regionmatch.plans.regions import _EDGE, _PROB, _QLAB, _prob, _query_prob, labelled_sql
-from regionmatch.plans.texture_maps import _BLOB, _CELLS9, _ink
+from regionmatch.plans.texture_maps import _BLOB, EDGES as TEXTURE_EDGES, _ink, loge_sql
 from regionmatch.session import cut_lineage
 
 TONE = {"mean4": "v", "std4": "abs(v - 0.5)", "ink4": "v * v", "bg4": "1 - v", "paper4": "floor(v * 8) / 8", "paperfrac4": "v * (1 - v)",
@@ -84,7 +84,21 @@ def native_masks(spark, sf):
     return a.groupBy("query", "y").agg(F.count("*").alias("pixels"), F.sum("x").alias("sum_x"))
 
 
-QUERIES = {f.__name__: f for f in (region_descriptors, correlation_corners, quarter_turns, pooled_texture, pooled_shapes, native_masks)}
+EV_INK, EV_TENSOR = (2, 4, 6), (2, 3)
+EV_NAMES = (*[f"ev_ink{r}" for r in EV_INK], "ev_inkmx", *[f"ev_{n}{r}" for r in EV_TENSOR for n in ("ge", "coh", "stcos", "stsin", "stw")], "ev_sepool",
+            *evidence.TURN_MAPS, "ev_q_ink", "ev_q_coh", *evidence.SYMMETRY)
+
+
+def evidence_row(spark, sf):
+    """All 29 raw evidence columns at the centres of the coarse grid."""
+    px, boxes = cut_lineage(fx.px(spark, sf)), fx.wide_boxes(spark, sf)
+    energy = texture.spectra(px, window=8, stride=4, edges=TEXTURE_EDGES, tile=64).withColumnsRenamed({"gh": "h", "gw": "w", "gy": "y", "gx": "x"})
+    turns = evidence.turn_maps(px, boxes, 4, 40, tile=64)
+    rows = evidence.evidence_rows(e2e.grid_points(px, boxes), px, boxes, energy, 4.0, turns, 4, EV_INK, EV_TENSOR, 3, 2, 64)
+    return rows.select("query", "y", "x", *[F.round(n, 0 if n == "ev_nrang" else 4).alias(n) for n in EV_NAMES])
+
+
+QUERIES = {f.__name__: f for f in (region_descriptors, correlation_corners, quarter_turns, pooled_texture, pooled_shapes, native_masks, evidence_row)}
 
 
 # ---- SQL twins --------------------------------------------------------------------------
@@ -198,7 +212,62 @@ _TURNS = """sq AS (SELECT query, image, least(y1 - y0, x1 - x0, 68) AS s, x0, y0
   tt AS (SELECT query, image, n, o, g, unnest(['0', '90', '180', '270']) AS v, unnest([a, s - 1 - b, s - 1 - a, b]) AS i, unnest([b, a, s - 1 - b, s - 1 - a]) AS j FROM tv),
   tp AS (SELECT query, image, v, i - o AS i, j - o AS j, g, n AS th, n AS tw FROM tt WHERE i >= o AND i < o + n AND j >= o AND j < o + n)"""
 
-_SHAPES = f"""{_BLOB.replace("cnt", "cnt")}, fr AS (SELECT DISTINCT image, (h + 3) // 4 AS h, (w + 3) // 4 AS w, y // 4 AS y, x // 4 AS x FROM px),
+_ANGLES = """sq AS (SELECT query, image, least(y1 - y0, x1 - x0, 68) AS s, x0, y0, x1, y1 FROM boxes),
+  sr AS (SELECT query, image, s, y0 + (y1 - y0 - s) // 2 AS sy, x0 + (x1 - x0 - s) // 2 AS sx, CAST(floor(s / sqrt(2)) AS INT) AS n, (s - CAST(floor(s / sqrt(2)) AS INT)) // 2 AS o FROM sq),
+  tg AS (SELECT *, i + o - (s - 1) / 2.0::DOUBLE AS yy, j + o - (s - 1) / 2.0::DOUBLE AS xx, radians(deg) AS t
+    FROM sr, (SELECT unnest([0, 45, 90, 135, 180, 225, 270, 315]) AS deg), LATERAL (SELECT unnest(range(0, n)) AS i), LATERAL (SELECT unnest(range(0, n)) AS j)),
+  tf AS (SELECT *, sin(t) * xx + cos(t) * yy + (s - 1) / 2.0::DOUBLE AS fy, cos(t) * xx - sin(t) * yy + (s - 1) / 2.0::DOUBLE AS fx FROM tg),
+  tc AS (SELECT tf.*, (CAST(floor(fy) AS INT) + dy + 2 * s) % (2 * s) AS ky, (CAST(floor(fx) AS INT) + dx + 2 * s) % (2 * s) AS kx,
+      CASE dy WHEN 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END * CASE dx WHEN 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END AS wt FROM tf, range(0, 2) a(dy), range(0, 2) b(dx)),
+  tp AS (SELECT query, tc.image, CAST(deg AS VARCHAR) AS v, i, j, sum(wt * gray / 255.0::DOUBLE) AS g, n AS th, n AS tw FROM tc
+    JOIN px ON px.image = tc.image AND px.y = sy + CASE WHEN ky < s THEN ky ELSE 2 * s - 1 - ky END AND px.x = sx + CASE WHEN kx < s THEN kx ELSE 2 * s - 1 - kx END GROUP BY ALL)"""
+
+
+def _evidence_sql():
+    tensors = ", ".join(box_sql("sb", ["xx", "xy", "yy"], r, f"t{r}") for r in EV_TENSOR)
+    inks = ", ".join(box_sql("sb", ["ink"], r, f"i{r}") for r in EV_INK)
+    maps = [f"ln(i{r}.ink + 1e-3) AS ink{r}" for r in EV_INK] + ["ln(mx.m + 1e-3) AS inkmx"]
+    for r in EV_TENSOR:
+        tr, phi = f"(t{r}.xx + t{r}.yy)", f"atan2(2 * t{r}.xy, t{r}.xx - t{r}.yy)"
+        coh = f"(sqrt((t{r}.xx - t{r}.yy) ** 2 + 4 * t{r}.xy * t{r}.xy) / ({tr} + 1e-6))"
+        maps += [f"ln({tr} + 1e-5) AS ge{r}", f"{coh} AS coh{r}", f"{phi} AS phi{r}"]
+    joins = " ".join(f"JOIN {t} ON {t}.image = sb.image AND {t}.y = sb.y AND {t}.x = sb.x" for t in (*[f"i{r}" for r in EV_INK], "mx", *[f"t{r}" for r in EV_TENSOR], "le"))
+    own = [f"ink{r} - qink AS ev_ink{r}" for r in EV_INK] + ["inkmx - qink AS ev_inkmx", "top - qe AS ev_sepool"]
+    for r in EV_TENSOR:
+        own += [f"ge{r} - qge AS ev_ge{r}", f"coh{r} AS ev_coh{r}", f"cos(phi{r} - qphi) AS ev_stcos{r}", f"sin(phi{r} - qphi) AS ev_stsin{r}", f"cos(phi{r} - qphi) * sqrt(coh{r} * qcoh) AS ev_stw{r}"]
+    names = [n for n in EV_NAMES if not n.startswith("ev_q_")]
+    wide = f"[{', '.join(names)}] AS v"
+    bil = ", ".join(f"round(v[{i + 1}], {0 if n == 'ev_nrang' else 4}) AS {n}" for i, n in enumerate(names))
+    return f"""{_correlated_sql(_WIDE, _ANGLES)}, {loge_sql('le0')},
+  {sobel_sql('px', 'n.gray')}, g AS (SELECT * REPLACE (gx / 255.0 AS gx, gy / 255.0 AS gy) FROM sob),
+  bgx AS (SELECT a.image, a.y, a.x, max(n.gray) AS m FROM px a, range(-4, 5) t(d) JOIN px n ON n.image = a.image AND n.y = a.y AND n.x = a.x + d GROUP BY ALL),
+  bg AS (SELECT a.image, a.y, a.x, max(n.m) AS m FROM bgx a, range(-4, 5) t(d) JOIN bgx n ON n.image = a.image AND n.x = a.x AND n.y = a.y + d GROUP BY ALL),
+  gi AS (SELECT g.*, CAST(m - gray > 40 AS INT) AS ink FROM g JOIN bg USING (image, y, x)),
+  {block_sql('gi', {'xx': 'gx * gx', 'xy': 'gx * gy', 'yy': 'gy * gy', 'ink': 'ink'}, 'sb')}, {tensors}, {inks},
+  mx AS (SELECT a.image, a.y, a.x, max(n.ink) AS m FROM i{EV_INK[0]} a, range(-3, 4) s(dy), range(-3, 4) t(dx) JOIN i{EV_INK[0]} n ON n.image = a.image AND n.y = a.y + dy AND n.x = a.x + dx GROUP BY ALL),
+  le AS (SELECT a.image, a.y, a.x, any_value(a.loge) AS loge, max(n.loge) AS top FROM le0 a, range(-2, 3) s(dy), range(-2, 3) t(dx) JOIN le0 n ON n.image = a.image AND n.y = a.y + dy AND n.x = a.x + dx GROUP BY a.image, a.y, a.x),
+  dm AS (SELECT sb.image, sb.h, sb.w, sb.y, sb.x, sb.ink, sb.xx, sb.xy, sb.yy, le.loge, le.top, {", ".join(maps)} FROM sb {joins}),
+  gs AS (SELECT DISTINCT image, h AS gh, w AS gw FROM dm), {box_cells_sql(4.0, 'gs', 'bc')},
+  q0 AS (SELECT query, avg(ink) AS qi, avg(xx) AS qxx, avg(xy) AS qxy, avg(yy) AS qyy, avg(loge) AS qe FROM bc JOIN dm ON dm.image = bc.image AND dm.y = gy AND dm.x = gx GROUP BY query),
+  q1 AS (SELECT query, qi, ln(qi + 1e-3) AS qink, ln(qxx + qyy + 1e-5) AS qge, atan2(2 * qxy, qxx - qyy) AS qphi, sqrt((qxx - qyy) ** 2 + 4 * qxy * qxy) / (qxx + qyy + 1e-6) AS qcoh, qe FROM q0),
+  ok AS (SELECT query FROM ts WHERE v = '0' GROUP BY query HAVING stddev_pop(g) >= 3 / 255.0 AND any_value(th) >= 4),
+  lo AS (SELECT query, image, v, y // 4 AS y, x // 4 AS x, avg(r) AS r FROM pl SEMI JOIN ok USING (query) GROUP BY ALL),
+  tn AS (SELECT query, image, y, x, max(r) FILTER (v = '0') AS ev_nr0, max(r) FILTER (v IN ('90', '270')) AS ev_nr90, max(r) FILTER (v IN ('45', '135', '225', '315')) AS ev_nr45, max(r) FILTER (v = '180') AS ev_nr180,
+    CAST(arg_max(least(CAST(v AS INT), 360 - CAST(v AS INT)), (r, -CAST(v AS INT))) AS DOUBLE) AS ev_nrang FROM lo GROUP BY ALL),
+  qt AS (SELECT bc.query, avg(ev_nr90) AS ev_q_sym90, avg(ev_nr45) AS ev_q_sym45, avg(ev_nr180) AS ev_q_sym180, avg(ev_nr0) AS ev_q_nr0 FROM bc JOIN tn ON tn.query = bc.query AND tn.y = gy AND tn.x = gx GROUP BY bc.query),
+  ev AS (SELECT q1.query, dm.h, dm.w, dm.y, dm.x, {", ".join(own)}, ev_nr0, ev_nr90, ev_nr45, ev_nr180, ev_nr0 - ev_nr90 AS ev_nrgap90, ev_nr0 - ev_nr45 AS ev_nrgap45, ev_nr0 - ev_nr180 AS ev_nrgap180, ev_nrang
+    FROM dm JOIN boxes USING (image) JOIN q1 ON q1.query = boxes.query LEFT JOIN tn ON tn.query = q1.query AND tn.y = dm.y AND tn.x = dm.x),
+  mp AS (SELECT query, h, w, y, x, {wide} FROM ev),
+  pnt AS (SELECT query, y, x, least(greatest((y * 4 + 2 + 0.5) / 4 - 0.5, 0), h - 1) AS fy, least(greatest((x * 4 + 2 + 0.5) / 4 - 0.5, 0), w - 1) AS fx, h, w FROM mp),
+  sa AS (SELECT pnt.query, pnt.y, pnt.x, list_transform(range(1, {len(names) + 1}), lambda i: a.v[i] * (1 - (fy - floor(fy))) * (1 - (fx - floor(fx))) + b.v[i] * (1 - (fy - floor(fy))) * (fx - floor(fx))
+      + c.v[i] * (fy - floor(fy)) * (1 - (fx - floor(fx))) + d.v[i] * (fy - floor(fy)) * (fx - floor(fx))) AS v
+    FROM pnt JOIN mp a ON a.query = pnt.query AND a.y = floor(fy) AND a.x = floor(fx) JOIN mp b ON b.query = pnt.query AND b.y = floor(fy) AND b.x = least(floor(fx) + 1, pnt.w - 1)
+    JOIN mp c ON c.query = pnt.query AND c.y = least(floor(fy) + 1, pnt.h - 1) AND c.x = floor(fx) JOIN mp d ON d.query = pnt.query AND d.y = least(floor(fy) + 1, pnt.h - 1) AND d.x = least(floor(fx) + 1, pnt.w - 1))
+  SELECT query, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {bil}, round(qi, 4) AS ev_q_ink, round(qcoh, 4) AS ev_q_coh, {", ".join(f"round({n}, 4) AS {n}" for n in evidence.SYMMETRY)}
+  FROM sa JOIN q1 USING (query) LEFT JOIN qt USING (query)"""
+
+
+_SHAPES = f"""{_BLOB}, fr AS (SELECT DISTINCT image, (h + 3) // 4 AS h, (w + 3) // 4 AS w, y // 4 AS y, x // 4 AS x FROM px),
   cn AS (SELECT image, least(floor(cy / 4), hh - 1) AS y, floor(cx / 4) AS x, {", ".join(f"count(*) FILTER (shape_class = {i}) AS shape{i}" for i in range(3))}
     FROM cl JOIN (SELECT DISTINCT image, (h + 3) // 4 AS hh FROM px) USING (image) GROUP BY ALL),
   al AS (SELECT fr.image, fr.h, fr.w, fr.y, fr.x, {", ".join(f"coalesce(shape{i}, 0) AS shape{i}" for i in range(3))} FROM fr LEFT JOIN cn USING (image, y, x)),
@@ -226,6 +295,7 @@ ORACLE = {
       {box_sql('ns', ['ncc_best'], 4, 'b4', 'query')}, {box_sql('ns', ['ncc_best', 'ncc_max'], 9, 'b9', 'query')}, {box_sql('na', ['n'], 6, 'n6', 'query')}
       SELECT query, CAST(b4.y AS INT) AS y, CAST(b4.x AS INT) AS x, round(b4.ncc_best, 5) AS x_ncc_best_b4, round(b9.ncc_best, 5) AS x_ncc_best_b9, round(b9.ncc_max, 5) AS x_ncc_max_b9,
         round(na.n, 5) AS x_ncc1, round(n6.n, 5) AS x_ncc1_b6 FROM b4 JOIN b9 USING (query, y, x) JOIN na USING (query, y, x) JOIN n6 USING (query, y, x)""",
+    "evidence_row": _evidence_sql(),
     "pooled_shapes": f"""{_SHAPES} SELECT query, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx,
       round(list_sum(list_transform([1, 2, 3], lambda i: sqrt(v[i] / (list_sum(v) + 1e-6)) * sqrt(q[i] / (list_sum(q) + 1e-6)))), 5) AS x_sb3_bc,
       round(ln((v[list_position(q, list_max(q))] + 1e-3) / (list_max(q) + 1e-3)), 5) AS x_sb3_ldom, CAST(list_position(q, list_max(q)) - 1 AS DOUBLE) AS x_sb3_qdom FROM sh JOIN qs USING (image)""",

@@ -30,15 +30,15 @@ def score_files(spark: SparkSession, manifest_path: str, mask_runs: DataFrame, p
     contracts.require_clean(absent.withColumn("rule", F.lit("missing_prediction")))
     explicit = manifests.explicit_known(m)
     drawn = predictions.filter("y >= 0").select("query", F.lit("predicted").alias("kind"), "y", "x0", "x1")
-    boxes = domains.box_runs(domains.mark_explicit(manifests.label_region_boxes(m), explicit))
-    runs = boxes.unionByName(domains.mark_explicit(mask_runs.unionByName(drawn), explicit))
-    flags = domains.with_known(domains.flag_runs(runs))
+    shapes = manifests.label_region_boxes(m).unionByName(domains.run_shapes(mask_runs.unionByName(drawn)))
+    flags = domains.with_known(domains.flag_runs(domains.slabs(domains.mark_explicit(shapes, explicit))))
+    totals = cut_lineage(domains.domain_totals(flags))
     requests = m.select(F.col("id").alias("query"), "document_id", "kind", "width", "height")
-    contracts.require_clean(domains.domain_violations(flags, requests))
-    counts = domains.run_confusion(flags)
+    contracts.require_clean(domains.violations_of(totals, requests))
+    counts = domains.confusion_of(totals)
     contracts.require_clean(metrics.count_violations(counts))
     rows = metrics.query_metrics(counts.join(requests.select("query", "document_id", "kind"), "query"))
-    rows = rows.join(domains.domain_metadata(flags, requests), "query")
+    rows = rows.join(domains.metadata_of(totals, requests), "query")
     return rows, metrics.summary(rows)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from regionmatch.operators import compare, metrics, sampling
-from regionmatch.operators.ordering import exact_quantiles, id_bucket, unit_bucket
+from regionmatch.operators.ordering import exact_quantiles, unit_bucket
 from regionmatch.plans import fixtures as fx
 
 CUT = 0.55
@@ -185,7 +185,7 @@ def _deltas(spark, sf):
 
 
 def paired_bootstrap(spark, sf):
-    means = compare.bootstrap_means(_deltas(spark, sf), "document_id", id_bucket(F.col("document_id"), 256))
+    means = compare.bootstrap_means(_deltas(spark, sf), "document_id")
     return compare.bootstrap_interval(means).withColumns(_r("lo", "hi"))
 
 
@@ -424,11 +424,10 @@ ORACLE = {
     "round(max(1 / (1 + exp(-(p_a - 0.5) * 8))), 6) AS max_p FROM pixels GROUP BY query",
     "blend": f"{_BASE} SELECT query, count(*) AS cells, round(sum((p_a + p_b) / 2), 6) AS sum_p FROM "
     "(SELECT query, cell, max(p_a) AS p_a, max(p_b) AS p_b FROM pixels GROUP BY 1, 2) GROUP BY query",
-    "paired_bootstrap": f"""{_DELTA}, n AS (SELECT count(*) AS n FROM delta),
-      placed AS (SELECT row_number() OVER (ORDER BY document_id) - 1 AS i, delta FROM delta),
-      mix AS (SELECT b, CAST('0x' || left(md5('0:' || b || ':' || i), 15) AS BIGINT) % n AS i
-              FROM range(0, 5000) r(b), n, range(0, (SELECT n FROM n)) d(i)),
-      means AS (SELECT b, avg(delta) AS m FROM mix JOIN placed USING (i) GROUP BY b)
+    "paired_bootstrap": f"""{_DELTA}, x0 AS (SELECT b, delta, CAST(document_id AS BIGINT) % {compare.PRIME} AS x FROM delta, range(0, 5000) r(b)),
+      {", ".join(f"x{i + 1} AS (SELECT b, delta, (x * (x + {mul}) + (b + 1) * {add} + 1) % {compare.PRIME} AS x FROM x{i})" for i, (mul, add) in enumerate(compare.ROUNDS))},
+      drawn AS (SELECT b, delta, CASE {" ".join(f"WHEN x < {edge} THEN {k}" for k, edge in enumerate(compare.POISSON))} ELSE {len(compare.POISSON)} END AS n FROM x{len(compare.ROUNDS)}),
+      means AS (SELECT b, sum(n * delta) / sum(n) AS m FROM drawn GROUP BY b)
       SELECT count(*) AS replicates, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM means""",
     "better_worse": f"{_DELTA} SELECT count(*) AS documents, round(avg(delta), 6) AS mean_delta, "
     "count(*) FILTER (delta > 0.005) AS better, count(*) FILTER (delta < -0.005) AS worse FROM delta",

@@ -16,7 +16,7 @@ EDGES = (1, 2, 3, 4.5, 9)
 def spectra(spark, sf):
     """Windowed spectra of 8 x 8 pixels at every fourth pixel, four period rings by eight angles."""
     s = texture.spectra(fx.px(spark, sf), window=8, stride=4, edges=EDGES, tile=32)
-    return s.select("image", "gy", "gx", F.round("loge", 5).alias("loge"), *[F.round(F.col("desc")[i], 5).alias(f"d{i}") for i in (0, 4, 9, 14, 17, 22, 24, 28)])
+    return s.select("image", "gy", "gx", F.round("loge", 5).alias("loge"), *[F.round(F.col("desc")[i], 5).alias(f"d{i}") for i in range(32)])
 
 
 def _ink(spark, sf):
@@ -93,8 +93,7 @@ _BLOB = labelled_sql(_INK, "ink", "ink", eight=True) + """, bl AS (SELECT image,
 
 _CELLS9 = [(n, i) for n in ("cnt", "area", "shape") for i in (0, 1, 2)]
 
-ORACLE = {
-    "spectra": f"""{_PX}, cl AS (SELECT DISTINCT image, gy, gx FROM (SELECT image, h, w FROM px), range(0, 100) a(gy), range(0, 16) b(gx) WHERE gy < ceil(h / 4.0)),
+_SPECTRUM = f"""cl AS (SELECT DISTINCT image, gy, gx FROM (SELECT image, h, w FROM px), range(0, 100) a(gy), range(0, 16) b(gx) WHERE gy < ceil(h / 4.0)),
       wn AS (SELECT cl.image, gy, gx, wy, wx, coalesce(gray / 255.0::DOUBLE, 1.0::DOUBLE) AS v FROM cl, range(0, 8) a(wy), range(0, 8) b(wx)
         LEFT JOIN px ON px.image = cl.image AND px.y = gy * 4 - 2 + wy AND px.x = gx * 4 - 2 + wx),
       hn AS (SELECT image, gy, gx, wy, wx, (v - avg(v) OVER (PARTITION BY image, gy, gx)) * (0.5 - 0.5 * cos(2 * pi() * wy / 7)) * (0.5 - 0.5 * cos(2 * pi() * wx / 7)) AS v FROM wn),
@@ -103,9 +102,18 @@ ORACLE = {
       bn AS (SELECT image, gy, gx, (len(list_filter([1, 2, 3, 4.5, 9], lambda e: e <= {_PER})) - 1) * 8
           + CAST(least(floor(CASE WHEN {_ANG} < 0 THEN {_ANG} + pi() WHEN {_ANG} >= pi() THEN 0 ELSE {_ANG} END / pi() * 8), 7) AS INT) AS b,
           sum(p * CASE WHEN kx IN (0, 4) THEN 0.5 ELSE 1.0 END) AS p FROM pw GROUP BY ALL),
-      tt AS (SELECT image, gy, gx, sum(p) AS t FROM bn WHERE b BETWEEN 0 AND 31 GROUP BY ALL)
+      tt AS (SELECT image, gy, gx, sum(p) AS t FROM bn WHERE b BETWEEN 0 AND 31 GROUP BY ALL)"""
+
+
+def loge_sql(out):
+    """Log energy of the windows of ``spectra`` as a map."""
+    return f"{_SPECTRUM}, {out} AS (SELECT image, CAST(gy AS INT) AS y, CAST(gx AS INT) AS x, ln(t + 1e-4) AS loge FROM tt)"
+
+
+ORACLE = {
+    "spectra": f"""{_PX}, {_SPECTRUM}
       SELECT image, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, round(ln(any_value(t) + 1e-4), 5) AS loge,
-        {", ".join(f"round(coalesce(sum(p) FILTER (b = {i}), 0) / (any_value(t) + 1e-6), 5) AS d{i}" for i in (0, 4, 9, 14, 17, 22, 24, 28))}
+        {", ".join(f"round(coalesce(sum(p) FILTER (b = {i}), 0) / (any_value(t) + 1e-6), 5) AS d{i}" for i in range(32))}
       FROM bn JOIN tt USING (image, gy, gx) GROUP BY image, gy, gx""",
     "blob_table": f"{_BLOB} SELECT image, label, area, bh, bw, CAST(size_class AS INT) AS size_class, CAST(shape_class AS INT) AS shape_class, round(cy, 6) AS cy, round(cx, 6) AS cx FROM cl",
     "blob_maps": f"""{_BLOB}, fr AS (SELECT image, (h + 3) // 4 AS h, (w + 3) // 4 AS w, y // 4 AS y, x // 4 AS x, count(*) AS cells FROM px GROUP BY ALL),

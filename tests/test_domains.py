@@ -77,8 +77,8 @@ def test_sweep_against_pixels(spark):
             boxes.append(("q", k, int(x0), int(y0), int(x1), int(y1)))
     df = spark.createDataFrame(boxes, "query string, kind string, x0 int, y0 int, x1 int, y1 int")
     got = {k: np.zeros((20, 30), bool) for k in domains.KINDS}
-    for r in domains.flag_runs(domains.box_runs(df)).collect():
+    for r in domains.flag_runs(domains.slabs(df)).collect():
         for k in domains.KINDS:
-            got[k][r["y"], r["x0"]:r["x1"]] |= r[k]
+            got[k][r["y"]:r["y"] + r["rows"], r["x0"]:r["x1"]] |= r[k]
     for k in domains.KINDS:
         assert (got[k] == want[k]).all()
