@@ -8,7 +8,7 @@ Every label is the smallest ``y * w + x`` of its component.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -127,11 +127,70 @@ def label(cells: DataFrame, eight: bool = False, tile: int = TILE, keys: Sequenc
     return own.join(roots, [*keys, "label"], "left").withColumn("label", F.coalesce("_root", "label")).drop("_root")
 
 
+def _whole_tiles(grid: DataFrame, cond: Column, keys: Sequence[str], eight: bool, tile: int) -> DataFrame:
+    """All cells of a grid with the tile-local label of those that meet the condition (null elsewhere).
+
+    Each cell goes to its tile once; only labelled cells of a shared border come again, with ``_own`` false, for the
+    tile before. Every other column travels along, so nothing is joined back to the grid.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+
+    c = F.col
+
+    def seen(p):
+        own = F.floor(c(p) / tile).cast("int")
+        return F.when(c("_in") & (c(p) % tile == 0) & (c(p) > 0), F.array(own - 1, own)).otherwise(F.array(own))
+
+    t = grid.withColumn("_in", F.coalesce(cond, F.lit(False)))
+    t = t.withColumn("_ty", F.explode(seen("y"))).withColumn("_tx", F.explode(seen("x")))
+    schema = StructType([*grid.schema.fields, StructField("label", LongType()), StructField("_own", BooleanType())])
+    names, result = grid.columns, to_arrow_schema(schema)
+
+    def kernel(table):
+        import numpy as np
+        import pyarrow as pa
+
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        inside = table.column("_in").to_numpy(zero_copy_only=False)
+        y0, x0 = int(y.min()), int(x.min())
+        lin = y.astype(np.int64) * table.column("w")[0].as_py() + x
+        at = np.flatnonzero(inside)
+        at = at[np.argsort(lin[at], kind="stable")]
+        index = np.full((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1), -1)
+        index[y[at] - y0, x[at] - x0] = np.arange(len(at))
+        steps = [(index[:, :-1], index[:, 1:]), (index[:-1], index[1:])]
+        if eight:
+            steps += [(index[:-1, :-1], index[1:, 1:]), (index[:-1, 1:], index[1:, :-1])]
+        one, two = (np.concatenate([p[k].ravel() for p in steps]) for k in (0, 1))
+        both = (one >= 0) & (two >= 0)
+        label = np.zeros(len(y), np.int64)
+        if len(at):
+            label[at] = lin[at][_smallest_label(len(at), one[both], two[both])]
+        own = (y // tile == table.column("_ty")[0].as_py()) & (x // tile == table.column("_tx")[0].as_py())
+        columns = [table.column(n) for n in names]
+        return pa.table([*columns, pa.array(label, mask=~inside), pa.array(own)], names=[*names, "label", "_own"]).cast(result)
+
+    return t.groupBy(*keys, "_ty", "_tx").applyInArrow(kernel, schema)
+
+
+def _roots(local: DataFrame, keys: Sequence[str], tile: int) -> DataFrame | None:
+    """(keys, label, _root) of the local labels that another tile's labels join to a smaller one; None if there are none."""
+    shared = ((F.col("y") % tile == 0) & (F.col("y") > 0)) | ((F.col("x") % tile == 0) & (F.col("x") > 0))
+    seams = local.filter(shared & F.col("label").isNotNull()).groupBy(*keys, "y", "x").agg(
+        F.min("label").alias("_lo"), F.collect_set("label").alias("_all")  # at most four tiles see a cell
+    )
+    edges = cut_lineage(seams.select(*keys, F.explode("_all").alias("a"), F.col("_lo").alias("b")).filter("a <> b").distinct())
+    return None if edges.isEmpty() else _contract(edges, keys).select(*keys, F.col("a").alias("label"), F.col("b").alias("_root"))
+
+
 def label_where(grid: DataFrame, cond: Column, eight: bool = False, tile: int = TILE, keys: Sequence[str] = ("image",)) -> DataFrame:
     """Label the cells that meet a condition and attach the label to the whole grid (null elsewhere)."""
-    at = [*keys, "y", "x"]
-    lab = label(grid.filter(cond).select(*keys, "h", "w", "y", "x"), eight, tile, keys)
-    return grid.join(lab, at, "left")
+    local = cut_lineage(_whole_tiles(grid, cond, list(keys), eight, tile))
+    roots, own = _roots(local, list(keys), tile), local.filter("_own").drop("_own")
+    if roots is None:
+        return own
+    return own.join(roots, [*keys, "label"], "left").withColumn("label", F.coalesce("_root", "label")).select(*grid.columns, "label")
 
 
 def on_border() -> Column:
@@ -139,15 +198,35 @@ def on_border() -> Column:
     return (c("y") == 0) | (c("x") == 0) | (c("y") == c("h") - 1) | (c("x") == c("w") - 1)
 
 
-def _edit(grid: DataFrame, cond: Column, stats: dict[str, Column], pick: Column, change: Column, value: str,
-          tile: int, keys: Sequence[str]) -> DataFrame:
-    """Change a value on all cells of the components that ``pick`` selects by their statistics."""
-    labelled = label_where(grid, cond, False, tile, keys)
+#: Name to the value of one cell and the function that combines cells and parts of components alike.
+Attributes = dict[str, tuple[Column, Callable]]
+
+
+def _selected(grid: DataFrame, cond: Column, attributes: Attributes, pick: Column, tile: int, keys: Sequence[str]) -> DataFrame:
+    """The grid with ``_hit``: whether a cell lies in a component that ``pick`` selects by its attributes.
+
+    Attributes are combined per tile-local label, and again where tiles' labels meet, so a component's decision takes
+    one pass over the written tiles and none over whole components; only the chosen labels go back to the cells.
+    """
+    keys = list(keys)
     by = [*keys, "label"]
-    comp = labelled.filter("label is not null").groupBy(*by).agg(*[e.alias(n) for n, e in stats.items()])
-    chosen = comp.filter(pick).select(*by, F.lit(True).alias("_hit"))
-    out = labelled.join(chosen, by, "left")
-    return out.withColumn(value, F.when(F.col("_hit"), change).otherwise(F.col(value))).drop("_hit", "label")
+    local = cut_lineage(_whole_tiles(grid, cond, keys, False, tile))
+    parts = local.filter("_own and label is not null").groupBy(*by).agg(*[how(v).alias(n) for n, (v, how) in attributes.items()])
+    roots = _roots(local, keys, tile)
+    if roots is None:
+        chosen = parts.filter(pick).select(*by)
+    else:
+        parts = cut_lineage(parts.join(roots, by, "left").withColumn("_root", F.coalesce("_root", "label")))
+        whole = parts.groupBy(*keys, "_root").agg(*[how(F.col(n)).alias(n) for n, (_, how) in attributes.items()])
+        chosen = parts.select(*by, "_root").join(whole.filter(pick).select(*keys, "_root"), [*keys, "_root"]).select(*by)
+    return local.filter("_own").join(chosen.withColumn("_hit", F.lit(True)), by, "left").select(*grid.columns, "_hit")
+
+
+def _edit(grid: DataFrame, cond: Column, attributes: Attributes, pick: Column, change: Column, value: str,
+          tile: int, keys: Sequence[str]) -> DataFrame:
+    """Change a value on all cells of the components that ``pick`` selects by their attributes."""
+    out = _selected(grid, cond, attributes, pick, tile, keys)
+    return out.withColumn(value, F.when(F.col("_hit"), change).otherwise(F.col(value))).drop("_hit")
 
 
 def fill_holes(grid: DataFrame, value: str, t: float, max_area: float | None = None, stride: int = 1,
@@ -161,35 +240,31 @@ def fill_holes(grid: DataFrame, value: str, t: float, max_area: float | None = N
     if max_area is not None:
         pick = pick & (F.col("_n") * stride * stride < max_area)
     lifted = F.greatest(F.col(value), F.lit(t + 0.01)) if keep_higher else F.lit(t + 0.01)
-    return _edit(grid, F.col(value) <= t, {"_edge": F.bool_or(on_border()), "_n": F.count("*")}, pick, lifted, value, tile, keys)
+    return _edit(grid, F.col(value) <= t, {"_edge": (on_border(), F.bool_or), "_n": (F.lit(1), F.sum)}, pick, lifted, value, tile, keys)
 
 
-def _keep_components(grid, value, lo, pick, stats, tile, keys):
+def _keep_components(grid, value, lo, pick, attributes, tile, keys):
     """Lift kept components above one half, push everything else below it."""
-    labelled = label_where(grid, F.col(value) > lo, False, tile, keys)
-    by = [*keys, "label"]
-    comp = labelled.filter("label is not null").groupBy(*by).agg(*[e.alias(n) for n, e in stats.items()])
-    kept = comp.filter(pick).select(*by, F.lit(True).alias("_hit"))
-    out = labelled.join(kept, by, "left")
+    out = _selected(grid, F.col(value) > lo, attributes, pick, tile, keys)
     v = F.col(value)
-    return out.withColumn(value, F.when(F.col("_hit"), F.greatest(v, F.lit(0.51))).otherwise(F.least(v, F.lit(0.49)))).drop("_hit", "label")
+    return out.withColumn(value, F.when(F.col("_hit"), F.greatest(v, F.lit(0.51))).otherwise(F.least(v, F.lit(0.49)))).drop("_hit")
 
 
 def hysteresis(grid: DataFrame, value: str, lo: float, hi: float, tile: int = TILE, keys: Sequence[str] = ("image",)) -> DataFrame:
     """Keep the components above ``lo`` that hold a cell above ``hi``."""
-    return _keep_components(grid, value, lo, F.col("_m") > hi, {"_m": F.max(value)}, tile, keys)
+    return _keep_components(grid, value, lo, F.col("_m") > hi, {"_m": (F.col(value), F.max)}, tile, keys)
 
 
 def keep_by_mean(grid: DataFrame, value: str, lo: float, hi: float, tile: int = TILE, keys: Sequence[str] = ("image",)) -> DataFrame:
     """Keep the components above ``lo`` whose mean is above ``hi``."""
-    return _keep_components(grid, value, lo, F.col("_m") > hi, {"_m": F.avg(value)}, tile, keys)
+    return _keep_components(grid, value, lo, F.col("_s") / F.col("_n") > hi, {"_s": (F.col(value), F.sum), "_n": (F.lit(1), F.sum)}, tile, keys)
 
 
 def drop_small(grid: DataFrame, value: str, t: float, min_area: Column, stride: int = 1, tile: int = TILE,
                keys: Sequence[str] = ("image",)) -> DataFrame:
     """Push components above ``t`` with a native area under ``min_area`` (an expression over grid columns) below it."""
     marked = grid.withColumn("_min", min_area)
-    stats = {"_n": F.count("*"), "_need": F.max("_min")}
+    stats = {"_n": (F.lit(1), F.sum), "_need": (F.col("_min"), F.max)}
     out = _edit(marked, F.col(value) > t, stats, F.col("_n") * stride * stride < F.col("_need"),
                 F.least(F.col(value), F.lit(t - 0.01)), value, tile, keys)
     return out.drop("_min")
