@@ -215,6 +215,24 @@ def accepted_stats(cells: DataFrame, prob: str, levels: Sequence[float], keys: S
     )
 
 
+def threshold_features(cells: DataFrame, prob: str, inside: Column, levels: Sequence[float] = (0.1, 0.3, 0.5, 0.7, 0.9, 0.97), accept: float = 0.5, least: int = 10) -> DataFrame:
+    """What a threshold model knows of a map without labels, one row per query: log shares above the levels, quantiles of
+    the accepted cells (zeros unless more than ``least`` are accepted), mean and tenth percentile of the query box
+    (``inside``), and the log of the accepted area over that of the box."""
+    from regionmatch.operators.ordering import exact_quantiles, unit_bucket
+
+    c, p, hot = F.col, F.col(prob), F.col(prob) > accept
+    names = [f"log_share_{int(round(t * 100)):02d}" for t in levels]
+    base = cells.groupBy("query").agg(
+        *[F.ln(F.count_if(p > t) / F.count("*") + 1e-6).alias(n) for n, t in zip(names, levels)], F.avg(F.when(inside, p)).alias("box_mean"),
+        F.ln(F.try_divide(F.count_if(hot), F.count_if(inside)) + 1e-3).alias("log_area_ratio"), F.count_if(hot).alias("_hot"))
+    accepted = exact_quantiles(cells.filter(hot), ["query"], prob, (0.1, 0.25, 0.5, 0.75), unit_bucket(c("_v")))
+    box = exact_quantiles(cells.filter(inside), ["query"], prob, (0.1,), unit_bucket(c("_v"))).select("query", c("quantiles")[0].alias("box_p10"))
+    q = lambda i: F.when(c("_hot") > least, c("quantiles")[i]).otherwise(0.0)
+    return base.join(accepted, "query", "left").join(box, "query", "left").select(
+        "query", *names, *[q(i).alias(f"q{k}") for i, k in enumerate((10, 25, 50, 75))], "box_mean", "box_p10", "log_area_ratio")
+
+
 # ---- separability -----------------------------------------------------------------------
 
 

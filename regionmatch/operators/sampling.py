@@ -160,3 +160,14 @@ def two_stage_draws(cells: DataFrame, draws: int, real_share: float, seed: int =
     return d.join(cells.select("query", "pos", "cell"), ["query", "pos", "cell"]).select(
         "draw", "kind", "document_id", "query", "pos", "cell"
     )
+
+
+def cross_fit_leaks(rows: DataFrame, scores: DataFrame, key: str) -> DataFrame:
+    """Rows (key, own_fold, ...) that have scores but none of the model that left their fold out.
+
+    ``scores``: key, model_fold (the fold a model did not see). Such rows would leak their own labels; ``seen`` is the
+    number of their scores.
+    """
+    j = rows.join(scores.select(key, "model_fold"), key)
+    found = j.groupBy(*rows.columns).agg(F.count("*").alias("seen"), F.bool_or(F.col("model_fold") == F.col("own_fold")).alias("_fit"))
+    return found.filter(~F.col("_fit")).drop("_fit")

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from regionmatch.session import by_shuffle
 
 
-def nested_choice(scores: DataFrame) -> DataFrame:
+def nested_choice(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per held-out fold, the candidate with the best mean on the other folds and its held-out mean.
 
-    ``scores``: document_id, fold, candidate, score.  Inner means come from totals minus the
+    ``scores``: document_id, fold, candidate, score; with ``keys`` each of their values chooses by itself.  Inner means come from totals minus the
     fold's own sums, so no fold is scanned twice.  Ties go to the first candidate name.
     """
-    own = scores.groupBy("fold", "candidate").agg(F.sum("score").alias("_s"), F.count("*").alias("documents"))
-    whole = own.groupBy("candidate").agg(F.sum("_s").alias("_ts"), F.sum("documents").alias("_tn"))
-    j = own.join(whole, "candidate").withColumn(
+    own = scores.groupBy(*keys, "fold", "candidate").agg(F.sum("score").alias("_s"), F.count("*").alias("documents"))
+    whole = own.groupBy(*keys, "candidate").agg(F.sum("_s").alias("_ts"), F.sum("documents").alias("_tn"))
+    j = own.join(whole, [*keys, "candidate"]).withColumn(
         "inner_score", (F.col("_ts") - F.col("_s")) / (F.col("_tn") - F.col("documents"))
     )
     j = j.withColumn("outer_score", F.col("_s") / F.col("documents"))
@@ -23,7 +25,7 @@ def nested_choice(scores: DataFrame) -> DataFrame:
         F.struct("candidate", "inner_score", "outer_score", "documents"),
         F.struct(-F.round("inner_score", 9), "candidate"),
     )
-    return j.groupBy("fold").agg(pick.alias("_p")).select("fold", "_p.*")
+    return j.groupBy(*keys, "fold").agg(pick.alias("_p")).select(*keys, "fold", "_p.*")
 
 
 def choose_with_margin(curve: DataFrame, gain: str, default: float, margin: float) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from regionmatch.functions.scalars import ratio
+from regionmatch.session import cut_lineage
 
 
 def label_counts(points: DataFrame, keys: Sequence[str] = ("query", "comp")) -> DataFrame:
@@ -98,6 +99,39 @@ def cut_scores(components: DataFrame, base: DataFrame, documents: DataFrame, fea
         F.avg("iou").alias("score"))
 
 
+def rule_scores(components: DataFrame, base: DataFrame, documents: DataFrame, features: Sequence[str], low: Sequence[float], high: Sequence[float]) -> DataFrame:
+    """Per document, the mean IoU under every drop rule of every feature: document_id, feature, side, cut, score.
+
+    A rule drops the components under a cut (side ``low``) or over it (``high``); the cuts are quantiles of the feature,
+    one more rule drops nothing (null cut). A component is put into the bin of the cuts it passes, and what each cut
+    drops are running sums over a query's few bins, so components meet no list of cuts.
+    """
+    from regionmatch.operators.ordering import exact_quantiles
+
+    c = F.col
+    long = components.unpivot(["query", "pos", "tot"], [c(f).cast("double").alias(f) for f in features], "feature", "value").filter("value is not null")
+    levels = [*low, *high]
+    cuts = exact_quantiles(long, ["feature"], "value", levels)
+    sides = {"low": F.slice("quantiles", 1, len(low)), "high": F.slice("quantiles", len(low) + 1, len(high))}
+    made = [F.struct(F.lit(n).alias("side"), F.array_sort(F.array_distinct(q)).alias("cuts")) for n, q in sides.items()]
+    cuts = cut_lineage(cuts.select("feature", F.inline(F.array(*made))))  # two rows a feature
+    placed = long.join(F.broadcast(cuts), "feature")
+    passed = F.size(F.filter("cuts", lambda v: F.when(c("side") == "low", v <= c("value")).otherwise(v < c("value"))))
+    most = max(len(low), len(high)) + 1
+    lost = lambda v: F.array(*[F.sum(F.when(c("_bin") == b, v).otherwise(0)) for b in range(most)])
+    sums = placed.withColumn("_bin", passed).groupBy("query", "feature", "side").agg(lost(c("pos")).alias("_p"), lost(c("tot") - c("pos")).alias("_n"))
+    some = base.filter(c("tp") + c("fn") > 0).select("query", "tp", "fp", "fn")
+    every = some.crossJoin(F.broadcast(cuts)).join(sums, ["query", "feature", "side"], "left")  # a constant number of rules a query
+    none = F.array_repeat(F.lit(0).cast("long"), most)
+    run = lambda a, i: F.aggregate(F.when(c("side") == "low", F.slice(a, 1, i + 1)).otherwise(F.slice(a, i + 2, most)), F.lit(0).cast("long"), lambda x, y: x + y)
+    every = every.withColumns({"_p": F.coalesce("_p", none), "_n": F.coalesce("_n", none)})
+    rules = F.transform("cuts", lambda v, i: F.struct(v.alias("cut"), run(c("_p"), i).alias("p"), run(c("_n"), i).alias("n")))
+    idle = F.struct(F.lit(None).cast("double").alias("cut"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
+    every = every.select("query", "feature", "side", "tp", "fp", "fn", F.inline(F.array_append(rules, idle)))
+    iou = ratio(c("tp") - c("p"), c("tp") + c("fn") + c("fp") - c("n"))
+    return every.withColumn("iou", iou).join(documents.select("query", "document_id"), "query").groupBy("document_id", "feature", "side", "cut").agg(F.avg("iou").alias("score"))
+
+
 def pooled_columns(labelled: DataFrame, names: Sequence[str], box_means: DataFrame) -> DataFrame:
     """Component means of map columns over all cells, also minus the query box mean."""
     m = labelled.filter("label is not null").groupBy("query", "label").agg(F.count("*").alias("cells"), *[F.avg(F.coalesce(F.col(n), F.lit(0.0))).alias(f"m_{n}") for n in names])

@@ -184,10 +184,40 @@ def cut_rule(spark, sf):
     return selection.nested_choice(long).withColumns({n: F.round(n, 6) for n in ("inner_score", "outer_score")})
 
 
+HIGH = tuple(0.02 + 0.08 * i for i in range(13))
+
+
+def cut_rules(spark, sf):
+    """Drop rules of two features on either side: cut picked on the other folds, scored on the held-out one."""
+    c, base, docs = _tables(spark, sf)
+    s = verify.rule_scores(c.filter(~F.col("is_query")), base, docs, ["score", "peak"], LEVELS, HIGH)
+    long = s.join(sampling.document_folds(fx.requests(spark, sf), 4), "document_id")
+    name = F.coalesce(F.format_string("%.6f", "cut"), F.lit("none"))
+    picked = selection.nested_choice(long.select("document_id", "fold", "feature", "side", name.alias("candidate"), "score"), ["feature", "side"])
+    return picked.withColumns({n: F.round(n, 6) for n in ("inner_score", "outer_score")})
+
+
+def ablation_delta(spark, sf):
+    """Each ablation against the full set on the same documents: mean difference, documents better and worse."""
+    from regionmatch.operators import compare
+
+    r = _rows(spark, sf)
+    folds, ious = _folds(r), {}
+    for name, feats in (("all", FEATURES), ("no_size", FEATURES[2:]), ("no_share", FEATURES[:3])):
+        o = models.out_of_fold(r, folds, lambda: models.logistic_head(feats), ["document_id", "pos"], 2)
+        c = metrics.threshold_counts(o, "p", (0.5,), ["document_id"]).withColumn("query", F.col("document_id"))
+        ious[name] = cut_lineage(metrics.threshold_ious(c).select("document_id", F.col("ious")[0].alias("document_iou")))
+    out = None
+    for name in ("no_size", "no_share"):
+        s = compare.better_worse(compare.document_delta(ious["all"], ious[name]), 1e-9).select(F.lit(name).alias("configuration"), "documents", F.round("mean_delta", 3).alias("mean_delta"), "better", "worse")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
 QUERIES = {f.__name__: f for f in (
     boosted_out_of_fold, logistic_out_of_fold, seed_bag, stacked_head, mined_head, ablation, gain_model, whitened_vectors,
     channel_moments, component_labels, component_gain, component_oracle, component_relative, verifier_weights,
-    verifier_model, cut_rule)}
+    verifier_model, cut_rule, cut_rules, ablation_delta)}
 
 
 _BASE = f"""WITH {fx.PIXELS}, {fx.REQUESTS},
@@ -220,6 +250,19 @@ ORACLE = {
     "verifier_weights": f"""{_BASE} SELECT 'gain' AS target, query, comp, CAST(gain <= 0 AS DOUBLE) AS label, round(abs(gain) * w + 1e-6, 9) AS weight FROM gw
       UNION ALL SELECT 'gaincap', query, comp, CAST(gain <= 0 AS DOUBLE), round(least(abs(gain), 0.1) * w + 1e-6, 9) FROM gw
       UNION ALL SELECT 'purity', query, comp, CAST(purity >= 0.5 AS DOUBLE), round(w * least(tot / mt, 10), 9) FROM gw""",
+    "cut_rules": f"""{_BASE}, lg AS (SELECT query, comp, pos, tot, unnest(['score', 'peak']) AS feature, unnest([score, CAST(peak AS DOUBLE)]) AS value FROM cm WHERE comp <> 0),
+      cuts AS (SELECT DISTINCT feature, 'low' AS side, unnest(quantile_cont(value, [{", ".join(f"{v!r}::DOUBLE" for v in LEVELS)}])) AS cut FROM lg GROUP BY feature
+        UNION SELECT feature, 'high', unnest(quantile_cont(value, [{", ".join(f"{v!r}::DOUBLE" for v in HIGH)}])) FROM lg GROUP BY feature),
+      alls AS (SELECT * FROM cuts UNION ALL SELECT DISTINCT feature, side, NULL FROM cuts),
+      ch AS (SELECT query, feature, side, cut, sum(pos) AS p, sum(tot - pos) AS n FROM lg JOIN cuts USING (feature) WHERE CASE side WHEN 'low' THEN value < cut ELSE value > cut END GROUP BY ALL),
+      dc AS (SELECT document_id, a.feature, a.side, coalesce(printf('%.6f', a.cut), 'none') AS candidate, avg((tp - coalesce(p, 0)) / CAST(tp + fn + fp - coalesce(n, 0) AS DOUBLE)) AS score
+        FROM (SELECT * FROM base, alls WHERE tp + fn > 0) a LEFT JOIN ch ON ch.query = a.query AND ch.feature = a.feature AND ch.side = a.side AND ch.cut = a.cut JOIN requests r ON r.query = a.query GROUP BY ALL),
+      folds AS (SELECT document_id, (row_number() OVER (ORDER BY md5('0:' || document_id), document_id) - 1) % 4 AS fold FROM (SELECT DISTINCT document_id FROM requests)),
+      df AS (SELECT fold, feature, side, candidate, score FROM dc JOIN folds USING (document_id)),
+      inn AS (SELECT f.fold, feature, side, candidate, avg(score) AS s FROM (SELECT DISTINCT fold FROM folds) f JOIN df ON df.fold <> f.fold GROUP BY ALL),
+      pick AS (SELECT * FROM inn QUALIFY row_number() OVER (PARTITION BY fold, feature, side ORDER BY round(s, 9) DESC, candidate) = 1)
+      SELECT pick.feature, pick.side, pick.fold, pick.candidate, round(any_value(s), 6) AS inner_score, round(avg(score), 6) AS outer_score, count(*) AS documents
+      FROM pick JOIN df ON df.fold = pick.fold AND df.feature = pick.feature AND df.side = pick.side AND df.candidate = pick.candidate GROUP BY ALL""",
     "cut_rule": f"""{_BASE}, cuts AS (SELECT DISTINCT unnest(quantile_cont(score, [{", ".join(f"{v!r}::DOUBLE" for v in LEVELS)}])) AS cut FROM cm UNION ALL SELECT '-inf'::DOUBLE),
       ch AS (SELECT query, cut, sum(pos) AS p, sum(tot - pos) AS n FROM cm, cuts WHERE comp <> 0 AND score < cut GROUP BY ALL),
       dc AS (SELECT document_id, printf('%.6f', cut) AS candidate, avg((tp - coalesce(p, 0)) / CAST(tp + fn + fp - coalesce(n, 0) AS DOUBLE)) AS score

@@ -85,6 +85,13 @@ def similarity_rank(spark, sf):
     return sim.with_rank(m, ["sim"]).select("query", "gy", "gx", F.round("sim_rank", 4).alias("sim_rank"))
 
 
+def value_channels(spark, sf):
+    """Clipped and ranked channels of the similarity map, stretched so that some values are cut."""
+    g, p = _protos(spark, sf)
+    m = sim.cosine_map(g, p, "proto").withColumn("sim", F.round(F.col("sim") * 20, 4))
+    return sim.value_channels(m, ["sim"]).select("query", "gy", "gx", F.round("sim_clip", 6).alias("sim_clip"), F.round("sim_rank", 4).alias("sim_rank"))
+
+
 def relative_similarity(spark, sf):
     """Similarity minus the query's own mean and minimum self-similarity."""
     g, p = _protos(spark, sf)
@@ -253,7 +260,7 @@ def compete(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     box_cells, prototype, robust_prototype, self_similarity, cosine_map, robust_cosine, exemplar_cosines, exemplar_lda,
-    similarity_rank, relative_similarity, spectrum_compare, histogram_compare, bhattacharyya, blob_compare,
+    similarity_rank, value_channels, relative_similarity, spectrum_compare, histogram_compare, bhattacharyya, blob_compare,
     texture_evidence, box_medians, quantile_table, bilinear, nearest_cell, regrid_labels, upsample2, zero_shot,
     alias_pairs, compete, image_moments)}
 
@@ -367,6 +374,10 @@ ORACLE = {
       tb AS (SELECT query, quantile_cont(sim, [{_RANKS}]) AS k FROM m GROUP BY query),
       b AS (SELECT m.*, k, len(list_filter(k, lambda e: e <= sim)) AS n FROM m JOIN tb USING (query))
       SELECT query, gy, gx, round(CASE WHEN n <= 0 THEN 0.0 WHEN n > 100 THEN 1.0 ELSE (n - 1 + (sim - k[n]) / (k[n + 1] - k[n])) / 100 END, 4) AS sim_rank FROM b""",
+    "value_channels": f"""{_BASE}, m AS (SELECT query, gy, gx, round(list_inner_product(vec, proto) * 20, 4) AS sim FROM u JOIN mp USING (image)),
+      tb AS (SELECT query, quantile_cont(sim, [{_RANKS}]) AS k FROM m GROUP BY query),
+      b AS (SELECT m.*, k, len(list_filter(k, lambda e: e <= sim)) AS n FROM m JOIN tb USING (query))
+      SELECT query, gy, gx, round(greatest(least(sim, 10), -10) / 4, 6) AS sim_clip, round(CASE WHEN n <= 0 THEN 0.0 WHEN n > 100 THEN 1.0 ELSE (n - 1 + (sim - k[n]) / (k[n + 1] - k[n])) / 100 END, 4) AS sim_rank FROM b""",
     "relative_similarity": f"""{_BASE} SELECT query, gy, gx, round(list_inner_product(vec, proto) - self_mean, 6) AS rm,
       round(list_inner_product(vec, proto) - self_min, 6) AS rmin FROM u JOIN mp USING (image) JOIN st USING (query)""",
     "image_moments": f"""WITH {fx.GRID}, e AS (SELECT image, gy, gx, i, vec[i + 1] AS v FROM grid, range(0, 64) t(i)),

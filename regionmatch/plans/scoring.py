@@ -136,6 +136,13 @@ def map_stats(spark, sf):
           for i, p in enumerate((10, 25, 50, 75))])
 
 
+def threshold_features(spark, sf):
+    """All label-free statistics of every map next to its best threshold; the query box is the cells of small quantity."""
+    b = metrics.best_threshold(_ious(spark, sf, SWEEP, "p_b"), SWEEP, MIDDLE).select("query", "document_id", "best_threshold", "gain")
+    f = metrics.threshold_features(fx.pixels(spark, sf), "p_b", F.col("quantity") <= 20, accept=0.3, least=2)
+    return b.join(f, "query").select("query", "document_id", "best_threshold", F.round("gain", 6).alias("gain"), *[F.round(n, 6).alias(n) for n in f.columns if n != "query"])
+
+
 def oracle_threshold_table(spark, sf):
     b = metrics.best_threshold(_ious(spark, sf, SWEEP, "p_b"), SWEEP, MIDDLE).filter(F.col("gain") >= 0.03)
     stats = metrics.accepted_stats(fx.pixels(spark, sf), "p_b", (0.5, 0.9))
@@ -291,7 +298,7 @@ def choose_threshold(spark, sf):
 QUERIES = {f.__name__: f for f in (
     confusion, query_metrics, doc_macro, pooled, rates, report, dev_score, count_contract, threshold_sweep,
     fine_threshold_sweep, select_threshold, threshold_oracle, oracle_headroom, top_gains, iou_gain_curve, map_stats,
-    oracle_threshold_table, prediction_diff, residual_stack, stored_logits, blend, paired_bootstrap, better_worse,
+    oracle_threshold_table, threshold_features, prediction_diff, residual_stack, stored_logits, blend, paired_bootstrap, better_worse,
     fold_delta, query_delta, fold_score, label_conflict, feature_auc, expected_counts, missing_predictions,
     incremental, merge_check, row_replay, nested_select, choose_threshold)}
 
@@ -416,6 +423,12 @@ ORACLE = {
       round(count(*) FILTER (p_b > 0.5) / CAST(count(*) AS DOUBLE), 6) AS share_50,
       round(count(*) FILTER (p_b > 0.9) / CAST(count(*) AS DOUBLE), 6) AS share_90 FROM pixels GROUP BY query) USING (query)
       WHERE gain >= 0.03""",
+    "threshold_features": _sweep_ctes("p_b", SWEEP) + ", st AS (SELECT query, "
+    + ", ".join(f"round(ln(count(*) FILTER (p_b > {t}) / CAST(count(*) AS DOUBLE) + 1e-6), 6) AS log_share_{int(round(t * 100)):02d}" for t in (0.1, 0.3, 0.5, 0.7, 0.9, 0.97)) + ", "
+    + ", ".join(f"round(CASE WHEN count(*) FILTER (p_b > 0.3) > 2 THEN quantile_cont(p_b, {p / 100}) FILTER (p_b > 0.3) ELSE 0 END, 6) AS q{p}" for p in (10, 25, 50, 75))
+    + """, round(avg(p_b) FILTER (quantity <= 20), 6) AS box_mean, round(quantile_cont(p_b, 0.1) FILTER (quantity <= 20), 6) AS box_p10,
+      round(ln(count(*) FILTER (p_b > 0.3) / nullif(CAST(count(*) FILTER (quantity <= 20) AS DOUBLE), 0) + 1e-3), 6) AS log_area_ratio FROM pixels GROUP BY query)
+      SELECT b.query, document_id, best_threshold, round(gain, 6) AS gain, st.* EXCLUDE (query) FROM best b JOIN st USING (query)""",
     "prediction_diff": f"{_BASE} SELECT query, count(*) AS changed FROM pixels WHERE (p_a > {CUT}) <> (p_b > {CUT}) GROUP BY query",
     "residual_stack": _sweep_ctes("p", SWEEP, f"""{_BASE}, lg AS (SELECT query, pos, least(greatest(p_a, 0.01), 0.99) AS a,
       least(greatest(p_b, 0.01), 0.99) AS b FROM pixels),

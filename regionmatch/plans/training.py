@@ -105,7 +105,7 @@ def two_stage_draws(spark, sf):
 
 
 def cross_fitted(spark, sf):
-    """Rows take the score of the model that did not see their document; leaks would be listed."""
+    """Rows take the score of the model that did not see their document."""
     folds = sampling.document_folds(fx.requests(spark, sf), 2).withColumnRenamed("fold", "own_fold")
     scores = fx.read(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("query"), (F.col("l_suppkey") % 2).alias("model_fold"), F.col("l_discount"))
@@ -114,6 +114,14 @@ def cross_fitted(spark, sf):
     return rows.join(scores, "query").filter("model_fold = own_fold").select("query", "own_fold", "score")
 
 
+def cross_fit_leaks(spark, sf):
+    """Rows that only models which saw their document have scored, with the number of such scores."""
+    folds = sampling.document_folds(fx.requests(spark, sf), 2).withColumnRenamed("fold", "own_fold")
+    scores = fx.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query"), (F.col("l_suppkey") % 2).alias("model_fold")).distinct()
+    rows = fx.requests(spark, sf).select("query", "document_id").join(folds, "document_id")
+    return sampling.cross_fit_leaks(rows, scores, "query")
+
+
 def column_families(spark, sf):
     """Families by name, with prefixes kept, dropped, blanked by a gate and turned absolute."""
     p = fx.pixels(spark, sf).groupBy("query").agg(
@@ -167,7 +175,7 @@ def input_limit(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     stratified_cap, uniform_cap, selected_cap, systematic, doc_folds, document_draws, inverse_size_weights, query_totals,
-    class_spread_weights, mixed_weights, hard_negatives, prior_kept, two_stage_draws, cross_fitted, column_families,
+    class_spread_weights, mixed_weights, hard_negatives, prior_kept, two_stage_draws, cross_fitted, cross_fit_leaks, column_families,
     against_query, derived_evidence, first_per_image, input_limit)}
 
 _BASE = f"WITH {fx.PIXELS}, {fx.REQUESTS}"
@@ -215,6 +223,8 @@ ORACLE = {
       SELECT draw, kind, document_id, query, pos, {draw_sql(5, 'draw', 5, 'CASE WHEN pos THEN n_pos ELSE n_neg END')} AS cell FROM d3""",
     "cross_fitted": f"""{_BASE}, f AS (SELECT document_id, (row_number() OVER (ORDER BY md5('0:' || document_id), document_id) - 1) % 2 AS own_fold FROM (SELECT DISTINCT document_id FROM requests))
       SELECT query, own_fold, round(max(l_discount), 6) AS score FROM requests JOIN f USING (document_id) JOIN lineitem ON l_orderkey = query AND l_suppkey % 2 = own_fold GROUP BY ALL""",
+    "cross_fit_leaks": f"""{_BASE}, f AS (SELECT document_id, (row_number() OVER (ORDER BY md5('0:' || document_id), document_id) - 1) % 2 AS own_fold FROM (SELECT DISTINCT document_id FROM requests))
+      SELECT query, document_id, own_fold, count(DISTINCT l_suppkey % 2) AS seen FROM requests JOIN f USING (document_id) JOIN lineitem ON l_orderkey = query GROUP BY ALL HAVING NOT bool_or(l_suppkey % 2 = own_fold)""",
     "column_families": f"""{_BASE} SELECT query, round(max(p_a), 6) AS ncc_best, round(min(p_b) - 0.4, 6) AS s2_ed, round(CASE WHEN max(p_a) >= 0.5 THEN avg(quantity) END, 6) AS mean4,
       round(abs(min(p_b) - 0.4), 6) AS abs_s2_ed FROM pixels GROUP BY query""",
     "against_query": f"""{_BASE}, t AS (SELECT query, document_id, avg(p_a) AS tone FROM pixels JOIN requests USING (query) GROUP BY ALL)

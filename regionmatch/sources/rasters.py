@@ -49,11 +49,35 @@ def rows_of(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "h", "w", "y", "n", line.alias("line"))
 
 
+STRIP = 64
+
+
+def strips_of(spark: SparkSession, path: str, lines: int = STRIP) -> DataFrame:
+    """One row per strip of raster lines: path, h, w, top, n (channels) and the strip's bytes as they are stored."""
+    i = spark.read.format("image").load(path).select("image.*")
+    i = i.select(F.col("origin").alias("path"), F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("n"), "data")
+    tops = i.withColumn("top", F.explode(F.sequence(F.lit(0), F.col("h") - 1, F.lit(lines))))
+    line = F.col("w") * F.col("n")
+    return tops.select("path", "h", "w", "top", "n", F.substring(F.col("data"), F.col("top") * line + 1, F.lit(lines) * line).alias("strip"))
+
+
 def cells_of(spark: SparkSession, path: str) -> DataFrame:
     """Gray cells; a one-bit file is stored by the source in three equal channels, of which the first is used."""
-    r = rows_of(spark, path).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-    gray = F.conv(F.hex(F.substring(F.col("line"), F.col("x") * F.col("n") + 1, F.lit(1))), 16, 10).cast("int")
-    return r.select("path", "h", "w", "y", "x", gray.alias("gray"))
+    def decode(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h, w, top, n = (batch.column(k)[i].as_py() for k in ("h", "w", "top", "n"))
+                gray = np.frombuffer(batch.column("strip")[i].as_buffer(), np.uint8)[::n]
+                y, x = np.divmod(np.arange(len(gray), dtype=np.int32), w)
+                name = pa.array([batch.column("path")[i].as_py()] * len(gray), pa.string())
+                size = [pa.array(np.full(len(gray), v, np.int32)) for v in (h, w)]
+                yield pa.RecordBatch.from_arrays([name, *size, pa.array(y + top), pa.array(x), pa.array(gray.astype(np.int32))], names=["path", "h", "w", "y", "x", "gray"])
+
+    strips = strips_of(spark, path)
+    return strips.repartition("path", "top").mapInArrow(decode, "path string, h int, w int, y int, x int, gray int")
 
 
 def binary_masks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
