@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from regionmatch.operators import components, contracts, domains, grid, metrics, models, points, sampling, selection, texture, verify
+from regionmatch.operators import components, contracts, domains, evidence, grid, metrics, models, points, sampling, selection, texture, verify
 from regionmatch.operators import similarity as sim
 from regionmatch.operators.ordering import exact_quantiles, unit_bucket
 from regionmatch.plans import fixtures as fx
@@ -154,9 +154,7 @@ def feature_rows(cells: DataFrame, vector_grids: Sequence[tuple[DataFrame, float
                                 dom.cast("double").alias(f"qb{r}_dom")), "query")
 
     out = cut_lineage(out)
-    half = grid.block_means(cells, {"gray": c("gray")}, 2)
-    half_boxes = where.select("query", "image", *[F.bround(c(n) / 2).cast("int").alias(n) for n in ("x0", "y0")],
-                              *[F.greatest(F.bround(c(n) / 2), F.bround(c(m) / 2) + 1).cast("int").alias(n) for n, m in (("x1", "x0"), ("y1", "y0"))])
+    half, half_boxes = half_size(cells, where)
     ncc, self_scores = texture.correlation_bundle(half, half_boxes, down=DOWN // 2)
     names = ["ncc_c", "ncc_rot", "ncc_best", "ncc_max", "ncc_med", "ncc_cblur"]
     ncc = cut_lineage(ncc.select("query", "h", "w", "y", "x", *names))
@@ -169,6 +167,23 @@ def feature_rows(cells: DataFrame, vector_grids: Sequence[tuple[DataFrame, float
     return out.join(where.select("query", (c("x1") - c("x0")).alias("qw"), (c("y1") - c("y0")).alias("qh")), "query")
 
 
+def half_size(cells: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drawings and query boxes at half size; a box keeps at least one pixel."""
+    c = F.col
+    where = boxes.select("query", "image", *[F.bround(c(n) / 2).cast("int").alias(n) for n in ("x0", "y0")],
+                         *[F.greatest(F.bround(c(n) / 2), F.bround(c(m) / 2) + 1).cast("int").alias(n) for n, m in (("x1", "x0"), ("y1", "y0"))])
+    return grid.block_means(cells, {"gray": c("gray")}, 2), where
+
+
+def design_rows(rows: DataFrame, cells: DataFrame, boxes: DataFrame, window: int = 64, stride: int = 16, edges: Sequence[float] = texture.PERIOD_EDGES) -> DataFrame:
+    """Feature rows (of ``feature_rows``) with the raw evidence of their points and what is derived from both."""
+    half, half_boxes = half_size(cells, boxes)
+    turns = evidence.turn_maps(half, half_boxes, DOWN // 2, texture.ROTATED_SIDE)
+    energy = texture.spectra(cells, window, stride, edges).withColumnsRenamed({"gh": "h", "gw": "w", "gy": "y", "gx": "x"})
+    raw = evidence.evidence_rows(rows.select("query", "image", "py", "px"), cells, boxes, energy, float(stride), turns, DOWN)
+    return sim.derived_evidence(rows.join(cut_lineage(raw).drop("image"), ["query", "py", "px"]))
+
+
 def _ln(v: float) -> float:
     import math
 
@@ -212,7 +227,9 @@ def _features(spark, sf):
     px = cut_lineage(fx.px(spark, sf))
     b = fx.boxes(spark, sf)
     pts = grid_points(px, b)
-    rows = feature_rows(px, _vector_grids(spark, sf), b, pts, spectrum=((1, 16, 8), (2, 16, 8)), edges=(1, 2, 2.83, 4, 5.66, 8, 16.01))
+    edges = (1, 2, 2.83, 4, 5.66, 8, 16.01)
+    rows = cut_lineage(feature_rows(px, _vector_grids(spark, sf), b, pts, spectrum=((1, 16, 8), (2, 16, 8)), edges=edges))
+    rows = design_rows(rows, px, b, 16, 8, edges)
     # The target: the coarse cell is brighter than the drawing's usual tone.
     tone = px.groupBy("image", F.floor(F.col("y") / DOWN).alias("y"), F.floor(F.col("x") / DOWN).alias("x")).agg((F.avg("gray") > 127).alias("pos"))
     return px, b, rows.join(tone, ["image", "y", "x"])

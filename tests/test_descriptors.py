@@ -26,15 +26,15 @@ def plain_scores(a, t, pool):
 @pytest.mark.parametrize("tile, down", [(16, 1), (32, 2), (128, 4)])
 def test_correlation_equals_sliding_windows(spark, tile, down):
     rng = np.random.default_rng(2)
-    a = rng.integers(0, 256, (45, 51))
+    a = rng.integers(0, 256, (37, 43))
     a[:12, :20] = 77  # flat windows score zero
     px = cells(spark, a, rng.integers(0, 256, (30, 33)))
-    boxes = spark.createDataFrame([(0, 5, 10, 14, 36, 40), (0, 6, 1, 1, 8, 7), (1, 7, 2, 3, 30, 28)], "image int, query int, x0 int, y0 int, x1 int, y1 int")
+    boxes = spark.createDataFrame([(0, 5, 10, 8, 36, 34), (0, 6, 1, 1, 8, 7), (1, 7, 2, 3, 30, 28)], "image int, query int, x0 int, y0 int, x1 int, y1 int")
     shapes = texture.templates(px, boxes)
     got = texture.correlate(px, shapes, 40, tile=tile, down=down, block=2)
     for s in shapes.filter("image = 0").collect():
         full = plain_scores(a / 255.0, np.array(s.t).reshape(s.th, s.tw), s.pool)
-        want = np.array([[full[y:y + down, x:x + down].mean() for x in range(0, 51, down)] for y in range(0, 45, down)])
+        want = np.array([[full[y:y + down, x:x + down].mean() for x in range(0, 43, down)] for y in range(0, 37, down)])
         own = array_of(got.filter((F.col("query") == s["query"]) & (F.col("variant") == s["variant"])), "ncc")
         assert own.shape == want.shape and np.abs(own - want).max() < 1e-9, (s["query"], s["variant"])
 
@@ -147,7 +147,7 @@ def test_rules_of_both_sides_equal_dropping(spark):
                     p, n = sum(r[3] for r in gone), sum(r[2] - r[3] for r in gone)
                     ious.setdefault(q // 3, []).append((tp - p) / (tp + fn + fp - n))
                 for d, v in ious.items():
-                    want[d, name, side, None if cut is None else round(float(cut), 9)] = np.mean(v)
+                    want[d, name, side, None if cut is None else round(float(cut), 9)] = float(np.mean(v))
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     scores = spark.createDataFrame([(d, d % 2, f, s, str(x), v) for (d, f, s, x), v in want.items()], "document_id int, fold int, feature string, side string, candidate string, score double")
     picked = selection.nested_choice(scores, ["feature", "side"])
@@ -182,7 +182,7 @@ def test_pooled_vectors_of_several_grids(spark):
     fine = spark.createDataFrame([(0, 8, 8, y, x, [float(y), float(x)]) for y in range(8) for x in range(8)], "image int, gh int, gw int, gy int, gx int, vec array<double>")
     coarse = spark.createDataFrame([(0, 2, 2, y, x, [float(10 * y + x)]) for y in range(2) for x in range(2)], "image int, gh int, gw int, gy int, gx int, vec array<double>")
     got = {r.label: (r.a, r.b) for r in descriptors.pooled_vectors(labelled, {"a": (fine, 4.0), "b": (coarse, 16.0)}, 4.0).collect()}
-    assert got == {10: ([3.5, 1.5], [5.0]), 20: ([7.0, 7.0], None)}
+    assert got.keys() == {10, 20} and got[20] == ([7.0, 7.0], None) and np.abs(np.array(got[10][0] + got[10][1]) - [3.5, 1.5, 5.0]).max() < 1e-12
 
 
 def test_steered_evidence_equals_the_map_against_the_query(spark):
