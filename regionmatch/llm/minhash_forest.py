@@ -212,12 +212,12 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return written(pairs.join(one, "a", "left").join(two, "b", "left").filter(~F.coalesce(F.col("in_a") == F.col("in_b"), F.lit(False))).select("a", "b"))
 
 
-def _counted(groups: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, block: int) -> DataFrame:
+def _counted(groups: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
     """(a, b, n) from all pairs of each group, verified on whole shingle sets: without b, a has n linked rows in
     a pair of blocks; with b, the two are linked. The links given are those that join the linked nodes."""
     held = written(groups.join(nodes.select("node", "copies", "size").hint("merge"), "node"))
     per = written(held.groupBy("class").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / SHINGLES)).alias("parts")))
-    held = held.join(per.hint("merge"), "class").join(_sets_of(docs, nodes, groups.select("node")).hint("merge"), "node")
+    held = held.join(per.hint("merge"), "class").join(sets.hint("merge"), "node")
 
     @t.lean
     def run(table: pa.Table) -> pa.Table:
@@ -258,7 +258,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
         for rows, data, offsets in t.slices(batches, "text"):
             yield pa.RecordBatch.from_pydict({"node": rows.column(0), "shingles": pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())})
 
-    first = nodes.select("node", "first.*").join(wanted.hint("merge"), "node").hint("merge")
+    first = nodes.select("node", "first.*").join(wanted.hint("merge"), "node")
     found = docs.join(first, ["doc", "body"]).select("node", "text").mapInArrow(run, "node long, shingles binary")
     return written(found.groupBy("node").agg(F.max("shingles").alias("shingles")))
 
@@ -277,13 +277,11 @@ def _dealt(near: DataFrame, block: int, buckets: int) -> DataFrame:
     return written(near.select("a", "b").join(one, "a").join(two, "b").select("a", "b", key.alias("bucket")))
 
 
-def _verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+def _verified(near: DataFrame, sets: DataFrame, threshold: float, buckets: int, block: int = 256) -> DataFrame:
     """The pairs whose whole shingle sets reach the threshold."""
-    wanted = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    n = wanted.count()
-    pairs = _dealt(near, block, max(64, n // 1000))
+    pairs = _dealt(near, block, buckets)
     need = pairs.select(F.col("bucket").alias("deal"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = need.join(_sets_of(docs, nodes, wanted).hint("merge"), "node").select("deal", "node", "shingles")
+    sets = need.join(sets.hint("merge"), "node").select("deal", "node", "shingles")
 
     @t.lean
     def run(own: pa.Table, with_sets: pa.Table) -> pa.Table:
@@ -340,11 +338,13 @@ def _joined_texts(keyed: DataFrame, threshold: float, recall: float, leaf: int,
         F.min(F.struct("doc", "body")).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")))
     pairs, large = candidates(nodes, threshold, recall, leaf)
     small = _short(nodes)
-    counted = None
-    if large.take(1):
-        groups = _groups(large, small, threshold, signed_block)
-        pairs, counted = _apart(pairs, groups), _counted(groups, nodes, keyed, threshold, whole_block)
-    links = _verified(_estimated(pairs, small, threshold), nodes, keyed, threshold)
+    groups = _groups(large, small, threshold, signed_block) if large.take(1) else None
+    near = _estimated(pairs if groups is None else _apart(pairs, groups), small, threshold)
+    ends = near.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = written((ends if groups is None else ends.unionByName(groups.select("node"))).distinct())
+    sets = _sets_of(keyed, nodes, wanted)  # read once for both verifications
+    counted = None if groups is None else _counted(groups, nodes, sets, threshold, whole_block)
+    links = _verified(near, sets, threshold, max(64, wanted.count() // 1000))
     named = classes(links if counted is None else written(links.unionByName(counted.filter("b is not null").select("a", "b")).distinct()))
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     many = nodes.select(F.col("node").alias("b"), "copies").hint("merge")
