@@ -14,7 +14,7 @@ HEADLINE = (
     "report", "fine_threshold_sweep", "feature_auc", "paired_bootstrap", "stratified_cap", "run_confusion", "region_report", "cell_fractions",
     "block_mean", "box_mean", "paper_tone", "gaussian", "gradient", "components4", "post_process", "component_ranks", "bilinear", "cosine_map",
     "exemplar_cosines", "exemplar_lda", "similarity_rank", "zero_shot", "compete", "spectra", "correlation", "blob_maps", "manifest_violations",
-    "correlation_bundle", "rotation_bundle",
+    "correlation_bundle", "rotation_bundle", "region_descriptors", "evidence_row",
 )
 
 
