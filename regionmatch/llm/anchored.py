@@ -5,7 +5,9 @@ smallest k-gram by hash, so equal windows have equal anchors at equal places. Ne
 share their anchor; such a run of windows is a segment. Segments are what is dealt out:
 
 1. ``deal``: every segment goes to a bucket by its anchor as numbers only (anchor, hash of its tokens,
-   document, place). Blocks of a slice's segments travel as packed arrays.
+   document, place). Blocks of a slice's segments travel as packed arrays. Of equal segments of a slice only the
+   earliest is dealt by its anchor; the others are repeats already and are dealt by their documents, so a passage
+   that very many documents share sends one segment a slice.
 2. ``compare``: in a bucket, equal segments are settled by their numbers: all but the earliest are
    repeats. Where an anchor has different segments, the earliest of each is asked for its tokens.
 3. ``fetch``: the asked tokens are read from their documents and dealt by anchor, or, where an anchor has
@@ -24,6 +26,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ from regionmatch.llm.staging import written
 
 _PLACE = 22
 BUCKET_BYTES = 16 << 20
-LEAST_BUCKETS = 64
+LEAST_BUCKETS = 128
 HOT = 20_000
 LAST = (1 << 63) - 1
 
@@ -115,13 +118,23 @@ def _pack(which: np.ndarray, groups: int, ids, crcs, row, first, count, anchor,
         out["runs"].append(squeeze(np.diff(np.append(head, len(r))).astype(np.uint32)))
         out["first"].append(squeeze(first[o].astype(np.uint32)))
         out["count"].append(squeeze(count[o].astype(np.uint32)))
-        out["anchor"].append(anchor[o].tobytes())
-        out["seg"].append(seg[o].tobytes())
+        out["anchor"].append(None if anchor is None else anchor[o].tobytes())
+        out["seg"].append(None if seg is None else seg[o].tobytes())
     return pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), **{n: pa.array(out[n], pa.binary()) for n in list(out)[1:]}})
 
 
-def deal(docs: DataFrame, tokenize: Tokenize, width: int, k: int, buckets: int, limit: int) -> DataFrame:
-    """Packed segments of all documents by bucket."""
+def later_copies(anchor, seg, doc, crc, first, across: bool) -> np.ndarray:
+    """Which segments of a slice repeat an earlier equal one of the slice, by the rule of ``settle``."""
+    order = np.lexsort((first, crc, doc, seg, anchor))
+    a, s, d, c, f = anchor[order], seg[order], doc[order], crc[order], first[order]
+    lead = np.maximum.accumulate(np.where(_heads(a, s), np.arange(len(a)), 0))
+    gone = np.empty(len(a), bool)
+    gone[order] = d > d[lead] if across else (d != d[lead]) | (c != c[lead]) | (f != f[lead])
+    return gone
+
+
+def deal(docs: DataFrame, tokenize: Tokenize, width: int, k: int, buckets: int, limit: int, across: bool) -> DataFrame:
+    """Packed segments of all documents by bucket; without anchors those that a slice has settled as repeats."""
 
     def run(batches):
         for rows, data, offsets in t.slices(batches, "text", limit):
@@ -131,13 +144,23 @@ def deal(docs: DataFrame, tokenize: Tokenize, width: int, k: int, buckets: int,
                 continue
             ids, crcs = rows.column(0).to_numpy(), rows.column(1).to_numpy()
             r = row[first]
-            yield _pack((t.mix(anchor) % t.U(buckets)).astype(np.int64), buckets, ids, crcs, r, first - base[r], count, anchor, seg)
+            place = first - base[r]
+            gone = later_copies(anchor, seg, ids[r], crcs[r], place, across)
+            live, gone = np.flatnonzero(~gone), np.flatnonzero(gone)
+            yield _pack((t.mix(anchor[live]) % t.U(buckets)).astype(np.int64), buckets, ids, crcs, r[live], place[live], count[live], anchor[live], seg[live])
+            if len(gone):
+                which = (t.mix(ids[r[gone]].astype(np.int64).view(np.uint64)) % t.U(buckets)).astype(np.int64)
+                yield _pack(which, buckets, ids, crcs, r[gone], place[gone], count[gone], None, None)
 
     return docs.select("doc", "crc", "text").mapInArrow(run, _PACK)
 
 
 def unpack(table: pa.Table) -> dict[str, np.ndarray]:
-    cols = {n: table.column(n).to_pylist() for n in table.column_names if n != "bucket"}
+    """The entries of packed rows; anchors and hashes of rows that have none are empty."""
+    cols = {n: [b for b in table.column(n).to_pylist() if b is not None] for n in table.column_names if n != "bucket"}
+    if not table.num_rows:
+        kinds = {"doc": np.int64, "crc": np.uint32, "first": np.uint32, "count": np.uint32, "anchor": np.uint64, "seg": np.uint64}
+        return {n: np.empty(0, kind) for n, kind in kinds.items()}
     runs = np.concatenate([expand(b, np.uint32) for b in cols["runs"]])
     return {
         "doc": np.repeat(np.concatenate([expand(b, np.int64) for b in cols["docs"]]), runs),
@@ -210,14 +233,17 @@ def compare(dealt: DataFrame, across: bool, hot: int) -> DataFrame:
 
     @t.lean
     def run(table: pa.Table) -> pa.Table:
-        p = unpack(table)
+        settled = pc.is_null(table.column("anchor"))
+        early, p = unpack(table.filter(settled)), unpack(table.filter(pc.invert(settled)))
         gone, mode = settle(p, across, hot)
         keep = np.flatnonzero(gone | (mode > 0))
-        spans, asks = np.zeros(len(keep), SPAN), np.zeros(len(keep), ASK)
-        spans["first"], spans["count"] = p["first"][keep], np.where(gone[keep], p["count"][keep], 0)
-        asks["anchor"], asks["first"], asks["mode"] = p["anchor"][keep], p["first"][keep], mode[keep]
-        asks["count"] = np.where(mode[keep] > 0, p["count"][keep], 0)
-        return _by_document(p["doc"][keep], p["crc"][keep], spans, asks)
+        n = len(keep)
+        spans, asks = np.zeros(n + len(early["doc"]), SPAN), np.zeros(n + len(early["doc"]), ASK)
+        spans["first"][:n], spans["count"][:n] = p["first"][keep], np.where(gone[keep], p["count"][keep], 0)
+        spans["first"][n:], spans["count"][n:] = early["first"], early["count"]
+        asks["anchor"][:n], asks["first"][:n], asks["mode"][:n] = p["anchor"][keep], p["first"][keep], mode[keep]
+        asks["count"][:n] = np.where(mode[keep] > 0, p["count"][keep], 0)
+        return _by_document(np.concatenate([p["doc"][keep], early["doc"]]), np.concatenate([p["crc"][keep], early["crc"]]), spans, asks)
 
     return dealt.groupBy("bucket").applyInArrow(run, _ASKED)
 
@@ -283,7 +309,7 @@ def mask(size: int, spans: list[bytes], width: int) -> np.ndarray:
 def repeated_windows(docs: DataFrame, tokenize: Tokenize, token_kind, find: Resolve, width: int, k: int, across: bool, limit: int, hot: int = HOT) -> DataFrame:
     """(doc, crc, spans): packed spans of every document's windows that repeat an earlier window."""
     buckets = bucket_count(docs)
-    asked = written(compare(deal(docs, tokenize, width, k, buckets, limit), across, hot))
+    asked = written(compare(deal(docs, tokenize, width, k, buckets, limit, across), across, hot))
     found = written(resolve(fetch(docs, asked, tokenize, token_kind, width, buckets, limit), width, token_kind, find))
     every = asked.select("doc", "crc", "gone").unionByName(found.select("doc", "crc", "gone"))
     return every.filter(F.length("gone") > 0).groupBy("doc", "crc").agg(F.collect_list("gone").alias("spans"))
