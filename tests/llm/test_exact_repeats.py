@@ -89,6 +89,17 @@ def test_byte_repeats(spark, rows, hot):
     assert got == brute_bytes(rows) and sum(r[2] for r in got) > 5000
 
 
+@pytest.mark.parametrize("limit", [1, 3000])
+def test_repeats_across_slices(spark, rows, monkeypatch, limit):
+    """Slices of one row, which settle nothing by themselves, and of some rows give what whole partitions give."""
+    monkeypatch.setattr(suffix_trees, "SLICE", limit)
+    monkeypatch.setattr(bwt_merge, "SLICE", limit)
+    got = suffix_trees.dedup_words(_table(spark, rows)).collect()
+    assert sorted((_key(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_words(rows)
+    got = bwt_merge.dedup_bytes(_table(spark, rows)).collect()
+    assert sorted((_key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_bytes(rows)
+
+
 def test_cut_repeats_keeps_columns_and_untouched_texts(spark, rows):
     docs = spark.createDataFrame([(d, x, None if x is None else len(x), "s") for d, x in rows], "doc_id long, text string, n_chars long, source string")
     got = suffix_trees.cut_repeats(docs)
