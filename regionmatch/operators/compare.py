@@ -22,11 +22,13 @@ def document_delta(a: DataFrame, b: DataFrame, key: str = "document_id", value:
 
 
 def better_worse(deltas: DataFrame, eps: float) -> DataFrame:
+    """Documents that moved by more than ``eps``; a delta counts at nine decimals, so one of exactly ``eps`` is neither."""
+    delta = F.round("delta", 9)
     return deltas.agg(
         F.count("*").alias("documents"),
         F.avg("delta").alias("mean_delta"),
-        F.count_if(F.col("delta") > eps).alias("better"),
-        F.count_if(F.col("delta") < -eps).alias("worse"),
+        F.count_if(delta > eps).alias("better"),
+        F.count_if(delta < -eps).alias("worse"),
     )
 
 

@@ -443,7 +443,7 @@ ORACLE = {
       means AS (SELECT b, sum(n * delta) / sum(n) AS m FROM drawn GROUP BY b)
       SELECT count(*) AS replicates, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM means""",
     "better_worse": f"{_DELTA} SELECT count(*) AS documents, round(avg(delta), 6) AS mean_delta, "
-    "count(*) FILTER (delta > 0.005) AS better, count(*) FILTER (delta < -0.005) AS worse FROM delta",
+    "count(*) FILTER (round(delta, 9) > 0.005::DOUBLE) AS better, count(*) FILTER (round(delta, 9) < -0.005::DOUBLE) AS worse FROM delta",
     "fold_delta": f"{_DELTA} SELECT fold, count(*) AS documents, round(avg(delta), 6) AS mean_delta FROM delta JOIN folds USING (document_id) GROUP BY fold",
     "query_delta": f"""{_DELTA} SELECT query, round(a.iou, 6) AS base, round(b.iou, 6) AS candidate, round(b.iou - a.iou, 6) AS delta
       FROM (FROM ma WHERE iou IS NOT NULL) a FULL JOIN (FROM mb WHERE iou IS NOT NULL) b USING (query)
