@@ -418,7 +418,7 @@ ORACLE = {
       count(*) AS points, CAST(sum(px.x) AS BIGINT) AS sum_px FROM px GROUP BY 1, 2, 3""",
     "regrid_labels": f"""{_TONE}, c AS (SELECT DISTINCT image, h, w FROM s)
       SELECT image, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, CAST(least(floor((gy + 0.5) * 14 / 4), h - 1) * 100 + least(floor((gx + 0.5) * 14 / 4), w - 1) AS INT) AS label
-      FROM c, range(0, 200) a(gy), range(0, 20) b(gx) WHERE gy < ceil(h * 4 / 14.0) AND gx < ceil(w * 4 / 14.0)""",
+      FROM (SELECT *, unnest(range(0, CAST(ceil(w * 4 / 14.0) AS BIGINT))) AS gx FROM (SELECT *, unnest(range(0, CAST(ceil(h * 4 / 14.0) AS BIGINT))) AS gy FROM c))""",
     "upsample2": f"""{_TONE}, pts AS (SELECT image, h AS gh, w AS gw, y * 2 + dy AS py, x * 2 + dx AS px FROM s, range(0, 2) a(dy), range(0, 2) b(dx)),
       {bilinear_sql('pts', 's', 2.0, 'image', 'v', 'b')} SELECT image, CAST(py AS INT) AS y, CAST(px AS INT) AS x, round(bil, 6) AS v FROM b""",
     "zero_shot": f"""{_BASE}, px AS (SELECT image, y AS py, CAST(i - 1 AS INT) AS px, CAST(floor((CAST(embedding[i] AS DOUBLE) + 1) * 127.5) AS INT) > 140 AS pos

@@ -46,3 +46,7 @@ def test_an_average_on_the_cut_does_not_depend_on_the_order_of_its_sum(spark, tm
     sf = tables(tmp_path, lineitem=li)
     row = registry.QUERIES["derived_evidence"](spark, sf).first()
     assert row["ev_min1"] != 0.3 and equals_sql(spark, "derived_evidence", sf) == "ok 1"
+
+
+def test_regridded_labels_of_a_tall_raster(spark, tmp_path):
+    assert equals_sql(spark, "regrid_labels", tables(tmp_path, embeddings=one_image(spark, 2900))) == f"ok {208 * 5}"
