@@ -93,7 +93,11 @@ _BLOB = labelled_sql(_INK, "ink", "ink", eight=True) + """, bl AS (SELECT image,
 
 _CELLS9 = [(n, i) for n in ("cnt", "area", "shape") for i in (0, 1, 2)]
 
-_SPECTRUM = f"""cl AS (SELECT DISTINCT image, gy, gx FROM (SELECT image, h, w FROM px), range(0, 100) a(gy), range(0, 16) b(gx) WHERE gy < ceil(h / 4.0)),
+_WINDOWS = "cl AS (SELECT DISTINCT image, gy, gx FROM (SELECT image, h, w FROM px), range(0, 100) a(gy), range(0, 16) b(gx) WHERE gy < ceil(h / 4.0)),"
+#: The same windows for rasters of any height.
+_ALL_WINDOWS = """cl AS (SELECT *, unnest(range(0, CAST(ceil(w / 4.0) AS BIGINT))) AS gx FROM (SELECT image, w, unnest(range(0, CAST(ceil(h / 4.0) AS BIGINT))) AS gy
+        FROM (SELECT DISTINCT image, h, w FROM px))),"""
+_SPECTRUM = f"""{_WINDOWS}
       wn AS (SELECT cl.image, gy, gx, wy, wx, coalesce(gray / 255.0::DOUBLE, 1.0::DOUBLE) AS v FROM cl, range(0, 8) a(wy), range(0, 8) b(wx)
         LEFT JOIN px ON px.image = cl.image AND px.y = gy * 4 - 2 + wy AND px.x = gx * 4 - 2 + wx),
       hn AS (SELECT image, gy, gx, wy, wx, (v - avg(v) OVER (PARTITION BY image, gy, gx)) * (0.5 - 0.5 * cos(2 * pi() * wy / 7)) * (0.5 - 0.5 * cos(2 * pi() * wx / 7)) AS v FROM wn),
@@ -111,7 +115,7 @@ def loge_sql(out):
 
 
 ORACLE = {
-    "spectra": f"""{_PX}, {_SPECTRUM}
+    "spectra": f"""{_PX}, {_SPECTRUM.replace(_WINDOWS, _ALL_WINDOWS)}
       SELECT image, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, round(ln(any_value(t) + 1e-4), 5) AS loge,
         {", ".join(f"round(coalesce(sum(p) FILTER (b = {i}), 0) / (any_value(t) + 1e-6), 5) AS d{i}" for i in range(32))}
       FROM bn JOIN tt USING (image, gy, gx) GROUP BY image, gy, gx""",

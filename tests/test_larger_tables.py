@@ -50,3 +50,7 @@ def test_an_average_on_the_cut_does_not_depend_on_the_order_of_its_sum(spark, tm
 
 def test_regridded_labels_of_a_tall_raster(spark, tmp_path):
     assert equals_sql(spark, "regrid_labels", tables(tmp_path, embeddings=one_image(spark, 2900))) == f"ok {208 * 5}"
+
+
+def test_spectra_of_a_tall_raster(spark, tmp_path):
+    assert equals_sql(spark, "spectra", tables(tmp_path, embeddings=one_image(spark, 450))) == f"ok {113 * 16}"
