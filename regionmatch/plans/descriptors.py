@@ -19,6 +19,13 @@ TONE = {"mean4": "v", "std4": "abs(v - 0.5)", "ink4": "v * v", "bg4": "1 - v", "
         "mean12": "sqrt(v)", "paper12": "v * v * v", "ink12": "floor(v * 50)"}
 
 
+def _tone(spark, sf):
+    """Maps of the coarse rasters. Whole grays are averaged before they are scaled: such a mean is exact, so no order of sums
+    moves it past a cut of ``TONE``."""
+    v = grid.block_means(fx.px(spark, sf), {"v": F.col("gray")}, 4).withColumn("v", F.col("v") / 255.0)
+    return v.withColumns({n: F.expr(e).cast("double") for n, e in TONE.items()})
+
+
 def region_descriptors(spark, sf):
     """All 35 descriptors of the accepted components; spectra, size classes and vectors are read from the vector grid."""
     c = F.col
@@ -32,7 +39,7 @@ def region_descriptors(spark, sf):
     part = lambda first: descriptors.Vectors(cut_lineage(sim.normalized(g.select(*at, F.transform(F.slice("vec", first, 2), lambda v: v.cast("double")).alias("vec")))), 8.0)
     blobs = {r: (s.select(*at, F.slice("desc", a, 7).alias("cnt"), F.slice("desc", a + 7, 7).alias("area")), 8.0) for r, a in ((6, 1), (16, 15))}
     spectra = [descriptors.Spectrum(s, 8.0, 8, 8), descriptors.Spectrum(s.withColumn("desc", F.slice("desc", 1, 32)), 8.0, 4, 8)]
-    tone = grid.block_means(fx.px(spark, sf), {"v": F.col("gray") / 255.0}, 4).withColumns({n: F.expr(e).cast("double") for n, e in TONE.items()})
+    tone = _tone(spark, sf)
     tone = cut_lineage(tone.withColumnsRenamed({"h": "gh", "w": "gw", "y": "gy", "x": "gx"}))
     out = descriptors.region_descriptors(lab, fx.boxes(spark, sf), spectra, blobs, [part(1), part(3)], tone, list(TONE), 4, 2.0)
     return out.select("query", "label", *[F.round(n, 5).alias(n) for n in out.columns if n.startswith("r_")])
@@ -165,7 +172,7 @@ def _descriptor_sql():
   pool AS (SELECT query, label, f, list(m ORDER BY i) AS v FROM (SELECT query, label, f, i, avg(x) AS m FROM cl JOIN el USING (image, gy, gx) GROUP BY ALL) GROUP BY ALL),
   qv AS (SELECT query, f, list(m ORDER BY i) AS v FROM (SELECT query, f, i, avg(x) AS m FROM bc JOIN el USING (image, gy, gx) GROUP BY ALL) GROUP BY ALL),
   {", ".join(froms)},
-  {block_sql('px', {'v': 'gray / 255.0::DOUBLE'}, 'tb')}, tn AS (SELECT image, h AS gh, w AS gw, y AS gy, x AS gx, {tone} FROM tb), ts AS (SELECT DISTINCT image, gh, gw FROM tn),
+  {block_sql('px', {'v': 'gray'}, 'tb')}, tn AS (SELECT image, h AS gh, w AS gw, y AS gy, x AS gx, {tone} FROM (SELECT * REPLACE (v / 255.0::DOUBLE AS v) FROM tb)), ts AS (SELECT DISTINCT image, gh, gw FROM tn),
   {slice_cells_sql(4, 'ts', 'tc')}, tq AS (SELECT query, {meds} FROM tc JOIN tn USING (image, gy, gx) GROUP BY query),
   te AS (SELECT boxes.query, image, gy, gx, least(CAST(floor((gy + 0.5) * 2) AS INT), sz.h - 1) AS y, least(CAST(floor((gx + 0.5) * 2) AS INT), sz.w - 1) AS x FROM tn JOIN boxes USING (image) JOIN sz ON sz.query = boxes.query),
   tl AS (SELECT te.query, label, {meds} FROM te JOIN lab USING (query, y, x) JOIN tn USING (image, gy, gx) GROUP BY te.query, label),

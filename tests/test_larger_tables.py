@@ -54,3 +54,12 @@ def test_regridded_labels_of_a_tall_raster(spark, tmp_path):
 
 def test_spectra_of_a_tall_raster(spark, tmp_path):
     assert equals_sql(spark, "spectra", tables(tmp_path, embeddings=one_image(spark, 450))) == f"ok {113 * 16}"
+
+
+def test_tone_cuts_see_exact_means(spark):
+    from regionmatch.plans import descriptors, fixtures as fx
+
+    sf = "/root/testdata/sf0.1"
+    whole = fx.px(spark, sf).groupBy("image", F.floor(F.col("y") / 4).alias("y"), F.floor(F.col("x") / 4).alias("x")).agg(F.sum("gray").alias("s"), F.count("*").alias("n"))
+    both = descriptors._tone(spark, sf).join(whole, ["image", "y", "x"])
+    assert both.filter(F.col("paper4") != F.expr("(s * 8) div (n * 255)") / 8).isEmpty()
