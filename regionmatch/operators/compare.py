@@ -7,6 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from regionmatch.operators.ordering import id_bucket, position
+from regionmatch.session import cut_lineage
+
 PRIME = (1 << 31) - 1
 ROUNDS = ((48271, 69621), (16807, 39373), (630360016, 742938285), (950706376, 1226874159))
 #: Below which of PRIME values a draw is 0, 1, 2 and so on.
@@ -47,15 +50,63 @@ def resample_count(number: Column, replicate: Column, seed: int = 0) -> Column:
     return count.otherwise(len(POISSON))
 
 
-def bootstrap_means(deltas: DataFrame, key: str, replicates: int = 5000, seed: int = 0) -> DataFrame:
-    """Mean delta of every document-level resample, as sums of counts times deltas over sums of counts.
+def numbered(df: DataFrame, key: str, bucket: Column, name: str) -> DataFrame:
+    """Give unique keys consecutive positions from zero, in key order."""
+    return position(df, [], [F.col(key)], bucket, name).withColumn(name, F.col(name) - 1)
+
+
+#: Positions to a piece of the deltas, pieces that one task holds (64 MB of numbers), and replicates to a task's group.
+PIECE, PIECES, REPLICATES = 1 << 20, 8, 25
+
+
+def bootstrap_means(deltas: DataFrame, key: str, bucket: Column | None = None, replicates: int = 5000, seed: int = 0) -> DataFrame:
+    """Mean delta of every document-level resample of as many draws as there are documents.
 
-    Every document draws its own count for each replicate, so no draw is a row, nothing is joined, and
-    counts and sums of a replicate are added up on the map side. ``key`` is a whole number.
+    Draw ``i`` of replicate ``b`` takes the document at the position ``scalars.draw(seed, b, i, n)``, so the resamples can
+    be repeated in any engine. The deltas are packed by position; a group of replicates meets a bounded part of them and
+    makes its draws there, so no draw is a row. Documents without a delta are drawn and do not count.
     """
-    rows = deltas.select(F.col(key).alias("_key"), "delta", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    n = resample_count(F.col("_key"), F.col("replicate"), seed)
-    sums = rows.select("replicate", n.alias("_n"), "delta").groupBy("replicate").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("delta")).alias("_sum"))
+    at = cut_lineage(numbered(deltas.select(key, "delta"), key, id_bucket(F.col(key)) if bucket is None else bucket, "_at"))
+    n = at.count()
+
+    def pack(table):
+        import numpy as np
+        import pyarrow as pa
+
+        where = table.column("_at").to_numpy()
+        part = int(where.min()) // PIECE
+        values = np.full(min(PIECE, n - part * PIECE), np.nan)
+        values[where - part * PIECE] = table.column("delta").to_numpy()
+        return pa.table({"_piece": pa.array([part], pa.int64()), "_values": pa.array([values.tobytes()], pa.binary())})
+
+    def resample(table):
+        import numpy as np
+        import pyarrow as pa
+
+        from regionmatch.functions.counters import draws
+
+        order = np.argsort(table.column("_piece").to_numpy())
+        first = int(table.column("_piece").to_numpy().min()) * PIECE
+        packed = table.column("_values")
+        values = np.concatenate([np.frombuffer(packed[int(k)].as_py(), np.float64) for k in order])
+        known = ~np.isnan(values)
+        values = np.where(known, values, 0.0)
+        start = table.column("_group")[0].as_py() * REPLICATES
+        numbers = range(start, min(start + REPLICATES, replicates))
+        total, count = dict.fromkeys(numbers, 0.0), dict.fromkeys(numbers, 0)
+        for number, index in draws(seed, numbers, n):
+            if n > len(values):
+                index = index[(index >= first) & (index < first + len(values))] - first
+            total[number] += float(values[index].sum())
+            count[number] += int(known[index].sum())
+        return pa.table({"replicate": pa.array(list(numbers), pa.int64()), "_n": pa.array(list(count.values()), pa.int64()),
+                         "_sum": pa.array(list(total.values()), pa.float64())})
+
+    pieces = at.withColumn("_p", F.expr(f"_at div {PIECE}")).groupBy("_p").applyInArrow(lambda t: pack(t.select(["_at", "delta"])), "_piece long, _values binary")
+    groups = -(-replicates // REPLICATES)
+    meet = cut_lineage(pieces).withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("_part", F.expr(f"_piece div {PIECES}"))
+    sums = meet.repartition(groups, "_group", "_part").groupBy("_group", "_part").applyInArrow(resample, "replicate long, _n long, _sum double")
+    sums = sums.groupBy("replicate").agg(F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"))
     return sums.select("replicate", F.try_divide("_sum", "_n").alias("mean_delta"))
 
 

@@ -42,7 +42,7 @@ def test_an_average_on_the_cut_does_not_depend_on_the_order_of_its_sum(spark, tm
     li = spark.read.parquet(str(SMALL / "lineitem.parquet")).limit(3)
     # 0.7, 0.1 and 0.1 sum to a little over 0.9, whose third is not above the cut of 0.3
     li = li.withColumn("l_orderkey", F.lit(1).cast("long")).withColumn("n", F.row_number().over(W.orderBy("l_linenumber", "l_partkey")))
-    li = li.withColumn("l_discount", F.when(F.col("n") == 1, 0.07).otherwise(0.01)).withColumn("l_tax", F.lit(0.08)).drop("n")
+    li = li.withColumn("l_discount", F.when(F.col("n") == 1, 0.07).otherwise(0.01)).withColumn("l_tax", F.lit(0.02)).drop("n")
     sf = tables(tmp_path, lineitem=li)
     row = registry.QUERIES["derived_evidence"](spark, sf).first()
     assert row["ev_min1"] != 0.3 and equals_sql(spark, "derived_evidence", sf) == "ok 1"
@@ -63,3 +63,22 @@ def test_tone_cuts_see_exact_means(spark):
     whole = fx.px(spark, sf).groupBy("image", F.floor(F.col("y") / 4).alias("y"), F.floor(F.col("x") / 4).alias("x")).agg(F.sum("gray").alias("s"), F.count("*").alias("n"))
     both = descriptors._tone(spark, sf).join(whole, ["image", "y", "x"])
     assert both.filter(F.col("paper4") != F.expr("(s * 8) div (n * 255)") / 8).isEmpty()
+
+
+def test_a_resample_draws_as_many_documents_as_there_are(spark, monkeypatch):
+    import hashlib
+
+    n, replicates = 23, 7
+    rows = [(i, None if i == 5 else (i * 37 % 23) / 8) for i in range(n)]
+    delta = [v for _, v in rows]
+    want = {}
+    for b in range(replicates):
+        drawn = [delta[int(hashlib.md5(f"0:{b}:{i}".encode()).hexdigest()[:15], 16) % n] for i in range(n)]
+        kept = [v for v in drawn if v is not None]
+        want[b] = sum(kept) / len(kept)
+    d = spark.createDataFrame(rows, "document_id long, delta double")
+    for piece, pieces in ((1 << 20, 8), (5, 2)):  # all in one part, and in several
+        monkeypatch.setattr(compare, "PIECE", piece)
+        monkeypatch.setattr(compare, "PIECES", pieces)
+        got = {r.replicate: r.mean_delta for r in compare.bootstrap_means(d, "document_id", replicates=replicates).collect()}
+        assert got == pytest.approx(want, abs=1e-12)
