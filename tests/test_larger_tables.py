@@ -82,3 +82,10 @@ def test_a_resample_draws_as_many_documents_as_there_are(spark, monkeypatch):
         monkeypatch.setattr(compare, "PIECES", pieces)
         got = {r.replicate: r.mean_delta for r in compare.bootstrap_means(d, "document_id", replicates=replicates).collect()}
         assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_the_sweep_of_edits_joins_no_cells(spark):
+    import re
+
+    plan = registry.QUERIES["post_process_sweep"](spark, str(SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Join \[query#\w+, y#\w+, x#\w+", plan)
