@@ -4,7 +4,9 @@ A region is a set of half-open runs ``[x0, x1)`` on slabs of raster rows. The up
 shapes of a query cut its raster to slabs, inside which every row looks the same, so a box costs its edges
 and not its height; a mask's runs are shapes of one row. All kinds of regions of a query are swept together:
 run ends become signed events, and a running sum along each slab gives disjoint runs with one flag per kind.
-A window never holds more than the run ends of one slab.
+The shapes of a query go to one task, before they are cut: slabs, events and everything added up per query or
+cell of a query are made there without another exchange. Sorts and windows spill, so a query of very many runs
+costs time in its task and not memory.
 """
 
 from __future__ import annotations
@@ -16,11 +18,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 KINDS = ("positive", "negative", "blank", "known", "excluded", "predicted")
 
 
-def mark_explicit(shapes: DataFrame, explicit: DataFrame) -> DataFrame:
-    """Tell boxes or runs whether their query has an explicit known region.
+def mark_explicit(shapes: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
+    """Tell boxes or runs whether their query has an explicit known region: it is in ``explicit``, or, without that
+    table, one of its own shapes is of the kind known.
 
     Done on the short tables of shapes, so that the swept runs never have to be joined for it.
     """
+    if explicit is None:
+        return shapes.withColumn("explicit", F.bool_or(F.col("kind") == "known").over(W.partitionBy("query")))
     names = explicit.select("query").distinct().withColumn("explicit", F.lit(True))
     return shapes.join(names, "query", "left").withColumn("explicit", F.coalesce("explicit", F.lit(False)))
 
@@ -37,22 +42,23 @@ def slabs(shapes: DataFrame) -> DataFrame:
     """
     c = F.col
     solid = shapes.filter((c("x0") < c("x1")) & (c("y0") < c("y1")))
-    edges = solid.select("query", F.explode(F.array("y0", "y1")).alias("_e")).groupBy("query").agg(F.sort_array(F.collect_set("_e")).alias("_edges"))
+    own = W.partitionBy("query")
+    edges = F.sort_array(F.array_union(F.collect_set("y0").over(own), F.collect_set("y1").over(own)))
     head = [n for n in ("query", "explicit", "kind") if n in shapes.columns]
     first = F.array_position("_edges", c("y0")).cast("int")
     n = F.array_position("_edges", c("y1")).cast("int") - first
     cut = F.arrays_zip(F.slice("_edges", first, n).alias("y"), F.slice("_edges", first + 1, n).alias("_end"))
-    return solid.join(edges, "query").select(*head, "x0", "x1", F.inline(cut)).select(*head, "y", (c("_end") - c("y")).alias("rows"), "x0", "x1")
+    return solid.withColumn("_edges", edges).select(*head, "x0", "x1", F.inline(cut)).select(*head, "y", (c("_end") - c("y")).alias("rows"), "x0", "x1")
 
 
 def flag_runs(runs: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
     """Disjoint maximal runs (query, y, rows, x0, x1) with a boolean column per kind; uncovered stretches are left out.
 
-    One exchange by (query, y) serves the sum of the events and the sweep.
+    The exchange by query of ``slabs`` serves the sum of the events and the sweep.
     """
     head = [n for n in ("query", "explicit", "y", "rows") if n in runs.columns]
     end = lambda x, d: F.struct(F.col(x).alias("x"), F.lit(d).alias("d"))
-    ends = runs.select(*head, "kind", F.inline(F.array(end("x0", 1), end("x1", -1)))).repartition("query", "y")
+    ends = runs.select(*head, "kind", F.inline(F.array(end("x0", 1), end("x1", -1))))
     events = ends.groupBy(*head, "x").agg(
         *[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(f"_{k}") for k in kinds]
     )
@@ -164,18 +170,18 @@ def pixels_of(flags: DataFrame) -> DataFrame:
     )
 
 
-def cell_fractions(flags: DataFrame, c: int) -> DataFrame:
-    """Known and positive share of every c x c cell that holds a scored pixel."""
+def cell_fractions(flags: DataFrame, c: int, kinds: Sequence[str] = ("positive",)) -> DataFrame:
+    """Known share, and the share of each kind, of every c x c cell that holds a scored pixel."""
     end = F.col("y") + F.col("rows")
     span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / c), F.floor((hi - 1) / c)))
     overlap = lambda lo, hi, g: F.least(hi, (F.col(g) + 1) * c) - F.greatest(lo, F.col(g) * c)
-    runs = flags.filter("scored").select("query", "y", end.alias("_end"), "x0", "x1", "positive", span(F.col("y"), end).alias("gy"))
-    parts = runs.select("query", "gy", "y", "_end", "x0", "x1", "positive", span(F.col("x0"), F.col("x1")).alias("gx"))
+    runs = flags.filter("scored").select("query", "y", end.alias("_end"), "x0", "x1", *kinds, span(F.col("y"), end).alias("gy"))
+    parts = runs.select("query", "gy", "y", "_end", "x0", "x1", *kinds, span(F.col("x0"), F.col("x1")).alias("gx"))
     n = overlap(F.col("x0"), F.col("x1"), "gx") * overlap(F.col("y"), F.col("_end"), "gy")
     cell = float(c * c)
     return parts.groupBy("query", "gy", "gx").agg(
         (F.sum(n) / cell).alias("known"),
-        (F.sum(F.when(F.col("positive"), n).otherwise(0)) / cell).alias("positive"),
+        *[(F.sum(F.when(F.col(k), n).otherwise(0)) / cell).alias(k) for k in kinds],
     )
 
 

@@ -175,8 +175,7 @@ def label_boxes(spark, sf):
 def _flags(spark, sf):
     b = label_boxes(spark, sf)
     # Whether a request has an explicit known region follows from its own boxes.
-    b = domains.mark_explicit(b, b.filter("kind = 'known'"))
-    return domains.with_known(domains.flag_runs(domains.slabs(b)))
+    return domains.with_known(domains.flag_runs(domains.slabs(domains.mark_explicit(b))))
 
 
 def box_pixels(spark, sf):
@@ -228,11 +227,8 @@ def cell_fractions(spark, sf):
 
 def cell_iou(spark, sf):
     """Cell-level IoU weighted by the known share, predictions taken at cell level."""
-    flags = _flags(spark, sf)
-    f = domains.cell_fractions(flags, 4)
-    p = domains.cell_fractions(flags.withColumn("positive", F.col("predicted")), 4).select(
-        "query", "gy", "gx", (F.col("positive") >= 0.5 * F.col("known")).alias("hit"))
-    j = f.join(p, ["query", "gy", "gx"]).withColumn("y", F.col("positive") / F.col("known"))
+    f = domains.cell_fractions(_flags(spark, sf), 4, ("positive", "predicted"))
+    j = f.withColumns({"hit": F.col("predicted") >= 0.5 * F.col("known"), "y": F.col("positive") / F.col("known")})
     w = F.col("known")
     inter = F.sum(F.when(F.col("hit"), w * F.col("y")).otherwise(0.0))
     union = F.sum(F.when(F.col("hit"), w).otherwise(w * F.col("y")))

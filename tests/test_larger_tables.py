@@ -89,3 +89,10 @@ def test_the_sweep_of_edits_joins_no_cells(spark):
 
     plan = registry.QUERIES["post_process_sweep"](spark, str(SMALL))._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Join \[query#\w+, y#\w+, x#\w+", plan)
+
+
+@pytest.mark.parametrize("name", ["region_runs", "cell_fractions", "cell_iou", "run_confusion", "domain_violations", "known_pixels"])
+def test_shapes_are_exchanged_once_and_runs_never(spark, name):
+    plan = registry.QUERIES[name](spark, str(SMALL))._jdf.queryExecution().executedPlan().toString()
+    # the shapes, and the one row a query has when it is joined to the requests
+    assert plan.count("Exchange hashpartitioning") <= (2 if name == "domain_violations" else 1)
