@@ -120,16 +120,17 @@ def rule_scores(components: DataFrame, base: DataFrame, documents: DataFrame, fe
     most = max(len(low), len(high)) + 1
     lost = lambda v: F.array(*[F.sum(F.when(c("_bin") == b, v).otherwise(0)) for b in range(most)])
     sums = placed.withColumn("_bin", passed).groupBy("query", "feature", "side").agg(lost(c("pos")).alias("_p"), lost(c("tot") - c("pos")).alias("_n"))
-    some = base.filter(c("tp") + c("fn") > 0).select("query", "tp", "fp", "fn")
+    some = base.filter(c("tp") + c("fn") > 0).select("query", "tp", "fp", "fn").join(documents.select("query", "document_id"), "query")
     every = some.crossJoin(F.broadcast(cuts)).join(sums, ["query", "feature", "side"], "left")  # a constant number of rules a query
     none = F.array_repeat(F.lit(0).cast("long"), most)
     run = lambda a, i: F.aggregate(F.when(c("side") == "low", F.slice(a, 1, i + 1)).otherwise(F.slice(a, i + 2, most)), F.lit(0).cast("long"), lambda x, y: x + y)
     every = every.withColumns({"_p": F.coalesce("_p", none), "_n": F.coalesce("_n", none)})
     rules = F.transform("cuts", lambda v, i: F.struct(v.alias("cut"), run(c("_p"), i).alias("p"), run(c("_n"), i).alias("n")))
     idle = F.struct(F.lit(None).cast("double").alias("cut"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
-    every = every.select("query", "feature", "side", "tp", "fp", "fn", F.inline(F.array_append(rules, idle)))
+    # A query's rules go to its document as arrays, and become rows only there.
+    every = every.repartition("document_id", "feature", "side").select("document_id", "feature", "side", "tp", "fp", "fn", F.inline(F.array_append(rules, idle)))
     iou = ratio(c("tp") - c("p"), c("tp") + c("fn") + c("fp") - c("n"))
-    return every.withColumn("iou", iou).join(documents.select("query", "document_id"), "query").groupBy("document_id", "feature", "side", "cut").agg(F.avg("iou").alias("score"))
+    return every.withColumn("iou", iou).groupBy("document_id", "feature", "side", "cut").agg(F.avg("iou").alias("score"))
 
 
 def pooled_columns(labelled: DataFrame, names: Sequence[str], box_means: DataFrame) -> DataFrame:

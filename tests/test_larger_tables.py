@@ -96,3 +96,10 @@ def test_shapes_are_exchanged_once_and_runs_never(spark, name):
     plan = registry.QUERIES[name](spark, str(SMALL))._jdf.queryExecution().executedPlan().toString()
     # the shapes, and the one row a query has when it is joined to the requests
     assert plan.count("Exchange hashpartitioning") <= (2 if name == "domain_violations" else 1)
+
+
+def test_drop_rules_become_rows_only_at_their_document(spark):
+    import re
+
+    plan = registry.QUERIES["cut_rules"](spark, str(SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert "document_id" in plan and not re.search(r"hashpartitioning\(document_id#\w+, feature#\w+, side#\w+, cut#", plan)
