@@ -170,12 +170,13 @@ def threshold_ious(counts: DataFrame) -> DataFrame:
 
 def threshold_sweep(ious: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """Document-macro and mean query IoU for each threshold."""
-    long = ious.select("document_id", F.posexplode("ious").alias("_k", "_iou"))
-    docs = long.groupBy("document_id", "_k").agg(F.count("*").alias("_n"), F.sum("_iou").alias("_s"))
-    grid = F.array(*[F.lit(float(t)) for t in thresholds])
-    return docs.groupBy("_k").agg(
-        F.avg(ratio(F.col("_s"), F.col("_n"))).alias("doc_macro"), ratio(F.sum("_s"), F.sum("_n")).alias("query_mean")
-    ).select(F.get(grid, F.col("_k")).alias("threshold"), "doc_macro", "query_mean")
+    # The sums of all thresholds travel in one row per document.
+    at = [F.col("ious")[k] for k in range(len(thresholds))]
+    docs = ious.groupBy("document_id").agg(F.count("*").alias("_n"), *[F.sum(v).alias(f"_s{k}") for k, v in enumerate(at)])
+    one = docs.agg(F.sum("_n").alias("_n"), *[F.struct(
+        F.lit(float(t)).alias("threshold"), F.avg(ratio(F.col(f"_s{k}"), F.col("_n"))).alias("doc_macro"),
+        ratio(F.sum(f"_s{k}"), F.sum("_n")).alias("query_mean")).alias(f"_t{k}") for k, t in enumerate(thresholds)])
+    return one.filter("_n is not null").select(F.inline(F.array(*[F.col(f"_t{k}") for k in range(len(thresholds))])))
 
 
 def best_threshold(ious: DataFrame, thresholds: Sequence[float], default: float) -> DataFrame:
