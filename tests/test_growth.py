@@ -18,3 +18,15 @@ def test_a_sweep_sends_one_row_per_document(spark):
     got = {r.threshold: (r.doc_macro, r.query_mean) for r in swept.collect()}
     assert got == {0.1: (0.375, 0.5), 0.2: (0.5625, 1.25 / 3)}
     assert metrics.threshold_sweep(d.limit(0), (0.1, 0.2)).isEmpty()
+
+
+def test_quantiles_of_a_whole_table_do_not_deal_rows_by_bucket(spark):
+    d = spark.range(1000).select(F.when(F.col("id") < 900, 0.5).otherwise(F.col("id") / 1000.0).alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = ordering.exact_quantiles(d, [], "v", (0.0, 0.5, 0.95, 1.0), ordering.unit_bucket(F.col("_v")))
+        assert "SortMergeJoin" not in plan(q)
+        assert [round(v, 6) for v in q.first().quantiles] == [0.5, 0.5, 0.94905, 0.999]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
