@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regionmatch.functions.scalars import ratio
+from regionmatch.operators.ordering import MOST, hot_groups, running_sums, value_bucket
 
 COUNTS = ("tp", "fp", "fn", "tn", "blank_fp", "blank_pixels")
 
@@ -237,29 +238,56 @@ def threshold_features(cells: DataFrame, prob: str, inside: Column, levels: Sequ
 # ---- separability -----------------------------------------------------------------------
 
 
-def feature_auc(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+def feature_auc(rows: DataFrame, features: Sequence[str], most: int = MOST) -> DataFrame:
     """Folded AUC of features per query; undefined values take the query's minimum.
 
-    All features go through one pass in long form. Equal values are merged first, then ranked
-    through distributed running counts, so no query has to fit in one task.
+    Rows go to their query once and all features are ranked there. A query of more than ``most``
+    rows is ranked through distributed running counts, so that it need not fit in one task.
     """
-    from regionmatch.operators.ordering import running_sums, value_bucket
-
-    doubled = rows.select("query", "pos", *[F.col(f).cast("double").alias(f) for f in features])
-    long = doubled.unpivot(["query", "pos"], list(features), "feature", "_v")
+    rows = rows.filter("query is not null").select("query", "pos", *[F.col(f).cast("double").alias(f) for f in features])
+    hot = hot_groups(rows, ["query"], most)
+    if hot.isEmpty():
+        return _folded_auc(_ranked_in_place(rows, features))
+    apart = lambda how: rows.join(F.broadcast(hot), "query", how)
+    parts = _ranked_in_place(apart("left_anti"), features), _ranked_in_buckets(apart("left_semi"), features)
+    return _folded_auc(parts[0]).unionByName(_folded_auc(parts[1]))
+
+
+def _values(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Long form (query, pos, feature, _v). An explode keeps the rows where their query is; unpivot would not."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("_v")) for f in features])
+    return rows.select("query", "pos", F.inline(pairs))
+
+
+def _ranked_in_place(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Each row of (query, feature) with the negatives up to its value and those of equal value, after one exchange by query."""
+    whole = W.partitionBy("query")
+    own = rows.repartition("query").withColumns({f: F.coalesce(f, F.min(f).over(whole)) for f in features})
+    of = ["query", "feature"]
+    long = _values(own, features).filter("_v is not null").withColumns({"_hp": F.col("pos").cast("long"), "_hn": (~F.col("pos")).cast("long")})
+    upto = W.partitionBy(*of).orderBy("_v").rangeBetween(W.unboundedPreceding, W.currentRow)
+    return long.withColumns({"_below": F.sum("_hn").over(upto), "_tied": F.sum("_hn").over(W.partitionBy(*of, "_v"))})
+
+
+def _ranked_in_buckets(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The same counts with the rows of a query spread over tasks: equal values are merged first, then ranked through
+    running counts over buckets."""
     by = ["query", "feature"]
-    merged = long.groupBy(*by, "_v").agg(F.count_if("pos").alias("_hp"), F.count_if(~F.col("pos")).alias("_hn"))
-    lows = merged.groupBy(*by).agg(F.min("_v").alias("_low"), F.sum("_hp").alias("_p"), F.sum("_hn").alias("_n"))
-    lows = lows.filter((F.col("_p") > 0) & (F.col("_n") > 0) & F.col("_low").isNotNull())
+    merged = _values(rows, features).groupBy(*by, "_v").agg(
+        F.count_if("pos").alias("_hp"), F.count_if(~F.col("pos")).alias("_hn"))
+    lows = merged.groupBy(*by).agg(F.min("_v").alias("_low")).filter("_low is not null")
     # A null ties with the minimum of its query.
-    filled = merged.join(lows.select(*by, "_low"), by).groupBy(*by, F.coalesce("_v", "_low").alias("_v")).agg(
+    filled = merged.join(lows, by).groupBy(*by, F.coalesce("_v", "_low").alias("_v")).agg(
         F.sum("_hp").alias("_hp"), F.sum("_hn").alias("_hn"))
-    ranked = running_sums(filled, by, [F.col("_v")], value_bucket(F.col("_v"), 16), {"_below": F.col("_hn")})
+    return running_sums(filled, by, [F.col("_v")], value_bucket(F.col("_v"), 16), {"_below": F.col("_hn")}).withColumn("_tied", F.col("_hn"))
+
+
+def _folded_auc(ranked: DataFrame) -> DataFrame:
     # Each positive beats the negatives strictly below it and half of those it ties with.
-    wins = ranked.groupBy(*by).agg(
-        F.sum(F.col("_hp") * (F.col("_below") - F.col("_hn") / 2.0)).alias("_w"),
+    wins = ranked.groupBy("query", "feature").agg(
+        F.sum(F.col("_hp") * (F.col("_below") - F.col("_tied") / 2.0)).alias("_w"),
         F.sum("_hp").alias("_p"),
         F.sum("_hn").alias("_n"),
-    )
+    ).filter((F.col("_p") > 0) & (F.col("_n") > 0))
     auc = ratio(F.col("_w"), F.col("_p") * F.col("_n"))
-    return wins.select(*by, F.greatest(auc, 1.0 - auc).alias("auc"))
+    return wins.select("query", "feature", F.greatest(auc, 1.0 - auc).alias("auc"))

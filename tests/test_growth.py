@@ -30,3 +30,23 @@ def test_quantiles_of_a_whole_table_do_not_deal_rows_by_bucket(spark):
         assert [round(v, 6) for v in q.first().quantiles] == [0.5, 0.5, 0.94905, 0.999]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_auc_sends_rows_to_their_query_once_whatever_a_query_holds(spark):
+    d = spark.range(4000).select(
+        F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 40 + 1).alias("query"), (F.xxhash64("id") % 3 == 0).alias("pos"),
+        F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(50)) - 20.0).alias("f"), F.lit(None).cast("double").alias("g"))
+    once, apart = metrics.feature_auc(d, ["f", "g"]), metrics.feature_auc(d, ["f", "g"], most=100)
+    assert plan(once).count("Exchange") == 1
+    assert sorted(once.collect()) == sorted(apart.collect())
+
+    def brute(rows):
+        v = [(r.pos, r.f) for r in rows]
+        low = min(f for _, f in v if f is not None)
+        p, n = ([low if f is None else f for b, f in v if b is k] for k in (True, False))
+        a = sum((x > y) + (x == y) / 2 for x in p for y in n) / len(p) / len(n)
+        return max(a, 1 - a)
+
+    got = {r.query: r.auc for r in once.collect()}
+    for q in (0, 1, 17):
+        assert abs(got[q] - brute(d.filter(F.col("query") == q).collect())) < 1e-12
