@@ -32,6 +32,16 @@ def test_quantiles_of_a_whole_table_do_not_deal_rows_by_bucket(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_parts_of_a_fit_are_bounded_by_their_values(spark):
+    from regionmatch.operators import models
+    from regionmatch.session import cut_lineage
+
+    rows = cut_lineage(spark.range(300_000).select(F.lit(0.5).alias("a"), F.lit(0.25).alias("b")))
+    parts = models.spread(rows, 20_000).rdd.glom().map(len).collect()
+    assert len(parts) == 30 and max(parts) < 11_000 and sum(parts) == 300_000
+    assert models.spread(rows, 10**9).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+
+
 def test_auc_sends_rows_to_their_query_once_whatever_a_query_holds(spark):
     d = spark.range(4000).select(
         F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 40 + 1).alias("query"), (F.xxhash64("id") % 3 == 0).alias("pos"),
