@@ -78,3 +78,13 @@ def test_cells_of_draws_are_numbered_at_their_query_whatever_it_holds(spark):
     for r in whole.collect():
         got.setdefault((r.query, r.pos), []).append(r.cell)
     assert {k: sorted(v) for k, v in got.items()} == {k: list(range(n)) for k, n in sizes.items()}
+
+
+def test_rows_of_folds_are_joined_once_for_all_jobs_of_their_fits(spark):
+    from regionmatch.operators import models
+
+    d = spark.range(600).select("id", (F.col("id") % 6).alias("document_id"), (F.col("id") % 2 == 0).alias("pos"), F.lit(1.0).alias("weight"),
+                                (F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 7 + F.col("id") % 2).cast("double").alias("f"))
+    folds = d.select("document_id", (F.col("document_id") % 2).alias("fold")).distinct()
+    o = models.out_of_fold(d, folds, lambda: models.logistic_head(["f"]), ["id"], 2)
+    assert "Join" not in plan(o) and o.select("id").distinct().count() == o.count() == 600
