@@ -88,3 +88,20 @@ def test_rows_of_folds_are_joined_once_for_all_jobs_of_their_fits(spark):
     folds = d.select("document_id", (F.col("document_id") % 2).alias("fold")).distinct()
     o = models.out_of_fold(d, folds, lambda: models.logistic_head(["f"]), ["id"], 2)
     assert "Join" not in plan(o) and o.select("id").distinct().count() == o.count() == 600
+
+
+def test_raster_rows_keep_their_parts_when_they_become_cells(spark):
+    from regionmatch.plans import fixtures as fx
+
+    px = fx.px(spark, "/root/testdata/sf0.001")
+    assert px.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_tiles_are_packed_once_for_all_joins_that_read_them(spark):
+    from regionmatch.operators import texture
+    from regionmatch.plans import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    px = fx.px(spark, sf)
+    m = texture.correlate(px, texture.usable(texture.templates(px, fx.wide_boxes(spark, sf))), 61, tile=32, down=2)
+    assert "FlatMapGroupsInArrow" not in plan(m)
