@@ -87,7 +87,9 @@ def gain_model(spark, sf):
     stats = metrics.accepted_stats(fx.pixels(spark, sf), "p_a", (0.1, 0.3, 0.5, 0.7, 0.9))
     shares = [c for c in stats.columns if c.startswith("share_")]
     rows = cut_lineage(curve.join(stats, "query"))
-    m = models.gain_regressor([*shares, "threshold"], rounds=4).fit(models.spread(rows.select(*shares, "threshold", "gain")))
+    names = [*shares, "threshold"]
+    few = cut_lineage(models.equal_rows(rows, names, "gain"))
+    m = models.gain_regressor(names, total=rows.count()).fit(models.spread(few))
     pred = m.transform(rows).select("query", "threshold", F.col("prediction").alias("predicted"))
     return selection.choose_with_margin(pred, "predicted", MIDDLE, 0.02).withColumn("predicted_gain", F.round("predicted_gain", 6))
 

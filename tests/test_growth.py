@@ -105,3 +105,29 @@ def test_tiles_are_packed_once_for_all_joins_that_read_them(spark):
     px = fx.px(spark, sf)
     m = texture.correlate(px, texture.usable(texture.templates(px, fx.wide_boxes(spark, sf))), 61, tile=32, down=2)
     assert "FlatMapGroupsInArrow" not in plan(m)
+
+
+def test_trees_of_equal_rows_are_those_of_all_rows(spark):
+    from regionmatch.operators import models
+
+    d = spark.range(4000).select(*[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(6)) / 6.0).alias(n) for k, n in enumerate("ab")], F.xxhash64("id").alias("_r"))
+    d = d.select("a", "b", (F.col("a") * F.col("b") - F.when(F.col("a") > 0.4, 0.3).otherwise(0.1) + F.pmod("_r", F.lit(100)) / 500).alias("gain")).cache()
+    few = models.equal_rows(d, ["a", "b"], "gain")
+    assert few.count() == 36 and few.agg(F.sum("weight")).first()[0] == 4000
+    for rows, least in ((d, 700), (d, 2000), (d.limit(70), 40)):
+        n, small = rows.count(), models.equal_rows(rows, ["a", "b"], "gain")
+        plain = models.gain_regressor(["a", "b"], rounds=6, min_rows=least).fit(rows)
+        equal = models.gain_regressor(["a", "b"], rounds=6, min_rows=least, total=n).fit(small)
+        both = equal.transform(few).select("a", "b", F.col("prediction").alias("p")).join(plain.transform(few), ["a", "b"])
+        assert both.agg(F.max(F.abs(F.col("p") - F.col("prediction")))).first()[0] < 1e-9
+        assert (plain.stages[-1].trees[0].numNodes > 1) == (least == 700)
+
+
+def test_the_gain_model_takes_all_of_its_rounds(spark, monkeypatch):
+    from regionmatch.operators import models
+    from regionmatch.plans import learning
+
+    made, whole = [], models.gain_regressor
+    monkeypatch.setattr(models, "gain_regressor", lambda *a, **k: made.append(whole(*a, **k)) or whole(*a, **{**k, "rounds": 2}))
+    got = learning.gain_model(spark, "/root/testdata/sf0.001")
+    assert [p.getStages()[-1].getMaxIter() for p in made] == [150] and not got.isEmpty()
