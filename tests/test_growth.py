@@ -131,3 +131,50 @@ def test_the_gain_model_takes_all_of_its_rounds(spark, monkeypatch):
     monkeypatch.setattr(models, "gain_regressor", lambda *a, **k: made.append(whole(*a, **k)) or whole(*a, **{**k, "rounds": 2}))
     got = learning.gain_model(spark, "/root/testdata/sf0.001")
     assert [p.getStages()[-1].getMaxIter() for p in made] == [150] and not got.isEmpty()
+
+
+def test_feature_rows_write_narrow_families_and_drop_the_maps(spark, monkeypatch):
+    import os
+
+    from regionmatch import session
+    from regionmatch.plans import end_to_end as e, fixtures as fx
+
+    sf, wide, write = "/root/testdata/sf0.001", [], session.cut_lineage
+    px, b = write(fx.px(spark, sf).filter("image < 2")), fx.boxes(spark, sf).filter("image < 2")
+    pts = e.grid_points(px, b)
+    made, before = [], len(session._WRITTEN)
+
+    def noted(df):
+        out = write(df)
+        wide.append(len(df.columns))
+        made.append(session._WRITTEN[-1].removeprefix("file://"))
+        return out
+
+    for owner in (session, e):
+        monkeypatch.setattr(owner, "cut_lineage", noted)
+    rows = e.feature_rows(px, [], b, pts, spectrum=(), blob_radii=(2,))
+    names = [n for n in rows.columns if n not in pts.columns]
+    assert len(names) == len(set(names)) > 80 and max(wide) < 40
+    left = {p.removeprefix("file://") for p in session._WRITTEN[before:]}
+    assert len(left) < len(made) and {p for p in made if os.path.exists(p)} <= left
+    assert rows.count() == pts.count() > 0
+    r = rows.select("mean4", "q_mean4", "mean4_d", "mean4_ad").first()
+    assert r.mean4_d == r.mean4 - r.q_mean4 and r.mean4_ad == abs(r.mean4_d)
+
+
+def test_tables_on_the_way_go_with_their_shuffle_files(spark):
+    import os
+
+    from regionmatch import session
+
+    seen = []
+
+    def build():
+        a = session.cut_lineage(spark.range(100).repartition(3))
+        seen.append(session._WRITTEN[-1])
+        return [a.groupBy((F.col("id") % 7).alias("k")).count(), a.filter("id < 5")]
+
+    sums, few = session.settled(spark, build)
+    assert not os.path.exists(seen[0].removeprefix("file://")) and seen[0] not in session._WRITTEN
+    assert (sums.count(), few.count()) == (7, 5)
+    assert spark.conf.get(session._CLEANUP, None) in (None, "false")
